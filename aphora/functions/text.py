@@ -117,9 +117,15 @@ def sanitize(c: Column | str) -> Column:
 
 
 def json_or_raw(c: Column | str) -> Column:
-    """Valid JSON in its compact form; any other text as it is."""
+    """Valid JSON in its compact form; any other text as it is.
+
+    Spark's parser stops after the first value and overlooks what follows. The text is one whole value only if it
+    also parses as the element of a list and as the field of an object.
+    """
     text = _col(c)
-    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.when(in_list & in_object, F.to_json(F.try_parse_json(text))).otherwise(text)
 
 
 def cache_key(*parts: Column | str) -> Column:

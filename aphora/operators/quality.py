@@ -207,7 +207,7 @@ def _property(name: str, present: Column, value: Column, kind: T.DataType, rule:
     """Errors of one property, prefixed with its name, and its cleaned value."""
     result = compile_rule(value, kind, rule, strict)
     found = result.errors()
-    prefixed = F.transform(found, lambda e: F.concat(F.lit(f"{name}:"), e))
+    prefixed = _prefixed(name, found)
     missing = F.array(F.lit(f"{name}:required")) if strict and rule.required else _no_errors()
     clean = result.clean
     if rule.default is not None:
@@ -283,13 +283,17 @@ def compile_rule(value: Column, kind: T.DataType, rule: Rule, strict: bool = Fal
     return _Result(clean, [], [checked])
 
 
+def _prefixed(name: str, errors: Column) -> Column:
+    return F.transform(errors, lambda e: F.concat(F.lit(f"{name}:"), e))
+
+
 def validate(df: DataFrame, rules: dict[str, Rule], strict: bool = False) -> DataFrame:
     """Adds ``<column>__clean`` for every rule, ``errors`` (``column:code``) and ``valid``."""
     added, lists = {}, []
     for name, rule in rules.items():
         result = compile_rule(F.col(name), df.schema[name].dataType, rule, strict)
         added[f"{name}__clean"] = result.clean
-        lists.append(F.transform(result.errors(), lambda e, n=name: F.concat(F.lit(f"{n}:"), e)))
+        lists.append(_prefixed(name, result.errors()))
     added["errors"] = F.concat(*lists)
     return df.withColumns(added).withColumn("valid", F.size("errors") == 0)
 
@@ -301,7 +305,7 @@ def validate_parts(df: DataFrame, parts: dict[str, dict[str, Rule]], strict: boo
         lists = []
         for name, rule in rules.items():
             result = compile_rule(F.col(name), df.schema[name].dataType, rule, strict)
-            lists.append(F.transform(result.errors(), lambda e, n=name: F.concat(F.lit(f"{n}:"), e)))
+            lists.append(_prefixed(name, result.errors()))
         entries += [F.lit(part), F.concat(*lists)]
     failed = F.map_filter(F.create_map(*entries), lambda _, e: F.size(e) > 0)
     return df.withColumn("errors", failed).withColumn("valid", F.size("errors") == 0)

@@ -56,7 +56,7 @@ def latency(requests: DataFrame, keys: list[str], response_ms: str = "response_m
     histogram = requests.groupBy(*keys, step).agg(F.count(response_ms).alias("_n"), F.sum(response_ms).alias("_sum"))
     return histogram.groupBy(*keys).agg(
         F.sum("_n").alias("requests"), (F.sum("_sum") / F.sum("_n")).alias("mean_ms"),
-        F.percentile("_ms", 0.5, "_n").alias("p50_ms"), F.percentile("_ms", 0.95, "_n").alias("p95_ms"),
+        F.percentile("_ms", 0.5, F.col("_n")).alias("p50_ms"), F.percentile("_ms", 0.95, F.col("_n")).alias("p95_ms"),
         F.max("_ms").cast("double").alias("max_ms"),
     )
 

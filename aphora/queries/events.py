@@ -34,7 +34,7 @@ def malformed_logs(m: Model) -> DataFrame:
 
 
 @query("format_logs", """
-  SELECT event_id, concat('[', strftime(ts, '%Y-%m-%dT%H:%M:%S.'), lpad(CAST((epoch_ms(ts) % 1000) AS STRING), 3, '0'), 'Z] [',
+  SELECT event_id, concat('[', strftime(ts, '%Y-%m-%dT%H:%M:%S.'), lpad(CAST((epoch_us(ts) // 1000 % 1000) AS STRING), 3, '0'), 'Z] [',
     upper(event_type), '] ', CASE WHEN k % 3 = 0 THEN '' ELSE concat('[req-', CAST(event_id AS STRING), '] ') END,
     'done', CASE WHEN k % 5 = 0 THEN '' ELSE concat(' {"user":', CAST(user_id AS STRING), ',"token":"********"}') END) AS line
   FROM ev""")
@@ -145,7 +145,7 @@ def envelope(m: Model) -> DataFrame:
     return m.ev.select("event_id", F.when(F.col("event_type") == "error", bad).otherwise(good).alias("response"))
 
 
-@query("epoch_to_ts", "SELECT event_id, to_timestamp(epoch_ms(ts) / 1000.0)::TIMESTAMP AS at FROM ev")
+@query("epoch_to_ts", "SELECT event_id, make_timestamp(epoch_us(ts) // 1000 * 1000) AS at FROM ev")
 def epoch_to_ts(m: Model) -> DataFrame:
     """Back from epoch milliseconds to a time."""
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
@@ -238,7 +238,7 @@ def breaker_fold(m: Model) -> DataFrame:
 
 
 @query("breaker_status", f"""{_FOLD} SELECT endpoint, last(state ORDER BY rn) AS state, last(failures ORDER BY rn) AS failures,
-    max(last_failure) AS last_failure, epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(max(last_failure)) AS ms_since_last_failure
+    max(last_failure) AS last_failure, epoch_us(TIMESTAMP '{AS_OF}') // 1000 - epoch_us(max(last_failure)) // 1000 AS ms_since_last_failure
   FROM fold GROUP BY endpoint""")
 def breaker_status(m: Model) -> DataFrame:
     return health.breaker_status(m.call_log, as_of())

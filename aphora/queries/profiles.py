@@ -138,7 +138,7 @@ def json_key_presence(m: Model) -> DataFrame:
 
 @query("user_profile", f"""
   SELECT p.user_id,
-    coalesce(CAST(floor((epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(p.created_at)) / 86400000) AS BIGINT), -1) AS account_age,
+    coalesce(CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') // 1000 - epoch_us(p.created_at) // 1000) / 86400000) AS BIGINT), -1) AS account_age,
     coalesce(p.cats, '') AS favorite_categories, coalesce(p.n_liked, 0) AS n_favorites,
     md5(coalesce(p.liked, '')) AS favorites_md5, md5(coalesce(p.own, '')) AS personalized_md5
   FROM profile_lists p""")
@@ -200,7 +200,7 @@ def recommendation_audit(m: Model) -> DataFrame:
     'Analizează profilul utilizatorului și recomandă 5 citate motivaționale care s-ar potrivi cel mai bine cu preferințele și comportamentul său.',
     chr(10), chr(10), 'Profil utilizator:', chr(10), '- Zile consecutive de login: ', CAST(s.streak AS STRING),
     chr(10), '- Total login-uri: ', CAST(s.logins AS STRING), chr(10), '- Vechime cont: ',
-    CAST(coalesce(CAST(floor((epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(p.created_at)) / 86400000) AS BIGINT), 0) AS STRING),
+    CAST(coalesce(CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') // 1000 - epoch_us(p.created_at) // 1000) / 86400000) AS BIGINT), 0) AS STRING),
     ' zile', chr(10), '- Categorii preferate: ', coalesce(p.cats, 'Necunoscute'),
     chr(10), chr(10), 'Citate favorite anterioare:', chr(10), coalesce(p.liked, ''),
     chr(10), chr(10), 'Citate personalizate generate anterior:', chr(10), coalesce(p.own, ''),
@@ -333,17 +333,17 @@ def dashboard(m: Model) -> DataFrame:
 @query("dashboard_response", """
   SELECT user_id, concat('{"ok":true,"analytics":{"quotesViewed":', CAST(quotes_viewed AS STRING), ',"audioGenerated":',
     CAST(audio_generated AS STRING), ',"favorites":', CAST(favorites AS STRING), ',"streakDays":', CAST(streak_days AS STRING),
-    ',"mostUsedVoice":', coalesce(concat('"', most_used_voice, '"'), 'null'), ',"preferredCategories":[',
-    coalesce(concat('"', array_to_string(preferred_categories, '","'), '"'), ''), '],"weeklyProgress":[',
+    ',"mostUsedVoice":', coalesce('"' || most_used_voice || '"', 'null'), ',"preferredCategories":[',
+    coalesce('"' || array_to_string(preferred_categories, '","') || '"', ''), '],"weeklyProgress":[',
     array_to_string(weekly_progress, ','), ']},"subscription":{"tier":"', tier, '","status":"', status, '","features":"',
     features, '"}}') AS response FROM boards""")
 def dashboard_response(m: Model) -> DataFrame:
     return boards.dashboard_response(boards.dashboard(m.users, m.views, m.audio, m.favorites, last_day()))
 
 
-@query("weekly_progress", "SELECT user_id, day, n FROM week_counts")
+@query("weekly_progress", "SELECT user_id, CAST(day AS STRING) AS day, n FROM week_counts")
 def weekly_progress(m: Model) -> DataFrame:
-    return boards.weekly_progress(m.users, m.views, last_day())
+    return boards.weekly_progress(m.users, m.views, last_day()).withColumn("day", F.col("day").cast("string"))
 
 
 @query("most_used_voice", """
@@ -363,9 +363,10 @@ def preferred_categories(m: Model) -> DataFrame:
 
 @query("activity_streak", """
   SELECT user_id, first(days ORDER BY last_day DESC) AS current_streak, max(days) AS longest_streak,
-    max(last_day) AS last_active_day FROM activity_runs GROUP BY user_id""")
+    CAST(max(last_day) AS STRING) AS last_active_day FROM activity_runs GROUP BY user_id""")
 def activity_streak(m: Model) -> DataFrame:
-    return series.streaks(m.ev, "user_id", "ts")
+    found = series.streaks(m.ev, "user_id", "ts")
+    return found.withColumn("last_active_day", F.col("last_active_day").cast("string"))
 
 
 @query("streak_badges", """

@@ -36,12 +36,12 @@ def _local(*names: str) -> list:
 _WATERMARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTES FROM ev)"
 
 
-@query("stream_ingest", "SELECT event_id, ts, user_id, event_type, CAST(ts AS DATE) AS dt FROM ev")
+@query("stream_ingest", "SELECT event_id, ts, user_id, event_type, CAST(CAST(ts AS DATE) AS STRING) AS dt FROM ev")
 def stream_ingest(m: Model) -> DataFrame:
     root = shared_dir(m.spark, "ingest")
     jobs.ingest_events(_stream(m), f"{root}/out", f"{root}/checkpoint")
     stored = m.spark.read.schema(f"{schemas.INPUT_TABLES['events']}, dt date".replace("timestamp_ntz", "timestamp")).parquet(f"{root}/out")
-    return stored.select("event_id", *_local("ts"), "user_id", "event_type", "dt")
+    return stored.select("event_id", *_local("ts"), "user_id", "event_type", F.col("dt").cast("string").alias("dt"))
 
 
 @query("stream_dedupe", "SELECT DISTINCT event_id, event_type, ts FROM webhook_events")
@@ -133,7 +133,7 @@ def sink_bounded_files(m: Model) -> DataFrame:
 
 
 @query("sink_append", """
-  SELECT user_id, action, details, created_at, CAST(created_at AS DATE) AS dt FROM (
+  SELECT user_id, action, details, created_at, CAST(CAST(created_at AS DATE) AS STRING) AS dt FROM (
     SELECT user_id, 'quote_view' AS action, concat('{"quote_id":', CAST(quote_id AS STRING), ',"category":"', category, '"}') AS details,
       created_at FROM views UNION ALL
     SELECT user_id, 'audio:generate', concat('{"voice_id":"', voice_id, '"}'), created_at FROM audio) x""")
@@ -142,7 +142,8 @@ def sink_append(m: Model) -> DataFrame:
     folder = f"{shared_dir(m.spark, 'audit')}/rows"
     sinks.append_by_day(sinks.audit_rows(m.views, "quote_view", ["quote_id", "category"]), folder)
     sinks.append_by_day(sinks.audit_rows(m.audio, "audio:generate", ["voice_id"]), folder)
-    return m.spark.read.schema("user_id bigint, action string, details string, created_at timestamp_ntz, dt date").parquet(folder)
+    stored = m.spark.read.schema("user_id bigint, action string, details string, created_at timestamp_ntz, dt date").parquet(folder)
+    return stored.withColumn("dt", F.col("dt").cast("string"))
 
 
 @query("sink_export", "SELECT quote_id, text, category, lang, score FROM quotes")

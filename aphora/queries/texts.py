@@ -98,9 +98,9 @@ def _encoded(text: str) -> str:
 
 @query("share_feed", f"""
   SELECT id, user_id, quote_id, platform, found, md5(share_text) AS share_text_md5, share_url,
-    md5(CASE platform WHEN 'twitter' THEN concat('https://twitter.com/intent/tweet?text=', et, '&url=', eu)
-      WHEN 'facebook' THEN concat('https://www.facebook.com/sharer/sharer.php?u=', eu)
-      WHEN 'whatsapp' THEN concat('https://wa.me/?text=', et, '%20', eu) ELSE share_url END) AS share_link_md5,
+    md5(CASE platform WHEN 'twitter' THEN 'https://twitter.com/intent/tweet?text=' || et || '&url=' || eu
+      WHEN 'facebook' THEN 'https://www.facebook.com/sharer/sharer.php?u=' || eu
+      WHEN 'whatsapp' THEN 'https://wa.me/?text=' || et || '%20' || eu ELSE share_url END) AS share_link_md5,
     CASE WHEN NOT found THEN 'quote_not_found' END AS error
   FROM (SELECT *, {_encoded('url_encode(share_text)')} AS et, {_encoded('url_encode(share_url)')} AS eu
     FROM (SELECT s.id, s.user_id, s.quote_id * 13 AS quote_id, s.platform, q.quote_id IS NOT NULL AS found,
@@ -227,10 +227,10 @@ def surrogate_ids(m: Model) -> DataFrame:
 
 
 @query("completion_udf", """
-  SELECT item_id, upper(text) AS completion FROM benchmark""")
+  SELECT item_id, concat('> ', text) AS completion FROM benchmark""")
 def completion_udf(m: Model) -> DataFrame:
     """Texts from an injected function, batch by batch."""
-    return generation.complete_with(m.raw("benchmark"), "item_id", "text", lambda texts: [x.upper() for x in texts])
+    return generation.complete_with(m.raw("benchmark"), "item_id", "text", lambda texts: [f"> {x}" for x in texts])
 
 
 @query("mood_prompt", """
