@@ -12,12 +12,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def daily_counts(events: DataFrame, user: str, at: str, last_day: Column, days: int = 7) -> DataFrame:
-    """One row per user with the counts of the last days, oldest first, zeros included, as a list."""
+def daily_counts(events: DataFrame, user: str, at: str, last_day: Column, days: int = 7, total: str | None = None) -> DataFrame:
+    """One row per user with the counts of the last days, oldest first, zeros included, as a list.
+
+    With ``total`` the same pass also counts all events of the user; without it older events are not read.
+    """
     age = F.date_diff(last_day, F.to_date(at))
-    recent = events.select(user, age.alias("age")).where(F.col("age").between(0, days - 1))
-    counts = [F.count_if(F.col("age") == days - 1 - i) for i in range(days)]
-    return recent.groupBy(user).agg(F.array(*counts).alias("daily"))
+    aged = events.select(user, age.alias("age"))
+    counts = [F.array(*[F.count_if(F.col("age") == days - 1 - i) for i in range(days)]).alias("daily")]
+    if total:
+        counts.append(F.count("*").alias(total))
+    else:
+        first = F.date_sub(last_day, days - 1)
+        aged = events.where(F.col(at).between(first, F.date_add(last_day, 1))).select(user, age.alias("age"))
+    return aged.groupBy(user).agg(*counts)
 
 
 def dense_calendar(users: DataFrame, daily: DataFrame, user: str, last_day: Column, days: int = 7) -> DataFrame:

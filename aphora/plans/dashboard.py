@@ -10,10 +10,6 @@ from aphora.functions.voice import feature_level
 from aphora.operators import ranking, relations, series
 
 
-def engagement_counts(views: DataFrame, favorites: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return ranking.count_by(views, ["user_id"], "quotes_viewed"), ranking.count_by(favorites, ["user_id"], "favorites")
-
-
 def voice_habits(audio: DataFrame) -> DataFrame:
     """Audio total and most used voice per user, ties by voice; counted by voice before users are compared."""
     by_voice = ranking.count_by(audio, ["user_id", "voice_id"])
@@ -41,13 +37,13 @@ def dashboard(users: DataFrame, views: DataFrame, audio: DataFrame, favorites: D
     Every part is reduced to one row per user before it joins, and all of them are partitioned by user, so
     the joins add no further shuffle of events.
     """
-    viewed, liked = engagement_counts(views, favorites)
-    weekly = series.daily_counts(views, "user_id", "created_at", last_day, days)
+    viewed = series.daily_counts(views, "user_id", "created_at", last_day, days, total="quotes_viewed")
+    liked = ranking.count_by(favorites, ["user_id"], "favorites")
     streak = series.streaks(views, "user_id", "created_at").select(
         "user_id", F.col("current_streak").alias("streak_days"), "longest_streak"
     )
     out = users.select("user_id", "subscription_tier", "subscription_status")
-    for part in (viewed, voice_habits(audio), liked, streak, preferred_categories(views, n_categories), weekly):
+    for part in (viewed, voice_habits(audio), liked, streak, preferred_categories(views, n_categories)):
         out = out.join(part, "user_id", "left")
     zero = F.lit(0).cast("bigint")
     return out.select(

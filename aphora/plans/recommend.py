@@ -27,13 +27,14 @@ def quote_of_the_day(quotes: DataFrame, seed: int, category: str | None = None,
                      exclude_premium: bool = False) -> DataFrame:
     """One repeatable pick among the quotes that pass the filters, or the first quote if none does.
 
-    The pick sees ids only; the texts are read for the one row that won.
+    The pick sees ids only. Its id is a scalar subquery of the final read, so it reaches the scan as a filter and
+    only the row group that holds the quote is read with its text.
     """
     ids = filters.quote_filter(quotes, category, mood, exclude_premium).select("quote_id")
     pick = ids.orderBy(hashed_order(seed, "quote_id"), "quote_id").limit(1).withColumn("priority", F.lit(0))
     fallback = quotes.select("quote_id").orderBy("quote_id").limit(1).withColumn("priority", F.lit(1))
     winner = pick.unionByName(fallback).orderBy("priority").limit(1)
-    return quotes.join(F.broadcast(winner.select("quote_id")), "quote_id")
+    return quotes.where(F.col("quote_id") == winner.select("quote_id").scalar())
 
 
 def candidate_quotes(users: DataFrame, views: DataFrame, quotes: DataFrame, seed: int, n: int = 20,

@@ -271,10 +271,10 @@ def prefix_filter(m: Model) -> DataFrame:
   SELECT 'sessions' AS subset, count(*) AS n FROM sessions WHERE is_active
   UNION ALL SELECT 'collections', count(*) FROM collections WHERE is_public
   UNION ALL SELECT 'quotes', count(*) FROM quotes WHERE premium_tier IS NOT NULL
-  UNION ALL SELECT 'users', count(*) FROM users WHERE user_id % 2 = 0
+  UNION ALL SELECT 'users', count(*) FROM users WHERE subscription_status <> 'inactive'
   UNION ALL SELECT 'audit', count(*) FROM audit WHERE action = 'error'""")
 def partial_filters(m: Model) -> DataFrame:
-    billed = m.users.withColumn("stripe_customer_id", F.when(F.col("user_id") % 2 == 0, F.col("email")))
+    billed = m.users.withColumn("stripe_customer_id", F.when(F.col("subscription_status") != "inactive", F.col("email")))
     traced = m.audit.withColumn("request_id", F.when(F.col("action") == "error", F.col("id").cast("string")))
     subsets = {
         "sessions": filters.active_sessions(m.sessions), "collections": filters.public_collections(m.collections),

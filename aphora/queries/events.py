@@ -214,7 +214,7 @@ def sessions_gap(m: Model) -> DataFrame:
     return series.activity_sessions(m.ev, "user_id", "ts")
 
 
-_FOLD = """
+BREAKER_FOLD = """
   WITH RECURSIVE calls AS MATERIALIZED (SELECT endpoint, call_id, ts, outcome = 'failure' AS failed,
       row_number() OVER (PARTITION BY endpoint ORDER BY ts, call_id) AS rn FROM call_log),
     fold AS (
@@ -232,12 +232,12 @@ _FOLD = """
 """
 
 
-@query("breaker_fold", f"{_FOLD} SELECT endpoint, call_id, ts, allowed, state, failures FROM fold WHERE rn > 0")
+@query("breaker_fold", f"{BREAKER_FOLD} SELECT endpoint, call_id, ts, allowed, state, failures FROM fold WHERE rn > 0")
 def breaker_fold(m: Model) -> DataFrame:
     return health.breaker_states(m.call_log)
 
 
-@query("breaker_status", f"""{_FOLD} SELECT endpoint, last(state ORDER BY rn) AS state, last(failures ORDER BY rn) AS failures,
+@query("breaker_status", f"""{BREAKER_FOLD} SELECT endpoint, last(state ORDER BY rn) AS state, last(failures ORDER BY rn) AS failures,
     max(last_failure) AS last_failure, epoch_us(TIMESTAMP '{AS_OF}') // 1000 - epoch_us(max(last_failure)) // 1000 AS ms_since_last_failure
   FROM fold GROUP BY endpoint""")
 def breaker_status(m: Model) -> DataFrame:

@@ -217,8 +217,8 @@ def recommendation_prompt(m: Model) -> DataFrame:
     """The prompt of every user that was ever active."""
     islands = series.streak_islands(m.ev, "user_id", "ts")
     logins = islands.groupBy("user_id").agg(F.max_by("days", "last_day").alias("login_streak"), F.sum("days").alias("total_logins"))
-    active = relations.existing(m.users, logins, "user_id")
-    profiles = profile.user_profile(active, m.favorites, m.quotes, m.views, as_of()).join(logins, "user_id")
+    active = m.users.join(logins, "user_id")
+    profiles = profile.user_profile(active, m.favorites, m.quotes, m.views, as_of())
     profiles = profiles.withColumn("account_age", F.coalesce("account_age", F.lit(0)))
     asked = recommend.candidate_quotes(active, m.views, m.quotes, SEED, default_categories=DEFAULT_CATEGORIES,
                                        default_lang=DEFAULT_LANG)

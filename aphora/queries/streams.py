@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from aphora import schemas
 from aphora.plans import logs, search
+from aphora.queries.events import BREAKER_FOLD
 from aphora.queries.registry import query
 from aphora.session import shared_dir
 from aphora.sources import sinks, tables
@@ -46,9 +47,8 @@ def stream_ingest(m: Model) -> DataFrame:
 
 @query("stream_dedupe", "SELECT DISTINCT event_id, event_type, ts FROM webhook_events")
 def stream_dedupe(m: Model) -> DataFrame:
-    once = _stream(m).select(F.concat(F.lit("evt_"), F.col("event_id").cast("string")).alias("event_id"), "event_type", "ts",
-                             F.col("event_id").alias("n"))
-    events = once.unionByName(once.where(F.col("n") % 7 == 0)).drop("n")
+    once = _stream(m).select(F.concat(F.lit("evt_"), F.col("event_id").cast("string")).alias("event_id"), "event_type", "ts")
+    events = once.unionByName(once.where(F.col("event_type") == "purchase"))
     return _run(m, jobs.consume_once(events, ["event_id", "event_type"]), "dedupe").select("event_id", "event_type", *_local("ts"))
 
 
@@ -99,7 +99,7 @@ def stream_counters(m: Model) -> DataFrame:
     return jobs.current_counters(m.spark, f"{root}/out", ["user_id", "event_type"])
 
 
-@query("stream_breaker")
+@query("stream_breaker", f"{BREAKER_FOLD} SELECT endpoint, call_id, ts, allowed, state, failures FROM fold WHERE rn > 0")
 def stream_breaker(m: Model) -> DataFrame:
     calls = _stream(m).select(
         F.concat(F.lit("POST-host"), (F.col("user_id") % 5).cast("string")).alias("endpoint"), F.col("event_id").alias("call_id"), "ts",

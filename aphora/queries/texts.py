@@ -187,9 +187,9 @@ def term_frequencies(m: Model) -> DataFrame:
     return search.inverted_index(m.quotes).groupBy("term").agg(F.count("*").alias("quotes"))
 
 
-@query("tag_containment", "SELECT quote_id FROM quotes WHERE list_has_all(tags, ['wisdom', 'src7'])")
+@query("tag_containment", "SELECT quote_id FROM quotes WHERE list_has_all(tags, ['wisdom', 'src1'])")
 def tag_containment(m: Model) -> DataFrame:
-    return m.quotes.where(filters.tags_include(F.col("tags"), ["wisdom", "src7"])).select("quote_id")
+    return m.quotes.where(filters.tags_include(F.col("tags"), ["wisdom", "src1"])).select("quote_id")
 
 
 _PLACE = _hex(f"concat('{SEED}:', CAST(conv_id AS STRING), ':', CAST(turn AS STRING))", "15")

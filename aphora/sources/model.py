@@ -131,9 +131,9 @@ class Model:
 
     @cached_property
     def webhook_events(self) -> DataFrame:
-        once = self.ev.select(F.concat(F.lit("evt_"), F.col("event_id").cast("string")).alias("event_id"),
-                              "event_type", "ts", F.col("event_id").alias("n"))
-        return once.unionByName(once.where(F.col("n") % 7 == 0)).drop("n")
+        """Every event as a webhook; purchases are delivered twice."""
+        once = self.ev.select(F.concat(F.lit("evt_"), F.col("event_id").cast("string")).alias("event_id"), "event_type", "ts")
+        return once.unionByName(once.where(F.col("event_type") == "purchase"))
 
     @cached_property
     def call_log(self) -> DataFrame:
@@ -337,7 +337,8 @@ ORACLE_CTES = {
     "webhook_events": """
       SELECT concat('evt_', CAST(event_id AS STRING)) AS event_id, event_type, ts FROM ev
       UNION ALL
-      SELECT concat('evt_', CAST(event_id AS STRING)) AS event_id, event_type, ts FROM ev WHERE event_id % 7 = 0""",
+      SELECT concat('evt_', CAST(event_id AS STRING)) AS event_id, event_type, ts FROM ev
+      WHERE event_type = 'purchase'""",
     "call_log": """
       SELECT concat('POST-host', CAST(user_id % 5 AS STRING)) AS endpoint, event_id AS call_id, ts,
         CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS outcome FROM ev""",
