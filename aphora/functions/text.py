@@ -15,9 +15,13 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Fixed value: the same characters as a plain text.
+SPACE_CHARACTERS = "\t\n\v\f\r \u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(c: Column | str) -> Column:
     """Trim every white-space character, not only blanks."""
-    return F.regexp_replace(_col(c), rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(_col(c), F.lit(SPACE_CHARACTERS))
 
 
 def blank_to_null(c: Column | str) -> Column:

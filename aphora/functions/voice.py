@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -36,15 +37,25 @@ EXTENDED_RULES = MoodRules(
 )
 
 
-def classify_mood(text: Column, tags: Column | None = None, rules: MoodRules = EXTENDED_RULES) -> Column:
-    lowered = F.lower(text)
+def _mentions(lowered: Column, pattern: str) -> Column:
+    """Whether the pattern occurs. Plain alternatives become substring tests, which beat a regular expression."""
+    if not re.fullmatch(r"\w+(\|\w+)*", pattern):
+        return lowered.rlike(pattern)
+    hit = F.lit(False)
+    for word in pattern.split("|"):
+        hit = hit | lowered.contains(word)
+    return hit
+
+
+def classify_mood(lowered: Column, tags: Column | None = None, rules: MoodRules = EXTENDED_RULES) -> Column:
+    """The mood of a text. It must be in lower case: that is done once per text, not once per pattern."""
     mood = F.lit(rules.default)
     for name, pattern in reversed(rules.patterns.items()):
-        hit = lowered.rlike(pattern)
+        hit = _mentions(lowered, pattern)
         if tags is not None and name in rules.tags:
             hit = hit | F.coalesce(F.array_contains(tags, rules.tags[name]), F.lit(False))
         mood = F.when(hit, F.lit(name)).otherwise(mood)
-    return F.when(text.isNotNull(), mood)
+    return F.when(lowered.isNotNull(), mood)
 
 
 def _voice_lists() -> dict[str, list[str]]:

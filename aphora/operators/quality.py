@@ -84,7 +84,7 @@ _ALWAYS = (lambda: F.lit(True))
 def js_number(text: Column) -> Column:
     """The number a text denotes as a whole: blank is zero, ``0x10`` is 16, ``5d`` is none."""
     t = trim(text)
-    value = F.when(t == "", F.lit(0.0)).when(t.rlike(NUMBER), t.try_cast("double"))
+    value = F.when(t.rlike(NUMBER), t.try_cast("double")).when(t == "", F.lit(0.0))
     value = value.when(t.rlike(r"^[+]?Infinity\z"), F.lit(float("inf"))).when(t == "-Infinity", F.lit(float("-inf")))
     for base, pattern in RADIX_NUMBERS.items():
         value = value.when(t.rlike(pattern), F.conv(F.regexp_extract(t, pattern, 1), base, 10).try_cast("double"))
@@ -101,6 +101,31 @@ def js_date(text: Column) -> Column:
     return F.when(text.rlike(ISO_DATE), F.try_to_timestamp(text))
 
 
+def parse_value(value: Column, kind: T.DataType, rule: Rule) -> Column:
+    """The value as the kind of the rule, null where it is not one. Other kinds are taken as they are."""
+    text, numeric = isinstance(kind, T.StringType), isinstance(kind, T.NumericType)
+    if rule.kind == "number":
+        if text:
+            return js_number(value)
+        if numeric:
+            return F.when(~F.isnan(value.cast("double")), value.cast("double"))
+        return value.cast("double") if isinstance(kind, T.BooleanType) else F.lit(None).cast("double")
+    if rule.kind == "boolean":
+        if text:
+            return js_boolean(value)
+        if numeric:
+            return F.when(value == 1, True).when(value == 0, False)
+        return value if isinstance(kind, T.BooleanType) else F.lit(None).cast("boolean")
+    if rule.kind == "date":
+        if text:
+            return js_date(value)
+        if numeric:
+            return F.timestamp_millis(value.cast("bigint"))
+        zoned = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        return value.cast("timestamp") if zoned else F.lit(None).cast("timestamp")
+    return value
+
+
 def _string(value: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Result:
     if not isinstance(kind, T.StringType):
         return _Result(value, [(_ALWAYS(), "type")])
@@ -116,15 +141,7 @@ def _string(value: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Resul
     return _Result(sanitize(value) if rule.sanitize else value, codes)
 
 
-def _number(value: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Result:
-    if isinstance(kind, T.StringType):
-        number = js_number(value)
-    elif isinstance(kind, T.NumericType):
-        number = F.when(~F.isnan(value.cast("double")), value.cast("double"))
-    elif isinstance(kind, T.BooleanType):
-        number = value.cast("double")
-    else:
-        return _Result(F.lit(None).cast("double"), [(_ALWAYS(), "not_number")])
+def _number(number: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Result:
     codes = [(number.isNull(), "not_number")]
     if rule.minimum is not None:
         codes.append((number < F.lit(float(rule.minimum)), "min"))
@@ -136,27 +153,11 @@ def _number(value: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Resul
     return _Result(number, codes)
 
 
-def _boolean(value: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Result:
-    if isinstance(kind, T.BooleanType):
-        return _Result(value)
-    if isinstance(kind, T.StringType):
-        flag = js_boolean(value)
-    elif isinstance(kind, T.NumericType):
-        flag = F.when(value == 1, True).when(value == 0, False)
-    else:
-        flag = F.lit(None).cast("boolean")
+def _boolean(flag: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Result:
     return _Result(flag, [(flag.isNull(), "not_boolean")])
 
 
-def _date(value: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Result:
-    if isinstance(kind, T.StringType):
-        moment = js_date(value)
-    elif isinstance(kind, T.NumericType):
-        moment = F.timestamp_millis(value.cast("bigint"))
-    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        moment = value.cast("timestamp")
-    else:
-        return _Result(F.lit(None).cast("timestamp"), [(_ALWAYS(), "date")])
+def _date(moment: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Result:
     codes = [(moment.isNull(), "date")]
     if rule.min_date is not None:
         codes.append((moment < F.lit(rule.min_date).cast("timestamp"), "min_date"))
@@ -263,13 +264,15 @@ _KINDS = {
 }
 
 
-def compile_rule(value: Column, kind: T.DataType, rule: Rule, strict: bool = False) -> _Result:
+def compile_rule(value: Column, kind: T.DataType, rule: Rule, strict: bool = False, parsed: Column | None = None) -> _Result:
     """Error codes and cleaned value of one column under one rule.
 
-    A required value that is missing or blank has that one error. An optional null is valid as it is.
+    A required value that is missing or blank has that one error. An optional null is valid as it is. ``parsed``
+    is the result of :func:`parse_value` where the caller already has it as a column.
     """
     compiled = _KINDS.get(rule.kind)
-    result = compiled(value, kind, rule, strict) if compiled else _Result(value, [(_ALWAYS(), "type")])
+    usable = parse_value(value, kind, rule) if parsed is None else parsed
+    result = compiled(usable, kind, rule, strict) if compiled else _Result(value, [(_ALWAYS(), "type")])
     found = result.errors()
     if rule.check is not None:
         passed = F.coalesce(rule.check(result.clean), F.lit(False))
@@ -287,28 +290,42 @@ def _prefixed(name: str, errors: Column) -> Column:
     return F.transform(errors, lambda e: F.concat(F.lit(f"{name}:"), e))
 
 
+_PARSED_KINDS = ("number", "boolean", "date")
+
+
+def _compiled(df: DataFrame, rules: dict[str, Rule], strict: bool) -> tuple[DataFrame, dict[str, _Result], list[str]]:
+    """The rules over a table that holds every parsed value as a column, so that each value is parsed once."""
+    schema = df.schema
+    parsed = {
+        f"_parsed_{name}": parse_value(F.col(name), schema[name].dataType, rule)
+        for name, rule in rules.items() if rule.kind in _PARSED_KINDS
+    }
+    staged = df.withColumns(parsed) if parsed else df
+    results = {
+        name: compile_rule(F.col(name), schema[name].dataType, rule, strict,
+                           F.col(f"_parsed_{name}") if rule.kind in _PARSED_KINDS else None)
+        for name, rule in rules.items()
+    }
+    return staged, results, list(parsed)
+
+
 def validate(df: DataFrame, rules: dict[str, Rule], strict: bool = False) -> DataFrame:
     """Adds ``<column>__clean`` for every rule, ``errors`` (``column:code``) and ``valid``."""
-    added, lists = {}, []
-    for name, rule in rules.items():
-        result = compile_rule(F.col(name), df.schema[name].dataType, rule, strict)
-        added[f"{name}__clean"] = result.clean
-        lists.append(_prefixed(name, result.errors()))
-    added["errors"] = F.concat(*lists)
-    return df.withColumns(added).withColumn("valid", F.size("errors") == 0)
+    staged, results, helpers = _compiled(df, rules, strict)
+    added = {f"{name}__clean": r.clean for name, r in results.items()}
+    added["errors"] = F.concat(*[_prefixed(name, r.errors()) for name, r in results.items()])
+    return staged.withColumns(added).drop(*helpers).withColumn("valid", F.size("errors") == 0)
 
 
 def validate_parts(df: DataFrame, parts: dict[str, dict[str, Rule]], strict: bool = False) -> DataFrame:
     """Validate the parts of a request (params, query, body, headers); ``errors`` maps each failed part to its errors."""
+    every = {name: rule for rules in parts.values() for name, rule in rules.items()}
+    staged, results, helpers = _compiled(df, every, strict)
     entries = []
     for part, rules in parts.items():
-        lists = []
-        for name, rule in rules.items():
-            result = compile_rule(F.col(name), df.schema[name].dataType, rule, strict)
-            lists.append(_prefixed(name, result.errors()))
-        entries += [F.lit(part), F.concat(*lists)]
+        entries += [F.lit(part), F.concat(*[_prefixed(name, results[name].errors()) for name in rules])]
     failed = F.map_filter(F.create_map(*entries), lambda _, e: F.size(e) > 0)
-    return df.withColumn("errors", failed).withColumn("valid", F.size("errors") == 0)
+    return staged.withColumn("errors", failed).drop(*helpers).withColumn("valid", F.size("errors") == 0)
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

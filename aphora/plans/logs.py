@@ -8,18 +8,31 @@ from pyspark.sql import functions as F
 from aphora.functions.masking import mask_json_text
 from aphora.operators import filters
 
-# Fixed value: the form of a log line: [time] [LEVEL] [request] message {json}; request and JSON are optional.
-LINE = r"^\[([^\]]+)\] \[(\w+)\] (?:\[([^\]]+)\] )?(.*?)(?: (\{.*\}))?$"
+# Fixed value: how a log line begins: [time] [LEVEL] [request], the request being optional. The message follows,
+# and a JSON object may end the line.
+HEADER = r"^\[([^\]]+)\] \[(\w+)\] (?:\[([^\]]+)\] )?"
 
 
 def parse_logs(lines: DataFrame, column: str = "value") -> DataFrame:
-    """The parts of each line; ``malformed`` marks lines that are not log lines."""
-    def part(i: int) -> Column:
-        return F.nullif(F.regexp_extract(column, LINE, i), F.lit(""))
+    """The parts of each line; ``malformed`` marks lines that are not log lines.
 
-    return lines.select(
+    Only the beginning is matched by a pattern. What is left is cut at the first `` {`` if the line ends in ``}``,
+    which needs no search back and forth.
+    """
+    def part(i: int) -> Column:
+        return F.nullif(F.regexp_extract(column, HEADER, i), F.lit(""))
+
+    header = F.length(F.regexp_extract(column, HEADER, 0))
+    cut = lines.select(F.col(column), F.substring(F.col(column), header + 1, F.length(column)).alias("_rest"))
+    brace = F.when(F.endswith(F.col("_rest"), F.lit("}")), F.locate(" {", F.col("_rest")))
+    has_meta = F.coalesce(F.col("_brace") > 0, F.lit(False))
+    cut = cut.withColumn("_brace", brace)
+    message = F.when(has_meta, F.substring(F.col("_rest"), F.lit(1), F.col("_brace") - 1)).otherwise(F.col("_rest"))
+    return cut.select(
         part(1).try_cast("timestamp_ntz").alias("logged_at"), part(2).alias("level"), part(3).alias("request_id"),
-        part(4).alias("message"), part(5).alias("meta"), (~F.col(column).rlike(LINE)).alias("malformed"),
+        F.nullif(message, F.lit("")).alias("message"),
+        F.when(has_meta, F.substring(F.col("_rest"), F.col("_brace") + 1, F.length("_rest"))).alias("meta"),
+        (F.length(F.regexp_extract(column, HEADER, 0)) == 0).alias("malformed"),
         F.col(column).alias("line"),
     )
 

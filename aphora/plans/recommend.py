@@ -37,29 +37,34 @@ def quote_of_the_day(quotes: DataFrame, seed: int, category: str | None = None,
     return quotes.where(F.col("quote_id") == winner.select("quote_id").scalar())
 
 
-def candidate_quotes(users: DataFrame, views: DataFrame, quotes: DataFrame, seed: int, n: int = 20,
-                     n_categories: int = 5, default_categories: list[str] = DEFAULT_CATEGORIES,
-                     default_lang: str = DEFAULT_LANG) -> DataFrame:
-    """Up to n quotes per user, drawn from the user's top categories in the user's language.
+def candidate_lists(users: DataFrame, views: DataFrame, quotes: DataFrame, seed: int, n: int = 20,
+                    n_categories: int = 5, default_categories: list[str] = DEFAULT_CATEGORIES,
+                    default_lang: str = DEFAULT_LANG) -> DataFrame:
+    """Up to n quotes per user, drawn from the user's top categories in the user's language, as one list.
 
     The draw orders quotes by a hash that does not depend on the user. A user's n smallest are therefore among
     the n smallest of each (category, language), and keeping only those before the join changes nothing: the
-    pool stays small whatever the size of a category.
+    pool is one list of n ids per category and language, whatever the size of a category. A user merges at most
+    ``n_categories`` such lists.
     """
     top = ranking.ranked_list(profile.top_categories(views, n_categories), "user_id", "position", F.col("category"), "top")
     wanted = users.select("user_id", text_or("lang", default_lang).alias("lang")).join(top, "user_id", "left")
     wanted = wanted.select("user_id", "lang", F.explode(non_empty_or("top", default_categories)).alias("category"))
-    pool = ranking.sample_per_key(
-        quotes.select("quote_id", "category", "lang"), ["category", "lang"], "quote_id", n, seed, "pool_position"
-    )
-    drawn = wanted.join(pool.drop("pool_position"), ["category", "lang"])
-    return ranking.sample_per_key(drawn, ["user_id"], "quote_id", n, seed)
+
+    keyed = quotes.select("quote_id", "category", "lang", hashed_order(seed, "quote_id").alias("draw"))
+    drawn = ranking.first_per_key(keyed, ["category", "lang"], ["draw", "quote_id"], n)
+    pool = drawn.groupBy("category", "lang").agg(F.collect_list(F.struct("draw", "quote_id", "category", "lang")).alias("pool"))
+
+    merged = wanted.join(pool, ["category", "lang"]).groupBy("user_id").agg(F.flatten(F.collect_list("pool")).alias("drawn"))
+    chosen = F.slice(F.sort_array("drawn"), 1, n)
+    item = lambda c: F.struct(c["quote_id"].alias("quote_id"), c["category"].alias("category"), c["lang"].alias("lang"))
+    return merged.select("user_id", F.transform(chosen, item).alias("candidates"))
 
 
-def candidate_lists(candidates: DataFrame) -> DataFrame:
-    """One row per user with the (at most n) candidates in order."""
-    item = F.struct("quote_id", "category", "lang")
-    return ranking.ranked_list(candidates, "user_id", "position", item, "candidates")
+def candidate_rows(lists: DataFrame) -> DataFrame:
+    """The lists of :func:`candidate_lists` as one row per candidate."""
+    rows = lists.select("user_id", F.posexplode("candidates").alias("_i", "c"))
+    return rows.select("user_id", "c.quote_id", "c.category", "c.lang", (F.col("_i") + 1).alias("position"))
 
 
 def parse_answer(completion: Column) -> Column:
@@ -75,13 +80,13 @@ def parse_answer(completion: Column) -> Column:
 
 
 def recommendations(candidates: DataFrame, completions: DataFrame, count: Column) -> DataFrame:
-    """Turn answers into recommendation lists.
+    """Turn answers into recommendation lists, given the candidate lists.
 
     Named candidates keep the order of the answer; they may repeat and may exceed the count. A list that is
     shorter is filled with candidates not named yet, as long as there are any. Candidates (at most n) and the
     lines of one answer are short lists, so after one join by user everything happens within a row.
     """
-    joined = candidate_lists(candidates).join(completions, "user_id", "left")
+    joined = candidates.join(completions, "user_id", "left")
     named = F.filter(
         F.coalesce(parse_answer(F.col("completion")), F.array().cast("array<struct<number:int,explanation:string>>")),
         lambda a: (a["number"] >= 1) & (a["number"] <= F.size("candidates")),

@@ -20,10 +20,18 @@ def searchable(quotes: DataFrame) -> Column:
 
 
 def search(quotes: DataFrame, terms: list[str]) -> DataFrame:
-    """Quotes that contain every term. One pass, no shuffle: each row answers for itself."""
-    found = tokens(searchable(quotes))
-    wanted = F.array(*[F.lit(t.lower()) for t in terms])
-    return quotes.where(F.size(F.array_except(wanted, found)) == 0)
+    """Quotes that contain every term. One pass, no shuffle: each row answers for itself.
+
+    A text without a term as a substring cannot have it as a token; only the others are split into tokens.
+    """
+    wanted = [t.lower() for t in terms]
+    text = searchable(quotes)
+    lowered = F.lower(text)
+    possible = F.lit(True)
+    for term in wanted:
+        possible = possible & lowered.contains(term)
+    absent = F.array_except(F.array(*[F.lit(t) for t in wanted]), tokens(text))
+    return quotes.where(possible).where(F.size(absent) == 0)
 
 
 def inverted_index(quotes: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from aphora.operators import filters, ranking, relations
 
 def quote_moods(quotes: DataFrame, rules: v.MoodRules = v.EXTENDED_RULES) -> DataFrame:
     """Mood and text length of each quote. Texts are read here once and travel no further."""
-    mood = v.classify_mood(F.col("text"), F.col("tags") if rules.tags else None, rules)
-    return quotes.select("quote_id", mood.alias("mood"), F.length("text").alias("text_length"))
+    lowered = quotes.withColumn("_lower", F.lower("text"))
+    mood = v.classify_mood(F.col("_lower"), F.col("tags") if rules.tags else None, rules)
+    return lowered.select("quote_id", mood.alias("mood"), F.length("text").alias("text_length"))
 
 
 def voice_assignment(requests: DataFrame, quotes: DataFrame, users: DataFrame, request_id: str = "id",

@@ -79,8 +79,8 @@ SHARED_CTES.update({
 
 
 def _candidates(m: Model) -> DataFrame:
-    return recommend.candidate_quotes(m.users, m.views, m.quotes, SEED, default_categories=DEFAULT_CATEGORIES,
-                                      default_lang=DEFAULT_LANG)
+    return recommend.candidate_lists(m.users, m.views, m.quotes, SEED, default_categories=DEFAULT_CATEGORIES,
+                                     default_lang=DEFAULT_LANG)
 
 
 @query("user_stats", """
@@ -158,7 +158,7 @@ def user_profile(m: Model) -> DataFrame:
 
 @query("candidate_quotes", "SELECT user_id, quote_id, category, lang, CAST(position AS INT) AS position FROM candidates")
 def candidate_quotes(m: Model) -> DataFrame:
-    return _candidates(m).select("user_id", "quote_id", "category", "lang", "position")
+    return recommend.candidate_rows(_candidates(m))
 
 
 _ANSWERS = """
@@ -220,9 +220,9 @@ def recommendation_prompt(m: Model) -> DataFrame:
     active = m.users.join(logins, "user_id")
     profiles = profile.user_profile(active, m.favorites, m.quotes, m.views, as_of())
     profiles = profiles.withColumn("account_age", F.coalesce("account_age", F.lit(0)))
-    asked = recommend.candidate_quotes(active, m.views, m.quotes, SEED, default_categories=DEFAULT_CATEGORIES,
-                                       default_lang=DEFAULT_LANG)
-    prompts = recommend.recommendation_prompts(profiles, asked, m.quotes, 5)
+    asked = recommend.candidate_lists(active, m.views, m.quotes, SEED, default_categories=DEFAULT_CATEGORIES,
+                                      default_lang=DEFAULT_LANG)
+    prompts = recommend.recommendation_prompts(profiles, recommend.candidate_rows(asked), m.quotes, 5)
     return prompts.select("user_id", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
 
 

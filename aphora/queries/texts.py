@@ -47,8 +47,8 @@ SHARED_CTES["voiced"] = f"""
     WHEN regexp_matches(lower(text), 'confident|strong|powerful|bold|courage') OR list_contains(tags, 'confidence') THEN 'confident'
     ELSE 'motivational' END AS extended_mood FROM quotes""")
 def mood_classify(m: Model) -> DataFrame:
-    text, tags = F.col("text"), F.col("tags")
-    return m.quotes.select(
+    text, tags = F.col("lowered"), F.col("tags")
+    return m.quotes.select("quote_id", "tags", F.lower("text").alias("lowered")).select(
         "quote_id", v.classify_mood(text, tags, PATTERNS).alias("mood"),
         v.classify_mood(text, rules=v.SHORT_RULES).alias("short_mood"),
         v.classify_mood(text, tags, v.EXTENDED_RULES).alias("extended_mood"),
