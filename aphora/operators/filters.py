@@ -54,7 +54,7 @@ def level_rank(level: Column) -> Column:
 def at_least_level(df: DataFrame, minimum: str, column: str = "level") -> DataFrame:
     """Log rows of the minimum level and above; a level outside the list is never dropped."""
     rank = level_rank(F.col(column))
-    return df.where(rank.isNull() | (rank >= dimensions.LOG_LEVELS.index(minimum)))
+    return df.where(F.coalesce(rank >= dimensions.LOG_LEVELS.index(minimum), F.lit(True)))
 
 
 # The subsets the data model keeps at hand.

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aphora import dimensions
-from aphora.functions.text import sanitize, trim
+from aphora.functions.text import SPACE, sanitize, trim
 
 # The formats of the named kinds of text.
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\z"
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z"
-URL = r"(?i)^(https?)://[^\s$.?#].[^\s]*\z"
+URL = rf"(?i)^(https?)://[^$.?#{SPACE[1:-1]}].[^{SPACE[1:-1]}]*\z"
 SAFE_STRING = r"""^[^<>'"`;=]*\z"""
 
 ISO_DATE = (
