@@ -88,6 +88,12 @@ def has_json_key_strict(details: Column, key: str) -> Column:
     return F.try_variant_get(F.try_parse_json(details), f"$.{key}", "variant").isNotNull()
 
 
+def json_field_is(details: Column, path: str, wanted: str) -> Column:
+    """The field at a JSON path holds the value, given as JSON."""
+    found = F.to_json(F.try_variant_get(F.try_parse_json(details), f"$.{path}", "variant"))
+    return F.coalesce(found == wanted, F.lit(False))
+
+
 def tags_include(tags: Column, wanted: list[str]) -> Column:
     """The list holds every wanted tag."""
     return F.coalesce(F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), tags)) == 0, F.lit(False))

@@ -14,6 +14,9 @@ time chunks, and the work is done in three steps:
 
 The map of a chunk is small. Closed and half-open have as many variants as the threshold; open depends on when
 the breaker lets calls through, and only the calls of the chunk's first reset interval can differ in that.
+
+Steps 1 and 3 hold one chunk at a time, so chunks in which an endpoint is busy are made shorter. Step 2 passes
+through an endpoint's maps in order and remembers three numbers.
 """
 
 from __future__ import annotations
@@ -213,11 +216,18 @@ _ENTRY_SCHEMA = (
 _CALL_SCHEMA = "endpoint string, call_id bigint, t bigint, allowed boolean, code bigint, failures bigint"
 
 
-def _chunked(calls: DataFrame, chunk_ms: int) -> DataFrame:
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
+def _chunked(calls: DataFrame, breaker: Breaker, chunk_ms: int, max_calls: int) -> DataFrame:
+    """Calls with the start of their chunk: a chunk of the given length or, where that would hold too many calls of
+    an endpoint, one of twice the reset time."""
+    t, width, short = F.unix_micros(F.col("ts").cast("timestamp")), chunk_ms * 1000, 2 * breaker.reset
     failed = F.col("outcome") == "failure"
     timed = calls.select("endpoint", "call_id", t.alias("t"), failed.alias("failed"))
-    return timed.withColumn("chunk", F.floor(F.col("t") / (chunk_ms * 1000)))
+    timed = timed.withColumn("block", F.floor(F.col("t") / width) * width)
+    counts = timed.groupBy("endpoint", "block").agg(F.count("*").alias("n"))
+    busy = counts.where(F.col("n") > max_calls).select("endpoint", "block", F.lit(True).alias("busy"))
+    part = F.greatest(F.floor(F.col("t") / short) * short, F.col("block"))
+    chunk = F.when(F.col("busy"), part).otherwise(F.col("block"))
+    return timed.join(busy, ["endpoint", "block"], "left").withColumn("chunk", chunk).drop("block", "busy")
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
@@ -230,9 +240,9 @@ def _in_order(rows: DataFrame) -> DataFrame:
     return placed.sortWithinPartitions("endpoint", "chunk", "t", "call_id")
 
 
-def chunk_maps(chunked: DataFrame, breaker: Breaker, chunk_ms: int) -> DataFrame:
+def chunk_maps(chunked: DataFrame, breaker: Breaker) -> DataFrame:
     """Step 1: the state map of every chunk."""
-    limit, width = breaker.threshold, chunk_ms * 1000
+    limit = breaker.threshold
     variants = [(CLOSED, f) for f in range(limit)] + [(HALF_OPEN, f) for f in range(1, limit)]
 
     def summary(piece: Piece) -> tuple:
@@ -242,7 +252,7 @@ def chunk_maps(chunked: DataFrame, breaker: Breaker, chunk_ms: int) -> DataFrame
         chunk = int(piece["chunk"][0])
         # Before this chunk the breaker opened at the latest at its beginning, so it lets calls through at the
         # latest one reset interval into it: only that many calls can be the first.
-        reachable = np.searchsorted(run.times, chunk * width + breaker.reset, side="left") + 1
+        reachable = np.searchsorted(run.times, chunk + breaker.reset, side="left") + 1
         until, ends = run.times[:reachable], exits[:reachable]
         last_of_its_kind = np.append(np.any(ends[1:] != ends[:-1], axis=1), True)
         until, ends = until[last_of_its_kind], ends[last_of_its_kind]
@@ -260,30 +270,34 @@ def chunk_maps(chunked: DataFrame, breaker: Breaker, chunk_ms: int) -> DataFrame
 
 
 def chunk_entries(maps: DataFrame, breaker: Breaker) -> DataFrame:
-    """Step 2: the state before and after every chunk. One row per chunk, whatever the number of calls."""
+    """Step 2: the state before and after every chunk. An endpoint's maps pass by in order; none is kept."""
     limit = breaker.threshold
+    columns = ["endpoint", "chunk", "code", "failures", "last", "exit_code", "exit_failures", "exit_last"]
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        code, failures, last, rows = CLOSED, 0, NEVER, []
-        for m in pdf.itertuples(index=False):
-            before = (code, failures, last)
-            if code == OPEN:
-                place = int(np.searchsorted(m.open_until, last + breaker.reset, side="right"))
-                if place < len(m.open_until):
-                    code, failures = int(m.open_code[place]), int(m.open_failures[place])
-                    seen = int(m.open_last[place])
-                    last = seen if seen != NEVER else last
-            else:
-                place = failures if code == CLOSED else limit + failures - 1
-                code, failures = int(m.entry_code[place]), int(m.entry_failures[place])
-                seen = int(m.entry_last[place])
-                last = seen if seen != NEVER else last
-            rows.append((m.endpoint, m.chunk, *before, code, failures, last))
-        return pd.DataFrame(rows, columns=["endpoint", "chunk", "code", "failures", "last", "exit_code",
-                                           "exit_failures", "exit_last"])
-
-    return maps.groupBy("endpoint").applyInPandas(follow, _ENTRY_SCHEMA)
+    def after(m, code: int, failures: int, last: int) -> tuple[int, int, int]:
+        if code == OPEN:
+            place = int(np.searchsorted(m.open_until, last + breaker.reset, side="right"))
+            if place == len(m.open_until):
+                return code, failures, last
+            found = m.open_code[place], m.open_failures[place], m.open_last[place]
+        else:
+            place = failures if code == CLOSED else limit + failures - 1
+            found = m.entry_code[place], m.entry_failures[place], m.entry_last[place]
+        code, failures, seen = (int(x) for x in found)
+        return code, failures, seen if seen != NEVER else last
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        endpoint, state = None, (CLOSED, 0, NEVER)
+        for batch in batches:
+            rows = []
+            for m in batch.itertuples(index=False):
+                before = state if m.endpoint == endpoint else (CLOSED, 0, NEVER)
+                endpoint, state = m.endpoint, after(m, *before)
+                rows.append((m.endpoint, m.chunk, *before, *state))
+            yield pd.DataFrame(rows, columns=columns)
+
+    placed = maps.repartition("endpoint").sortWithinPartitions("endpoint", "chunk")
+    return placed.mapInPandas(follow, _ENTRY_SCHEMA)
 
 
 def replay(chunked: DataFrame, entries: DataFrame, breaker: Breaker) -> DataFrame:
@@ -317,23 +331,28 @@ def named_states(rows: DataFrame) -> DataFrame:
     )
 
 
-def _check_chunk(breaker: Breaker, chunk_ms: int) -> None:
+# A chunk of this many calls takes some hundred megabytes in a Python worker.
+MAX_CALLS = 2_000_000
+
+
+def _prepared(calls: DataFrame, breaker: Breaker, chunk_ms: int, max_calls: int) -> tuple[DataFrame, DataFrame]:
     if chunk_ms < breaker.reset_ms:
         raise ValueError("a chunk must be at least as long as the reset time")
+    chunked = _chunked(calls, breaker, chunk_ms, max_calls)
+    return chunked, chunk_entries(chunk_maps(chunked, breaker), breaker)
 
 
-def breaker_states(calls: DataFrame, breaker: Breaker = Breaker(), chunk_ms: int = 3_600_000) -> DataFrame:
+def breaker_states(calls: DataFrame, breaker: Breaker = Breaker(), chunk_ms: int = 3_600_000,
+                   max_calls: int = MAX_CALLS) -> DataFrame:
     """State and failure count after every call; ``allowed`` is false for rejected calls."""
-    _check_chunk(breaker, chunk_ms)
-    chunked = _chunked(calls, chunk_ms)
-    entries = chunk_entries(chunk_maps(chunked, breaker, chunk_ms), breaker)
+    chunked, entries = _prepared(calls, breaker, chunk_ms, max_calls)
     return named_states(replay(chunked, entries, breaker))
 
 
-def breaker_status(calls: DataFrame, as_of: Column, breaker: Breaker = Breaker(), chunk_ms: int = 3_600_000) -> DataFrame:
+def breaker_status(calls: DataFrame, as_of: Column, breaker: Breaker = Breaker(), chunk_ms: int = 3_600_000,
+                   max_calls: int = MAX_CALLS) -> DataFrame:
     """The last state of every endpoint; the age of the last failure is null if there never was one."""
-    _check_chunk(breaker, chunk_ms)
-    entries = chunk_entries(chunk_maps(_chunked(calls, chunk_ms), breaker, chunk_ms), breaker)
+    _, entries = _prepared(calls, breaker, chunk_ms, max_calls)
     latest = entries.groupBy("endpoint").agg(
         F.max_by(F.struct("exit_code", "exit_failures", "exit_last"), "chunk").alias("s")
     )

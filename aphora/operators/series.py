@@ -139,12 +139,16 @@ def brute_force(events: DataFrame, key: str, at: str, identifier: str, threshold
 
 
 def metric_buckets(metrics: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Minimum, maximum, mean and last value per metric and time bucket; the last by time, then id."""
+    """Minimum, maximum, mean and last value per metric and time bucket; the last by time, then id.
+
+    Time and id form one number: ordering by a struct would replace the hash aggregation by a sort of all rows.
+    """
     window = F.window("metric_ts", width)
+    place = _micros("metric_ts").cast("decimal(20,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("id")
     grouped = metrics.groupBy("metric_name", window.alias("_w")).agg(
         F.min("metric_value").alias("min_value"), F.max("metric_value").alias("max_value"),
         F.sum("metric_value").alias("_sum"), F.count("metric_value").alias("n"),
-        F.max_by("metric_value", F.struct("metric_ts", "id")).alias("last_value"),
+        F.max_by("metric_value", place.cast("decimal(38,0)")).alias("last_value"),
     )
     mean = F.col("_sum").cast("double") / F.col("n")
     return grouped.select("metric_name", F.col("_w.start").alias("bucket_start"), "min_value", "max_value",

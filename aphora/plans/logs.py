@@ -88,10 +88,12 @@ def route_latency(parsed: DataFrame) -> DataFrame:
 
 
 def pair_requests(events: DataFrame) -> DataFrame:
-    """Response time of each request from its start and end rows; a request without an end has none."""
+    """Response time of each request from its start and end rows; a request without an end has none.
+
+    Both rows carry method and URL, so these are keys: as aggregates of text they would force a sort.
+    """
     start, end = F.col("phase") == "start", F.col("phase") == "end"
-    paired = events.groupBy("request_id").agg(
-        F.min("method").alias("method"), F.min("url").alias("url"),
+    paired = events.groupBy("request_id", "method", "url").agg(
         F.min(F.when(start, F.col("ts"))).alias("started_at"), F.max(F.when(end, F.col("ts"))).alias("ended_at"),
         F.max("status_code").alias("status_code"),
     )

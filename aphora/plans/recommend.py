@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aphora.functions import prompts
 from aphora.functions.text import SPACE, cache_key, completion_text, hashed_order, non_empty_or, text_or, trim
-from aphora.operators import filters, lifecycle, ranking, relations
+from aphora.operators import filters, lifecycle, quality, ranking, relations
 from aphora.plans import profile
 from aphora.sources import sinks
 
@@ -137,6 +137,14 @@ def recommendation_prompts(profiles: DataFrame, candidates: DataFrame, quotes: D
     return joined.select("user_id", prompt.alias("prompt"))
 
 
+def accepted_requests(requests: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """Personalisation requests that meet the rules, with defaults filled in, and the rejected ones with reasons."""
+    good, rejected = quality.split_valid(quality.validate(requests, {body: quality.PERSONALIZE_RULES}))
+    fields = quality.PERSONALIZE_RULES.properties
+    others = [c for c in requests.columns if c != body]
+    return good.select(*others, *[F.col(f"{body}__clean.{f}").alias(f) for f in fields]), rejected.select(*others, "errors")
+
+
 def personalize_prompts(requests: DataFrame, favorites: DataFrame, quotes: DataFrame, n: int = 5) -> DataFrame:
     """The request text of each personalisation request, with the user's newest favorites as context."""
     latest = profile.favorites_with_quotes(favorites, quotes, n)

@@ -288,6 +288,11 @@ def partial_filters(m: Model) -> DataFrame:
     return out
 
 
+@query("json_containment", "SELECT id FROM audit WHERE details = '{\"k\": 7}'")
+def json_containment(m: Model) -> DataFrame:
+    return m.audit.where(filters.json_field_is(F.col("details"), "k", "7")).select("id")
+
+
 @query("append_rows", """
   SELECT quote_id, text, category, lang FROM quotes
   UNION ALL SELECT item_id, text, 'focus', NULL FROM benchmark""")

@@ -233,15 +233,22 @@ def recommendation_prompt(m: Model) -> DataFrame:
     concat('Generează un citat motivațional personalizat cu următoarele caracteristici:', chr(10),
       '- Preferințe utilizator: ', array_to_string(r.preferences, ', '), chr(10), '- Teme de interes: ', array_to_string(r.topics, ', '),
       chr(10), '- Stil: ', r.style, chr(10), '- Lungime: ', CASE r.length WHEN 'short' THEN '30-50 caractere'
-        WHEN 'medium' THEN '80-120 caractere' ELSE '150-200 caractere' END, chr(10), '- Limba: ',
+        WHEN 'medium' THEN '80-120 caractere' END, chr(10), '- Limba: ',
       CASE r.language WHEN 'ro' THEN 'română' WHEN 'en' THEN 'engleză' ELSE r.language END, chr(10), chr(10),
       CASE WHEN f.texts IS NULL THEN '' ELSE concat('Citate favorite ale utilizatorului (pentru context):', chr(10), f.texts) END,
       chr(10), chr(10), 'Răspunde doar cu citatul generat, fără ghilimele sau alte explicații.') AS prompt
-  FROM personalize_requests r LEFT JOIN (SELECT user_id,
+  FROM (SELECT * REPLACE (CASE WHEN style = 'playful' THEN 'motivational' ELSE style END AS style,
+    CASE WHEN language = 'ro' THEN 'ro' ELSE language END AS language) FROM personalize_requests WHERE length <> 'long') r LEFT JOIN (SELECT user_id,
     string_agg(concat(CAST(position AS STRING), '. "', text, '"'), chr(10) ORDER BY position) AS texts
     FROM liked_quotes WHERE position <= 5 GROUP BY user_id) f ON f.user_id = r.user_id) x""")
 def personalize_prompt(m: Model) -> DataFrame:
-    prompts = recommend.personalize_prompts(m.personalize_requests, m.favorites, m.quotes, 5)
+    """Requests that lack topics are rejected; style and language may be left to their defaults."""
+    body = F.struct(
+        "preferences", F.when(F.col("length") != "long", F.col("topics")).alias("topics"),
+        F.nullif(F.col("style"), F.lit("playful")).alias("style"), "length", F.nullif(F.col("language"), F.lit("ro")).alias("language"),
+    )
+    accepted, _ = recommend.accepted_requests(m.personalize_requests.select("request_id", "user_id", body.alias("body")))
+    prompts = recommend.personalize_prompts(accepted, m.favorites, m.quotes, 5)
     return prompts.select("request_id", "cache_key", F.md5("prompt").alias("prompt_md5"))
 
 

@@ -67,8 +67,8 @@ def test_chunks_do_not_matter(spark, seed):
     df = frame(spark, calls).unionByName(frame(spark, quiet, "quiet"))
     want, end = step_by_step(calls, breaker)
     others, _ = step_by_step(quiet, breaker)
-    for chunk_ms in (30_000, 60_000, 86_400_000):
-        got = health.breaker_states(df, breaker, chunk_ms)
+    for chunk_ms, max_calls in ((30_000, 10**6), (60_000, 10**6), (86_400_000, 10**6), (1_000_000, 20)):
+        got = health.breaker_states(df, breaker, chunk_ms, max_calls)
         assert tuples(got, "call_id", "allowed", "state", "failures") == sorted(want + others)
     status = health.breaker_status(df, F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"), breaker, 60_000).where("endpoint = 'e'").first()
     assert (status.state, status.failures, status.last_failure) == end
