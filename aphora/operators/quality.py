@@ -1,7 +1,7 @@
 """Declarative row validation with coercion.
 
-Rules are turned into column expressions when the plan is built; no row visits Python. Each rule gives a list
-of error codes and a cleaned value, and a row is valid when all its lists are empty.
+Rules are turned into column expressions when the plan is built; no row visits Python. Each rule gives error
+codes and a cleaned value, and a row is valid when there is no code.
 """
 
 from __future__ import annotations
@@ -57,28 +57,32 @@ class Rule:
     check: Callable[[Column], Column] | None = None
 
 
+# Error codes travel as one text while a rule is compiled and become a list at the very end: text functions stay
+# inside generated code, functions over lists with a lambda do not.
+_MARK = "\u0001"
+
+
 @dataclass
 class _Result:
-    """Problems as (condition, code) pairs and ready-made lists, and the cleaned value."""
+    """The cleaned value, and error texts: each is null, one code, or several with marks between them."""
 
     clean: Column
-    codes: list[tuple[Column, str]] = field(default_factory=list)
-    lists: list[Column] = field(default_factory=list)
+    texts: list[Column] = field(default_factory=list)
 
     def errors(self) -> Column:
-        parts = list(self.lists)
-        if self.codes:
-            parts.insert(0, F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in self.codes])))
-        if not parts:
-            return _no_errors()
-        return parts[0] if len(parts) == 1 else F.concat(*parts)
+        """All error codes as one text, null if there are none."""
+        if not self.texts:
+            return F.lit(None).cast("string")
+        return self.texts[0] if len(self.texts) == 1 else F.nullif(F.concat_ws(_MARK, *self.texts), F.lit(""))
 
 
-def _no_errors() -> Column:
-    return F.array().cast("array<string>")
+def _codes(prefix: str, *problems: tuple[Column, str]) -> list[Column]:
+    return [F.when(problem, F.lit(prefix + code)) for problem, code in problems]
 
 
-_ALWAYS = (lambda: F.lit(True))
+def _listed(text: Column) -> Column:
+    """A text of error codes as a list."""
+    return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(F.split(text, _MARK))
 
 
 def js_number(text: Column) -> Column:
@@ -126,97 +130,104 @@ def parse_value(value: Column, kind: T.DataType, rule: Rule) -> Column:
     return value
 
 
-def _string(value: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Result:
+def _string(value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
     if not isinstance(kind, T.StringType):
-        return _Result(value, [(_ALWAYS(), "type")])
-    codes = []
+        return _Result(value, [F.lit(prefix + "type")])
+    problems = []
     if rule.min_length is not None:
-        codes.append((F.length(value) < rule.min_length, "min_length"))
+        problems.append((F.length(value) < rule.min_length, "min_length"))
     if rule.max_length is not None:
-        codes.append((F.length(value) > rule.max_length, "max_length"))
+        problems.append((F.length(value) > rule.max_length, "max_length"))
     if rule.pattern is not None:
-        codes.append((~value.rlike(rule.pattern), "pattern"))
+        problems.append((~value.rlike(rule.pattern), "pattern"))
     if strict and rule.values:
-        codes.append((~value.isin(*rule.values), "enum"))
-    return _Result(sanitize(value) if rule.sanitize else value, codes)
+        problems.append((~value.isin(*rule.values), "enum"))
+    return _Result(sanitize(value) if rule.sanitize else value, _codes(prefix, *problems))
 
 
-def _number(number: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Result:
-    codes = [(number.isNull(), "not_number")]
+def _number(number: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
+    problems = [(number.isNull(), "not_number")]
     if rule.minimum is not None:
-        codes.append((number < F.lit(float(rule.minimum)), "min"))
+        problems.append((number < F.lit(float(rule.minimum)), "min"))
     if rule.maximum is not None:
-        codes.append((number > F.lit(float(rule.maximum)), "max"))
+        problems.append((number > F.lit(float(rule.maximum)), "max"))
     if rule.integer:
         whole = (number == F.rint(number)) & (F.abs(number) < F.lit(float("inf")))
-        codes.append((~whole, "integer"))
-    return _Result(number, codes)
+        problems.append((~whole, "integer"))
+    return _Result(number, _codes(prefix, *problems))
 
 
-def _boolean(flag: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Result:
-    return _Result(flag, [(flag.isNull(), "not_boolean")])
+def _boolean(flag: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
+    return _Result(flag, _codes(prefix, (flag.isNull(), "not_boolean")))
 
 
-def _date(moment: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Result:
-    codes = [(moment.isNull(), "date")]
+def _date(moment: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
+    problems = [(moment.isNull(), "date")]
     if rule.min_date is not None:
-        codes.append((moment < F.lit(rule.min_date).cast("timestamp"), "min_date"))
+        problems.append((moment < F.lit(rule.min_date).cast("timestamp"), "min_date"))
     if rule.max_date is not None:
-        codes.append((moment > F.lit(rule.max_date).cast("timestamp"), "max_date"))
-    return _Result(moment, codes)
+        problems.append((moment > F.lit(rule.max_date).cast("timestamp"), "max_date"))
+    return _Result(moment, _codes(prefix, *problems))
 
 
 def _format(pattern: str, code: str):
-    def compiled(value: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Result:
+    def compiled(value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
         fits = value.rlike(pattern) if isinstance(kind, T.StringType) else F.lit(False)
-        return _Result(value, [(~fits, code)])
+        return _Result(value, _codes(prefix, (~fits, code)))
 
     return compiled
 
 
-def _enum(value: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Result:
+def _enum(value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
     fits = value.isin(*rule.values) if rule.values else F.lit(False)
-    return _Result(value, [(~fits, "enum")])
+    return _Result(value, _codes(prefix, (~fits, "enum")))
 
 
-def _array(value: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Result:
+def _array(value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
     if not isinstance(kind, T.ArrayType):
-        return _Result(value, [(_ALWAYS(), "not_array")])
-    size = F.size(value)
-    codes = []
+        return _Result(value, [F.lit(prefix + "not_array")])
+    size, sized, problems = F.size(value), F.lit(True), []
     if rule.min_items is not None:
-        codes.append((size < rule.min_items, "min_items"))
+        problems.append((size < rule.min_items, "min_items"))
     if rule.max_items is not None:
-        codes.append((size > rule.max_items, "max_items"))
+        problems.append((size > rule.max_items, "max_items"))
+    for problem, _ in problems:
+        sized = sized & ~problem
+    texts = _codes(prefix, *problems)
     if rule.items is None:
-        return _Result(value, codes)
+        return _Result(value, texts)
     item = rule.items
 
-    def problems(x: Column, i: Column) -> Column:
+    def of_item(x: Column, i: Column) -> Column:
         found = compile_rule(x, kind.elementType, item, strict).errors()
-        return F.when(F.size(found) > 0, F.concat(F.lit("item["), i.cast("string"), F.lit("]:"), F.array_join(found, ",")))
+        named = F.concat(F.lit(f"{prefix}item["), i.cast("string"), F.lit("]:"), F.replace(found, F.lit(_MARK), F.lit(",")))
+        return F.when(found.isNotNull(), named)
 
-    sized = F.lit(True)
-    for bad, _ in codes:
-        sized = sized & ~bad
-    per_item = F.when(sized, F.array_compact(F.transform(value, problems))).otherwise(_no_errors())
-    clean = F.transform(value, lambda x: compile_rule(x, kind.elementType, item, strict).clean)
-    return _Result(clean, codes, [per_item])
+    per_item = F.nullif(F.array_join(F.transform(value, of_item), _MARK), F.lit(""))
+    texts.append(F.when(sized, per_item))
+    if not _rewrites(item):
+        return _Result(value, texts)
+    return _Result(F.transform(value, lambda x: compile_rule(x, kind.elementType, item, strict).clean), texts)
 
 
-def _property(name: str, present: Column, value: Column, kind: T.DataType, rule: Rule, strict: bool) -> tuple[Column, Column]:
-    """Errors of one property, prefixed with its name, and its cleaned value."""
-    result = compile_rule(value, kind, rule, strict)
-    found = result.errors()
-    prefixed = _prefixed(name, found)
-    missing = F.array(F.lit(f"{name}:required")) if strict and rule.required else _no_errors()
+def _rewrites(rule: Rule) -> bool:
+    """Whether the cleaned value can differ from the value."""
+    return rule.sanitize or rule.kind in ("number", "boolean", "date", "object", "array")
+
+
+def _property(name: str, present: Column, value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> tuple[Column, Column]:
+    """Error text of one property, prefixed with its name, and its cleaned value."""
+    result = compile_rule(value, kind, rule, strict, f"{prefix}{name}:")
+    text = F.when(present, result.errors())
+    if strict and rule.required:
+        text = text.when(~present, F.lit(f"{prefix}{name}:required"))
     clean = result.clean
     if rule.default is not None:
         clean = F.when(present, clean).otherwise(F.lit(rule.default))
-    return F.when(present, prefixed).otherwise(missing), clean
+    return text, clean
 
 
-def _object(value: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Result:
+def _object(value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
     properties = rule.properties
     if isinstance(kind, T.StructType):
         names = kind.fieldNames()
@@ -228,34 +239,35 @@ def _object(value: Column, kind: T.DataType, rule: Rule, strict: bool) -> _Resul
         has = lambda n: F.map_contains_key(value, n)
         names = None
     else:
-        return _Result(value, [(_ALWAYS(), "not_object")])
+        return _Result(value, [F.lit(prefix + "not_object")])
     if properties is None:
         return _Result(value)
 
-    codes = [(~has(n), f"missing:{n}") for n in rule.required_keys]
-    lists, cleaned = [], []
+    texts = _codes(prefix, *[(~has(n), f"missing:{n}") for n in rule.required_keys])
+    cleaned = []
     for name, inner in properties.items():
         if names is not None and name not in names:
             column, inner_kind = F.lit(None).cast("string"), T.StringType()
         else:
             column, inner_kind = get(name)
-        errors, clean = _property(name, has(name), column, inner_kind, inner, strict)
-        lists.append(errors)
+        text, clean = _property(name, has(name), column, inner_kind, inner, strict, prefix)
+        texts.append(text)
         cleaned.append(clean.alias(name))
+    refused = f"{prefix}not_allowed:"
     if names is None:
         known = F.array(*[F.lit(n) for n in properties])
         extra = F.array_except(F.map_keys(value), known)
         if rule.additional:
             cleaned.append(F.map_filter(value, lambda k, _: ~F.array_contains(known, k)).alias("additional"))
         else:
-            lists.append(F.transform(extra, lambda k: F.concat(F.lit("not_allowed:"), k)))
+            texts.append(F.when(F.size(extra) > 0, F.concat(F.lit(refused), F.array_join(extra, _MARK + refused))))
     else:
         others = [n for n in names if n not in properties]
         if rule.additional:
             cleaned += [value.getField(n).alias(n) for n in others]
         else:
-            codes += [(present[n], f"not_allowed:{n}") for n in others]
-    return _Result(F.struct(*cleaned), codes, lists)
+            texts += [F.when(present[n], F.lit(refused + n)) for n in others]
+    return _Result(F.struct(*cleaned), texts)
 
 
 _KINDS = {
@@ -264,68 +276,77 @@ _KINDS = {
 }
 
 
-def compile_rule(value: Column, kind: T.DataType, rule: Rule, strict: bool = False, parsed: Column | None = None) -> _Result:
-    """Error codes and cleaned value of one column under one rule.
+def compile_rule(value: Column, kind: T.DataType, rule: Rule, strict: bool = False, prefix: str = "",
+                 parsed: Column | None = None) -> _Result:
+    """Error codes, each with the prefix, and cleaned value of one column under one rule.
 
     A required value that is missing or blank has that one error. An optional null is valid as it is. ``parsed``
     is the result of :func:`parse_value` where the caller already has it as a column.
     """
     compiled = _KINDS.get(rule.kind)
     usable = parse_value(value, kind, rule) if parsed is None else parsed
-    result = compiled(usable, kind, rule, strict) if compiled else _Result(value, [(_ALWAYS(), "type")])
+    result = compiled(usable, kind, rule, strict, prefix) if compiled else _Result(value, [F.lit(prefix + "type")])
     found = result.errors()
     if rule.check is not None:
         passed = F.coalesce(rule.check(result.clean), F.lit(False))
-        found = F.when(F.size(found) == 0, F.when(passed, _no_errors()).otherwise(F.array(F.lit("custom")))).otherwise(found)
+        found = F.coalesce(found, F.when(~passed, F.lit(prefix + "custom")))
     absent = value.isNull()
-    checked = F.when(absent, _no_errors()).otherwise(found)
+    text = F.when(~absent, found)
     if rule.required:
         blank = absent | (value == "") if isinstance(kind, T.StringType) else absent
-        checked = F.when(blank, F.array(F.lit("required"))).otherwise(checked)
-    clean = F.when(~absent, result.clean)
-    return _Result(clean, [], [checked])
-
-
-def _prefixed(name: str, errors: Column) -> Column:
-    return F.transform(errors, lambda e: F.concat(F.lit(f"{name}:"), e))
+        text = F.when(blank, F.lit(prefix + "required")).otherwise(found)
+    return _Result(F.when(~absent, result.clean), [text])
 
 
 _PARSED_KINDS = ("number", "boolean", "date")
 
 
-def _compiled(df: DataFrame, rules: dict[str, Rule], strict: bool) -> tuple[DataFrame, dict[str, _Result], list[str]]:
+def _compiled(df: DataFrame, rules: dict[str, Rule], strict: bool) -> tuple[DataFrame, dict[str, _Result]]:
     """The rules over a table that holds every parsed value as a column, so that each value is parsed once."""
     schema = df.schema
     parsed = {
         f"_parsed_{name}": parse_value(F.col(name), schema[name].dataType, rule)
         for name, rule in rules.items() if rule.kind in _PARSED_KINDS
     }
-    staged = df.withColumns(parsed) if parsed else df
     results = {
-        name: compile_rule(F.col(name), schema[name].dataType, rule, strict,
+        name: compile_rule(F.col(name), schema[name].dataType, rule, strict, f"{name}:",
                            F.col(f"_parsed_{name}") if rule.kind in _PARSED_KINDS else None)
         for name, rule in rules.items()
     }
-    return staged, results, list(parsed)
+    return df.withColumns(parsed) if parsed else df, results
+
+
+def _text_of(results: dict[str, _Result], names) -> Column:
+    return F.concat_ws(_MARK, *[results[name].errors() for name in names])
 
 
 def validate(df: DataFrame, rules: dict[str, Rule], strict: bool = False) -> DataFrame:
     """Adds ``<column>__clean`` for every rule, ``errors`` (``column:code``) and ``valid``."""
-    staged, results, helpers = _compiled(df, rules, strict)
-    added = {f"{name}__clean": r.clean for name, r in results.items()}
-    added["errors"] = F.concat(*[_prefixed(name, r.errors()) for name, r in results.items()])
-    return staged.withColumns(added).drop(*helpers).withColumn("valid", F.size("errors") == 0)
+    staged, results = _compiled(df, rules, strict)
+    checked = staged.select(
+        *df.columns, *[r.clean.alias(f"{name}__clean") for name, r in results.items()],
+        _text_of(results, rules).alias("_errors"),
+    )
+    return checked.withColumns({"errors": _listed(F.col("_errors")), "valid": F.col("_errors") == ""}).drop("_errors")
 
 
 def validate_parts(df: DataFrame, parts: dict[str, dict[str, Rule]], strict: bool = False) -> DataFrame:
-    """Validate the parts of a request (params, query, body, headers); ``errors`` maps each failed part to its errors."""
+    """Validate the parts of a request (params, query, body, headers), each a set of columns.
+
+    ``errors`` maps each failed part to its errors; any error rejects the row.
+    """
     every = {name: rule for rules in parts.values() for name, rule in rules.items()}
-    staged, results, helpers = _compiled(df, every, strict)
-    entries = []
-    for part, rules in parts.items():
-        entries += [F.lit(part), F.concat(*[_prefixed(name, results[name].errors()) for name in rules])]
-    failed = F.map_filter(F.create_map(*entries), lambda _, e: F.size(e) > 0)
-    return staged.withColumn("errors", failed).drop(*helpers).withColumn("valid", F.size("errors") == 0)
+    if len(every) != sum(len(rules) for rules in parts.values()):
+        raise ValueError("a column belongs to one part only")
+    staged, results = _compiled(df, every, strict)
+    checked = staged.select(*df.columns, *[_text_of(results, rules).alias(f"_errors_{part}") for part, rules in parts.items()])
+    entries = [x for part in parts for x in (F.lit(part), _listed(F.col(f"_errors_{part}")))]
+    clean = [F.col(f"_errors_{part}") == "" for part in parts]
+    valid = clean[0]
+    for c in clean[1:]:
+        valid = valid & c
+    errors = F.map_filter(F.create_map(*entries), lambda _, e: F.size(e) > 0)
+    return checked.select(*df.columns, errors.alias("errors"), valid.alias("valid"))
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
