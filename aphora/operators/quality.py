@@ -76,6 +76,14 @@ class _Result:
         return self.texts[0] if len(self.texts) == 1 else F.nullif(F.concat_ws(_MARK, *self.texts), F.lit(""))
 
 
+@dataclass(frozen=True)
+class _Context:
+    """What holds for a whole set of rules: strictness, and the columns that already hold a value and its parsed form."""
+
+    strict: bool = False
+    slots: dict[str, tuple[Column, Column | None]] = field(default_factory=dict)
+
+
 def _codes(prefix: str, *problems: tuple[Column, str]) -> list[Column]:
     return [F.when(problem, F.lit(prefix + code)) for problem, code in problems]
 
@@ -130,7 +138,7 @@ def parse_value(value: Column, kind: T.DataType, rule: Rule) -> Column:
     return value
 
 
-def _string(value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
+def _string(value: Column, kind: T.DataType, rule: Rule, ctx: _Context, prefix: str) -> _Result:
     if not isinstance(kind, T.StringType):
         return _Result(value, [F.lit(prefix + "type")])
     problems = []
@@ -140,12 +148,12 @@ def _string(value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: s
         problems.append((F.length(value) > rule.max_length, "max_length"))
     if rule.pattern is not None:
         problems.append((~value.rlike(rule.pattern), "pattern"))
-    if strict and rule.values:
+    if ctx.strict and rule.values:
         problems.append((~value.isin(*rule.values), "enum"))
     return _Result(sanitize(value) if rule.sanitize else value, _codes(prefix, *problems))
 
 
-def _number(number: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
+def _number(number: Column, kind: T.DataType, rule: Rule, ctx: _Context, prefix: str) -> _Result:
     problems = [(number.isNull(), "not_number")]
     if rule.minimum is not None:
         problems.append((number < F.lit(float(rule.minimum)), "min"))
@@ -157,11 +165,11 @@ def _number(number: Column, kind: T.DataType, rule: Rule, strict: bool, prefix:
     return _Result(number, _codes(prefix, *problems))
 
 
-def _boolean(flag: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
+def _boolean(flag: Column, kind: T.DataType, rule: Rule, ctx: _Context, prefix: str) -> _Result:
     return _Result(flag, _codes(prefix, (flag.isNull(), "not_boolean")))
 
 
-def _date(moment: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
+def _date(moment: Column, kind: T.DataType, rule: Rule, ctx: _Context, prefix: str) -> _Result:
     problems = [(moment.isNull(), "date")]
     if rule.min_date is not None:
         problems.append((moment < F.lit(rule.min_date).cast("timestamp"), "min_date"))
@@ -171,19 +179,19 @@ def _date(moment: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: st
 
 
 def _format(pattern: str, code: str):
-    def compiled(value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
+    def compiled(value: Column, kind: T.DataType, rule: Rule, ctx: _Context, prefix: str) -> _Result:
         fits = value.rlike(pattern) if isinstance(kind, T.StringType) else F.lit(False)
         return _Result(value, _codes(prefix, (~fits, code)))
 
     return compiled
 
 
-def _enum(value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
+def _enum(value: Column, kind: T.DataType, rule: Rule, ctx: _Context, prefix: str) -> _Result:
     fits = value.isin(*rule.values) if rule.values else F.lit(False)
     return _Result(value, _codes(prefix, (~fits, "enum")))
 
 
-def _array(value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
+def _array(value: Column, kind: T.DataType, rule: Rule, ctx: _Context, prefix: str) -> _Result:
     if not isinstance(kind, T.ArrayType):
         return _Result(value, [F.lit(prefix + "not_array")])
     size, sized, problems = F.size(value), F.lit(True), []
@@ -196,10 +204,10 @@ def _array(value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: st
     texts = _codes(prefix, *problems)
     if rule.items is None:
         return _Result(value, texts)
-    item = rule.items
+    item, inside = rule.items, _Context(ctx.strict)
 
     def of_item(x: Column, i: Column) -> Column:
-        found = compile_rule(x, kind.elementType, item, strict).errors()
+        found = compile_rule(x, kind.elementType, item, inside).errors()
         named = F.concat(F.lit(f"{prefix}item["), i.cast("string"), F.lit("]:"), F.replace(found, F.lit(_MARK), F.lit(",")))
         return F.when(found.isNotNull(), named)
 
@@ -207,7 +215,7 @@ def _array(value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: st
     texts.append(F.when(sized, per_item))
     if not _rewrites(item):
         return _Result(value, texts)
-    return _Result(F.transform(value, lambda x: compile_rule(x, kind.elementType, item, strict).clean), texts)
+    return _Result(F.transform(value, lambda x: compile_rule(x, kind.elementType, item, inside).clean), texts)
 
 
 def _rewrites(rule: Rule) -> bool:
@@ -215,11 +223,11 @@ def _rewrites(rule: Rule) -> bool:
     return rule.sanitize or rule.kind in ("number", "boolean", "date", "object", "array")
 
 
-def _property(name: str, present: Column, value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> tuple[Column, Column]:
+def _property(name: str, present: Column, value: Column, kind: T.DataType, rule: Rule, ctx: _Context, prefix: str) -> tuple[Column, Column]:
     """Error text of one property, prefixed with its name, and its cleaned value."""
-    result = compile_rule(value, kind, rule, strict, f"{prefix}{name}:")
+    result = compile_rule(value, kind, rule, ctx, f"{prefix}{name}:")
     text = F.when(present, result.errors())
-    if strict and rule.required:
+    if ctx.strict and rule.required:
         text = text.when(~present, F.lit(f"{prefix}{name}:required"))
     clean = result.clean
     if rule.default is not None:
@@ -227,15 +235,22 @@ def _property(name: str, present: Column, value: Column, kind: T.DataType, rule:
     return text, clean
 
 
-def _object(value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: str) -> _Result:
+def _field(value: Column, kind: T.DataType, name: str) -> tuple[Column, T.DataType]:
+    """A property of an object that is a struct or a map, and its type."""
+    if isinstance(kind, T.MapType):
+        return F.try_element_at(value, F.lit(name)), kind.valueType
+    if name in kind.fieldNames():
+        return value.getField(name), kind[name].dataType
+    return F.lit(None).cast("string"), T.StringType()
+
+
+def _object(value: Column, kind: T.DataType, rule: Rule, ctx: _Context, prefix: str) -> _Result:
     properties = rule.properties
     if isinstance(kind, T.StructType):
         names = kind.fieldNames()
         present = {n: value.getField(n).isNotNull() for n in names}
-        get = lambda n: (value.getField(n), kind[n].dataType)
         has = lambda n: present.get(n, F.lit(False))
     elif isinstance(kind, T.MapType):
-        get = lambda n: (F.try_element_at(value, F.lit(n)), kind.valueType)
         has = lambda n: F.map_contains_key(value, n)
         names = None
     else:
@@ -246,11 +261,8 @@ def _object(value: Column, kind: T.DataType, rule: Rule, strict: bool, prefix: s
     texts = _codes(prefix, *[(~has(n), f"missing:{n}") for n in rule.required_keys])
     cleaned = []
     for name, inner in properties.items():
-        if names is not None and name not in names:
-            column, inner_kind = F.lit(None).cast("string"), T.StringType()
-        else:
-            column, inner_kind = get(name)
-        text, clean = _property(name, has(name), column, inner_kind, inner, strict, prefix)
+        column, inner_kind = _field(value, kind, name)
+        text, clean = _property(name, has(name), column, inner_kind, inner, ctx, prefix)
         texts.append(text)
         cleaned.append(clean.alias(name))
     refused = f"{prefix}not_allowed:"
@@ -276,16 +288,15 @@ _KINDS = {
 }
 
 
-def compile_rule(value: Column, kind: T.DataType, rule: Rule, strict: bool = False, prefix: str = "",
-                 parsed: Column | None = None) -> _Result:
+def compile_rule(value: Column, kind: T.DataType, rule: Rule, ctx: _Context, prefix: str = "") -> _Result:
     """Error codes, each with the prefix, and cleaned value of one column under one rule.
 
-    A required value that is missing or blank has that one error. An optional null is valid as it is. ``parsed``
-    is the result of :func:`parse_value` where the caller already has it as a column.
+    A required value that is missing or blank has that one error. An optional null is valid as it is.
     """
+    value, usable = ctx.slots.get(prefix, (value, None))
+    usable = parse_value(value, kind, rule) if usable is None else usable
     compiled = _KINDS.get(rule.kind)
-    usable = parse_value(value, kind, rule) if parsed is None else parsed
-    result = compiled(usable, kind, rule, strict, prefix) if compiled else _Result(value, [F.lit(prefix + "type")])
+    result = compiled(usable, kind, rule, ctx, prefix) if compiled else _Result(value, [F.lit(prefix + "type")])
     found = result.errors()
     if rule.check is not None:
         passed = F.coalesce(rule.check(result.clean), F.lit(False))
@@ -302,18 +313,34 @@ _PARSED_KINDS = ("number", "boolean", "date")
 
 
 def _compiled(df: DataFrame, rules: dict[str, Rule], strict: bool) -> tuple[DataFrame, dict[str, _Result]]:
-    """The rules over a table that holds every parsed value as a column, so that each value is parsed once."""
+    """The rules over a table to which properties and parsed values were added as columns.
+
+    A rule names its value many times; as a column it is taken out of its object, and parsed, only once.
+    """
     schema = df.schema
-    parsed = {
-        f"_parsed_{name}": parse_value(F.col(name), schema[name].dataType, rule)
-        for name, rule in rules.items() if rule.kind in _PARSED_KINDS
-    }
-    results = {
-        name: compile_rule(F.col(name), schema[name].dataType, rule, strict, f"{name}:",
-                           F.col(f"_parsed_{name}") if rule.kind in _PARSED_KINDS else None)
-        for name, rule in rules.items()
-    }
-    return df.withColumns(parsed) if parsed else df, results
+    values: dict[str, Column] = {}
+    parsed: dict[str, Column] = {}
+    slots: dict[str, tuple[Column, Column | None]] = {}
+
+    def stage(prefix: str, column: Column, value: Column, kind: T.DataType, rule: Rule) -> None:
+        ready = None
+        if rule.kind in _PARSED_KINDS:
+            name = f"_parsed_{len(parsed)}"
+            parsed[name], ready = parse_value(column, kind, rule), F.col(name)
+        slots[prefix] = (column, ready)
+        if rule.kind == "object" and rule.properties and isinstance(kind, (T.StructType, T.MapType)):
+            for field_name, inner in rule.properties.items():
+                extracted, inner_kind = _field(value, kind, field_name)
+                name = f"_value_{len(values)}"
+                values[name] = extracted
+                stage(f"{prefix}{field_name}:", F.col(name), extracted, inner_kind, inner)
+
+    for name, rule in rules.items():
+        stage(f"{name}:", F.col(name), F.col(name), schema[name].dataType, rule)
+    staged = df.withColumns(values) if values else df
+    staged = staged.withColumns(parsed) if parsed else staged
+    ctx = _Context(strict, slots)
+    return staged, {name: compile_rule(F.col(name), schema[name].dataType, rule, ctx, f"{name}:") for name, rule in rules.items()}
 
 
 def _text_of(results: dict[str, _Result], names) -> Column:

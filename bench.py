@@ -20,6 +20,19 @@ FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 ONLY = [name for name in os.environ.get("BENCH_QUERIES", "").split(",") if name]
 
+# One or more of every kind of operator; BENCH_QUERIES names others, or "all".
+HEADLINE = [
+    "user_stats", "active_subscriptions", "favorites_with_quotes", "personalized_history", "top_categories", "user_profile",
+    "candidate_quotes", "recommendations", "recommendation_prompt", "personalize_prompt", "feedback_apply", "quote_of_day",
+    "quote_lookup", "best_quotes", "dashboard", "weekly_progress", "activity_streak", "plan_usage", "recent_audit",
+    "quote_metrics_pivot", "mood_summary", "metric_buckets", "cache_stats", "category_dim", "orphans", "cascade_delete",
+    "idempotent_events", "upsert_users", "retention", "ttl_live", "parse_logs", "format_logs", "mask_struct", "mask_json_deep",
+    "route_latency", "request_pairs", "json_roundtrip", "brute_force", "rate_limit", "sessions_gap", "breaker_fold",
+    "mood_classify", "voice_assignment", "voice_catalogue", "share_feed", "sanitize_text", "text_search", "text_search_index",
+    "generated_batch", "validate_numbers", "validate_strings", "validate_objects", "quarantine", "stream_dedupe", "stream_rate",
+    "sink_append",
+]
+
 
 def run(spark, name: str) -> float:
     start = time.perf_counter()
@@ -34,7 +47,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("OFF")
     times = {}
-    for name in ONLY or QUERIES:
+    names = list(QUERIES) if ONLY == ["all"] else ONLY or HEADLINE
+    for name in names:
         run(spark, name)
         times[name] = round(run(spark, name), 4)
     result = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
