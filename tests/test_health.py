@@ -94,3 +94,17 @@ def test_chunks_survive_batch_boundaries(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == sorted(step_by_step(calls, health.Breaker())[0])
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """What runs in Python workers can be loaded where the package is not installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "run.pkl").write_bytes(cloudpickle.dumps((health.CallRun, health.Breaker(), health._chunks)))
+    code = ("import numpy as np, pandas; from pyspark import cloudpickle; run, breaker, _ = cloudpickle.loads(open('run.pkl', 'rb').read());"
+            "print(run(np.arange(6) * 1000, np.ones(6, dtype=bool), breaker).trace(0, 0, -1)[3])")
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, check=True)
+    assert done.stdout.strip() == "(2, 5, 4000)"
