@@ -20,10 +20,10 @@ def assigned_category(*key: Column | str, seed: int = 42) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in dimensions.CATEGORY_IDS]), place + 1)
 
 
-def generation_requests(slots: DataFrame, key: str, lang: str = "EN", seed: int = 42) -> DataFrame:
+def generation_requests(slots: DataFrame, keys: list[str], lang: str = "EN", seed: int = 42) -> DataFrame:
     """Category and prompt for each quote that is to be written."""
-    category = assigned_category(key, seed=seed)
-    return slots.select(key, category.alias("category"), F.lit(lang).alias("lang")).withColumn(
+    category = assigned_category(*keys, seed=seed)
+    return slots.select(*keys, category.alias("category"), F.lit(lang).alias("lang")).withColumn(
         "prompt", generation_prompt(F.col("category"), F.col("lang"))
     )
 

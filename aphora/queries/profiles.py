@@ -325,6 +325,16 @@ def best_quotes(m: Model) -> DataFrame:
     return ranking.highest(m.quotes.select("quote_id", "author", "score"), "score", "quote_id", 100)
 
 
+@query("quote_sample", f"""
+  SELECT category, lang, quote_id, CAST(position AS INT) AS position FROM (SELECT category, lang, quote_id, row_number() OVER (
+    PARTITION BY category, lang ORDER BY md5(concat('{SEED}:', CAST(quote_id AS STRING))), quote_id) AS position FROM quotes) x
+  WHERE position <= 5""")
+def quote_sample(m: Model) -> DataFrame:
+    """A repeatable sample of each category and language."""
+    ids = m.quotes.select("category", "lang", "quote_id")
+    return ranking.sample_per_key(ids, ["category", "lang"], "quote_id", 5, SEED)
+
+
 @query("dashboard", """
   SELECT user_id, quotes_viewed, audio_generated, favorites, streak_days, longest_streak, most_used_voice,
     coalesce(array_to_string(preferred_categories, ','), '') AS preferred_categories,

@@ -201,10 +201,9 @@ _CATEGORY = f"CASE {_PLACE} " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enum
     md5(concat('Write an original motivational quote under 120 chars in EN. No author names.', chr(10), 'Theme: ', {_CATEGORY}, ', Tone: inspiring'))
       AS prompt_md5 FROM conversations""")
 def category_assign(m: Model) -> DataFrame:
-    category = generation.assigned_category("conv_id", "turn", seed=SEED)
-    slots = m.raw("conversations").select("conv_id", "turn", category.alias("category"))
-    prompt = prompts.generation_prompt(F.col("category"), F.lit("EN"))
-    return slots.select("conv_id", "turn", "category", F.md5(F.concat_ws("\n", prompt["system"], prompt["user"])).alias("prompt_md5"))
+    slots = generation.generation_requests(m.raw("conversations"), ["conv_id", "turn"], seed=SEED)
+    message = F.concat_ws("\n", "prompt.system", "prompt.user")
+    return slots.select("conv_id", "turn", "category", F.md5(message).alias("prompt_md5"))
 
 
 @query("generated_batch", f"""

@@ -42,6 +42,12 @@ def test_catalogue_files(spark, tmp_path):
     assert tuples(tables.category_file(spark, str(tmp_path / "k.json"))) == sorted(map(tuple, dimensions.CATEGORIES))
 
 
+def test_canonical_table(spark, tmp_path):
+    path = str(tmp_path / "favorites")
+    spark.createDataFrame([(1, 2, ntz(3))], "user_id bigint, quote_id bigint, created_at timestamp_ntz").write.parquet(path)
+    assert tuples(tables.canonical(spark, path, "favorites")) == [(1, 2, ntz(3))]
+
+
 def test_dimensions(spark):
     assert dimensions.voices(spark).count() == 20 and dimensions.voices(spark).where("in_standard").count() == 6
     assert dimensions.categories(spark).count() == 15
