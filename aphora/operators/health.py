@@ -240,8 +240,11 @@ def _in_order(rows: DataFrame) -> DataFrame:
     return placed.sortWithinPartitions("endpoint", "chunk", "t", "call_id")
 
 
-def chunk_maps(chunked: DataFrame, breaker: Breaker) -> DataFrame:
-    """Step 1: the state map of every chunk."""
+def chunk_maps(chunked: DataFrame, breaker: Breaker, any_start: bool = False) -> DataFrame:
+    """Step 1: the state map of every chunk.
+
+    With ``any_start`` the breaker may have opened after the chunk began, as when older calls arrive late.
+    """
     limit = breaker.threshold
     variants = [(CLOSED, f) for f in range(limit)] + [(HALF_OPEN, f) for f in range(1, limit)]
 
@@ -252,7 +255,7 @@ def chunk_maps(chunked: DataFrame, breaker: Breaker) -> DataFrame:
         chunk = int(piece["chunk"][0])
         # Before this chunk the breaker opened at the latest at its beginning, so it lets calls through at the
         # latest one reset interval into it: only that many calls can be the first.
-        reachable = np.searchsorted(run.times, chunk + breaker.reset, side="left") + 1
+        reachable = run.n if any_start else np.searchsorted(run.times, chunk + breaker.reset, side="left") + 1
         until, ends = run.times[:reachable], exits[:reachable]
         last_of_its_kind = np.append(np.any(ends[1:] != ends[:-1], axis=1), True)
         until, ends = until[last_of_its_kind], ends[last_of_its_kind]
@@ -269,8 +272,11 @@ def chunk_maps(chunked: DataFrame, breaker: Breaker) -> DataFrame:
     return _in_order(chunked).mapInPandas(summarise, _MAP_SCHEMA)
 
 
-def chunk_entries(maps: DataFrame, breaker: Breaker) -> DataFrame:
-    """Step 2: the state before and after every chunk. An endpoint's maps pass by in order; none is kept."""
+def chunk_entries(maps: DataFrame, breaker: Breaker, before: DataFrame | None = None) -> DataFrame:
+    """Step 2: the state before and after every chunk. An endpoint's maps pass by in order; none is kept.
+
+    ``before`` holds the state of endpoints that were seen earlier; the others start closed.
+    """
     limit = breaker.threshold
     columns = ["endpoint", "chunk", "code", "failures", "last", "exit_code", "exit_failures", "exit_last"]
 
@@ -291,11 +297,17 @@ def chunk_entries(maps: DataFrame, breaker: Breaker) -> DataFrame:
         for batch in batches:
             rows = []
             for m in batch.itertuples(index=False):
-                before = state if m.endpoint == endpoint else (CLOSED, 0, NEVER)
+                before = state if m.endpoint == endpoint else (int(m.first_code), int(m.first_failures), int(m.first_last))
                 endpoint, state = m.endpoint, after(m, *before)
                 rows.append((m.endpoint, m.chunk, *before, *state))
             yield pd.DataFrame(rows, columns=columns)
 
+    initial = {"first_code": F.lit(CLOSED), "first_failures": F.lit(0), "first_last": F.lit(NEVER)}
+    if before is not None:
+        known = before.select("endpoint", *[F.col(c).alias(f"_{c}") for c in ("code", "failures", "last")])
+        maps = maps.join(known, "endpoint", "left")
+        initial = {name: F.coalesce(F.col(name.replace("first", "")), value) for name, value in initial.items()}
+    maps = maps.withColumns({name: value.cast("bigint") for name, value in initial.items()})
     placed = maps.repartition("endpoint").sortWithinPartitions("endpoint", "chunk")
     return placed.mapInPandas(follow, _ENTRY_SCHEMA)
 
@@ -349,16 +361,31 @@ def breaker_states(calls: DataFrame, breaker: Breaker = Breaker(), chunk_ms: int
     return named_states(replay(chunked, entries, breaker))
 
 
+STATE_SCHEMA = "endpoint string, code bigint, failures bigint, last bigint"
+
+
+def _last_states(entries: DataFrame) -> DataFrame:
+    exits = F.struct(F.col("exit_code").alias("code"), F.col("exit_failures").alias("failures"), F.col("exit_last").alias("last"))
+    return entries.groupBy("endpoint").agg(F.max_by(exits, "chunk").alias("s")).select("endpoint", "s.*")
+
+
+def breaker_step(calls: DataFrame, before: DataFrame, breaker: Breaker = Breaker(), chunk_ms: int = 3_600_000,
+                 max_calls: int = MAX_CALLS) -> tuple[DataFrame, DataFrame]:
+    """The states after every call of a batch that follows earlier ones, and the state of every endpoint after it."""
+    chunked = _chunked(calls, breaker, chunk_ms, max_calls)
+    entries = chunk_entries(chunk_maps(chunked, breaker, any_start=True), breaker, before)
+    after = _last_states(entries)
+    return named_states(replay(chunked, entries, breaker)), after.unionByName(before.join(after, "endpoint", "left_anti"))
+
+
 def breaker_status(calls: DataFrame, as_of: Column, breaker: Breaker = Breaker(), chunk_ms: int = 3_600_000,
                    max_calls: int = MAX_CALLS) -> DataFrame:
     """The last state of every endpoint; the age of the last failure is null if there never was one."""
     _, entries = _prepared(calls, breaker, chunk_ms, max_calls)
-    latest = entries.groupBy("endpoint").agg(
-        F.max_by(F.struct("exit_code", "exit_failures", "exit_last"), "chunk").alias("s")
-    )
-    failed_at = F.when(F.col("s.exit_last") != NEVER, _moment(F.col("s.exit_last")))
+    latest = _last_states(entries)
+    failed_at = F.when(F.col("last") != NEVER, _moment(F.col("last")))
     age = F.unix_millis(as_of.cast("timestamp")) - F.unix_millis(failed_at.cast("timestamp"))
     return latest.select(
-        "endpoint", _state_name(F.col("s.exit_code")).alias("state"), F.col("s.exit_failures").cast("int").alias("failures"),
+        "endpoint", _state_name(F.col("code")).alias("state"), F.col("failures").cast("int").alias("failures"),
         failed_at.alias("last_failure"), age.alias("ms_since_last_failure"),
     )

@@ -105,7 +105,10 @@ def stream_breaker(m: Model) -> DataFrame:
         F.concat(F.lit("POST-host"), (F.col("user_id") % 5).cast("string")).alias("endpoint"), F.col("event_id").alias("call_id"), "ts",
         F.when(F.col("event_type") == "error", "failure").otherwise("success").alias("outcome"),
     )
-    return _run(m, breaker.breaker_stream(calls), "breaker")
+    root = shared_dir(m.spark, "breaker")
+    breaker.run_breaker(calls, f"{root}/out", f"{root}/state", f"{root}/checkpoint")
+    stored = m.spark.read.schema("endpoint string, call_id bigint, ts timestamp_ntz, allowed boolean, state string, failures int")
+    return stored.parquet(f"{root}/out").select("endpoint", "call_id", "ts", "allowed", "state", "failures")
 
 
 def _log_folder(m: Model) -> str:

@@ -1,4 +1,9 @@
-"""The circuit-breaker state as a stateful stream: three numbers per endpoint."""
+"""The circuit-breaker state as a stream: three numbers per endpoint.
+
+``run_breaker`` works on every micro-batch with the batch operator, so a hot endpoint is spread over time chunks.
+``breaker_stream`` keeps the numbers in Spark's state store and handles an endpoint's part of a micro-batch in one
+task; it suits many endpoints with little traffic each.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +15,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from aphora.operators.health import CLOSED, NEVER, Breaker, CallRun, named_states
+from aphora.operators.health import CLOSED, NEVER, STATE_SCHEMA, Breaker, CallRun, breaker_step, named_states
+from aphora.streaming.jobs import run_batches
 
 _CALL_SCHEMA = "endpoint string, call_id bigint, t bigint, allowed boolean, code bigint, failures bigint"
 
 
+def run_breaker(calls: DataFrame, out: str, state: str, checkpoint: str, breaker: Breaker = Breaker(),
+                chunk_ms: int = 3_600_000) -> None:
+    """Write the states after every call, batch by batch.
+
+    Batch n starts from the states batch n - 1 left behind; both folders of a batch are overwritten when it is
+    repeated, so the result is the same after a failure.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(STATE_SCHEMA).parquet(f"{state}/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], STATE_SCHEMA)
+        states, after = breaker_step(batch, before, breaker, chunk_ms)
+        states.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        after.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+
+    run_batches(calls, write, checkpoint)
+
+
 def breaker_stream(calls: DataFrame, breaker: Breaker = Breaker()) -> DataFrame:
     """States after every call. The calls of one micro-batch are put in time order; a call that arrives in a later
     batch counts as later, as it would for a live breaker. The batch size bounds what one call of the function holds.

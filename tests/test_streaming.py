@@ -125,6 +125,27 @@ def test_breaker_equals_batch(spark, feed):
     assert got.where("NOT allowed").count() > 0
 
 
+def test_breaker_batches_continue(spark, feed, tmp_path):
+    """Three batches, the last one partly older than the one before: the states are those of one run in that order."""
+    from tests.test_health import step_by_step
+
+    rows = [(i, ntz(i * 9), i % 2, "error" if i % 5 else "view") for i in range(120)]
+    parts = [rows[:50], rows[70:], rows[50:70]]
+    want = []
+    for user in (0, 1):
+        ordered = [r for part in parts for r in part if r[2] == user]
+        want += step_by_step([(i, ts, kind == "error") for i, ts, _, kind in ordered], health.Breaker())[0]
+
+    def calls(df):
+        return df.select(F.concat(F.lit("e"), F.col("user_id").cast("string")).alias("endpoint"), F.col("event_id").alias("call_id"), "ts",
+                         F.when(F.col("event_type") == "error", "failure").otherwise("success").alias("outcome"))
+
+    for part in parts:
+        feed.add(part)
+        breaker.run_breaker(calls(feed.stream()), feed.out, str(tmp_path / "state"), feed.checkpoint, chunk_ms=60_000)
+    assert tuples(spark.read.parquet(feed.out), "call_id", "allowed", "state", "failures") == sorted(want)
+
+
 def test_logs(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()
