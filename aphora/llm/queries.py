@@ -6,9 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from aphora.llm import language, leaks, near, packing, repeats
+from aphora.llm import language, leaks, mixing, near, packing, pages, quality, repeats, shards, vantage
 from aphora.llm.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,18 +37,43 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.contamination(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text")).drop("row")
 
 
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.shard_documents(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_classes(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.main_text(table(spark, folder, "pages", "page_id", "url", "html"))
+
+
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.score_corpus(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.grade_corpus(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality"))
+
+
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify_corpus(table(spark, folder, "documents", "doc_id", "text", "lang"))
 
 
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return vantage.search_table(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": Query(op1),
     "op2_packing": Query(op2),
     "op3_decontamination": Query(op3, leaks.SQL),
+    "op4_sharding": Query(op4),
     "op5_minhash_dedup": Query(op5),
+    "op6_html_extraction": Query(op6),
+    "op7_lm_scoring": Query(op7),
+    "op8_quality": Query(op8),
     "op9_language_id": Query(op9),
+    "op10_vantage_search": Query(op10),
 }

@@ -22,7 +22,8 @@ _WORD_BASE = 0xAF251AF3B0F025B5
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
-CHUNK_BYTES = 4 << 20
+#: Bytes of text worked on at once; arrays of eight bytes per byte of text are made from them.
+CHUNK_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -76,6 +77,8 @@ class Words:
     first: np.ndarray
     hashes: np.ndarray
     prefix: np.ndarray
+    #: Where the documents begin in ``data``, and its end.
+    offsets: np.ndarray
 
     def runs(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Hashes of the word runs [lo, hi)."""
@@ -99,7 +102,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -
     sums = _prefix(_BYTES[data], _BYTE_BASE)
     back = powers(_inverse(_BYTE_BASE), len(data))
     hashes = mix((sums[ends] - sums[starts]) * back[starts])
-    return Words(data, starts, ends, np.searchsorted(starts, offsets), hashes, _prefix(hashes, _WORD_BASE))
+    return Words(data, starts, ends, np.searchsorted(starts, offsets), hashes, _prefix(hashes, _WORD_BASE), offsets)
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
