@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,17 @@ SENSITIVE = ["password", "token", "apiKey", "secret", "credit_card"]
 MASK = "********"
 
 
+# How many levels of lists and objects under a sensitive key are matched as text.
+NESTING = 8
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def _nested(levels: int) -> str:
+    """A pattern for a list or an object with so many levels inside."""
+    inside = _TEXT if levels == 0 else f"(?:{_TEXT}|{_nested(levels - 1)})"
+    return rf'[\[{{][^"\[\]{{}}]*+(?:{inside}[^"\[\]{{}}]*+)*+[\]}}]'
+
+
 def _names(fields: list[str], parity: bool) -> set[str]:
     """Lower-cased names to hide.
 
@@ -42,14 +54,24 @@ def _mask_type(value: Column, kind: T.DataType, hidden: set[str]) -> Column | No
             return None
         return F.transform(value, lambda x: _mask_type(x, kind.elementType, hidden))
     if isinstance(kind, T.MapType):
-        if isinstance(kind.valueType, T.StringType):
-            return F.transform_values(value, lambda k, v: F.when(F.lower(k).isin(*hidden), MASK).otherwise(v))
-        if _mask_type(F.lit(None), kind.valueType, hidden) is None:
-            return None
-        return F.transform_values(value, lambda _, v: _mask_type(v, kind.valueType, hidden))
+        if not isinstance(kind.keyType, T.StringType):
+            if _mask_type(F.lit(None), kind.valueType, hidden) is None:
+                return None
+            return F.transform_values(value, lambda _, v: _mask_type(v, kind.valueType, hidden))
+        return F.transform_values(value, lambda k, v: F.when(F.lower(k).isin(*hidden), MASK).otherwise(_as_text(v, kind.valueType, hidden)))
     return None
 
 
+def _as_text(value: Column, kind: T.DataType, hidden: set[str]) -> Column:
+    """A map value next to masks: text as it is, nested values as JSON with their own secrets hidden."""
+    if isinstance(kind, T.StringType):
+        return value
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        masked = _mask_type(value, kind, hidden)
+        return F.to_json(value if masked is None else masked)
+    return value.cast("string")
+
+
 def mask_columns(df: DataFrame, columns: list[str], fields: list[str] = SENSITIVE, parity: bool = False) -> DataFrame:
     """Hide sensitive fields at any depth of nested columns; the schema decides the plan, no row is inspected."""
     hidden = _names(fields, parity)
@@ -61,13 +83,15 @@ def mask_columns(df: DataFrame, columns: list[str], fields: list[str] = SENSITIV
 
 
 def mask_json_text(c: Column, fields: list[str] = SENSITIVE, parity: bool = False) -> Column:
-    """Hide scalar values of sensitive keys inside JSON text, at any depth, without parsing it.
+    """Hide the values of sensitive keys inside JSON text, at any depth, without parsing it.
 
-    Lists and objects under a sensitive key need :func:`mask_json_deep`.
+    Lists and objects are matched up to ``NESTING`` levels. If one below a sensitive key is deeper, or does not end,
+    nothing of the text is shown.
     """
-    names = "|".join(sorted(_names(fields, parity)))
-    scalar = r'"(?:[^"\\]|\\.)*"|[^\s"{\[,}\]][^,}\]]*'
-    return F.regexp_replace(c, rf'(?i)("(?:{names})"\s*:\s*)(?:{scalar})', rf'$1"{MASK}"')
+    names = "|".join(sorted(re.escape(n) for n in _names(fields, parity)))
+    key = rf'(?i)("(?:{names})"\s*:\s*)'
+    masked = F.regexp_replace(c, rf"{key}(?:{_TEXT}|{_nested(NESTING)}|[^\s\"{{\[,}}\]][^,}}\]]*)", rf'$1"{MASK}"')
+    return F.when(masked.rlike(rf"{key}(?:[\[{{]|\"(?!\*{{{len(MASK)}}}\"))"), F.lit(f'{{"masked":"{MASK}"}}')).otherwise(masked)
 
 
 def mask_json_deep(fields: list[str] = SENSITIVE, parity: bool = False):

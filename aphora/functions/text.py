@@ -39,8 +39,10 @@ def leading_integer(c: Column | str) -> Column:
     sign = F.when(F.regexp_extract(text, rf"^{SPACE}*([+-]?)", 1) == "-", -1).otherwise(1)
     hexadecimal = blank_to_null(F.regexp_extract(text, rf"^{SPACE}*[+-]?0[xX]([0-9a-fA-F]+)", 1))
     decimal = blank_to_null(F.regexp_extract(text, rf"^{SPACE}*[+-]?([0-9]+)", 1))
-    value = F.coalesce(F.conv(hexadecimal, 16, 10), decimal)
-    return sign * value.try_cast("bigint")
+    # Longer numbers than a bigint holds are none; ``conv`` would fail on them.
+    digits = F.ltrim(hexadecimal, F.lit("0"))
+    value = F.coalesce(F.when(F.length(digits) <= 16, F.conv(F.substring(F.concat(F.lit("0"), digits), 1, 17), 16, 10)), decimal)
+    return sign * F.when(hexadecimal.isNull() | (F.length(digits) <= 16), value).try_cast("bigint")
 
 
 def limit_param(c: Column | str, default: int = 5) -> Column:
@@ -120,8 +122,8 @@ def sanitize(c: Column | str) -> Column:
     return out
 
 
-def json_or_raw(c: Column | str) -> Column:
-    """Valid JSON in its compact form; any other text as it is.
+def is_json(c: Column | str) -> Column:
+    """Whether the text is one JSON value.
 
     Spark's parser stops after the first value and overlooks what follows. The text is one whole value only if it
     also parses as the element of a list and as the field of an object.
@@ -129,7 +131,13 @@ def json_or_raw(c: Column | str) -> Column:
     text = _col(c)
     in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
-    return F.when(in_list & in_object, F.to_json(F.try_parse_json(text))).otherwise(text)
+    return in_list & in_object
+
+
+def json_or_raw(c: Column | str) -> Column:
+    """Valid JSON in its compact form; any other text as it is."""
+    text = _col(c)
+    return F.when(is_json(text), F.to_json(F.try_parse_json(text))).otherwise(text)
 
 
 def cache_key(*parts: Column | str) -> Column:

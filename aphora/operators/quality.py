@@ -27,6 +27,8 @@ ISO_DATE = (
     r"([T ]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?)?)?\z"
 )
 NUMBER = r"^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)\z"
+# Fixed value: the latest time a date can hold, in milliseconds.
+MAX_TIME = 8.64e15
 RADIX_NUMBERS = {16: r"^0[xX]([0-9a-fA-F]+)\z", 8: r"^0[oO]([0-7]+)\z", 2: r"^0[bB]([01]+)\z"}
 
 
@@ -93,13 +95,21 @@ def _listed(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(F.split(text, _MARK))
 
 
+def _digits(digits: Column, base: int) -> Column:
+    """The number that digits denote. ``conv`` fails beyond 64 bits, so longer ones are summed up as doubles."""
+    exact = {16: 15, 8: 20, 2: 60}[base]
+    short = F.conv(F.substring(digits, 1, exact), base, 10).try_cast("double")
+    add = lambda total, digit: total * F.lit(float(base)) + F.conv(digit, base, 10).try_cast("double")
+    return F.when(F.length(digits) <= exact, short).otherwise(F.aggregate(F.split(digits, ""), F.lit(0.0), add))
+
+
 def js_number(text: Column) -> Column:
     """The number a text denotes as a whole: blank is zero, ``0x10`` is 16, ``5d`` is none."""
     t = trim(text)
     value = F.when(t.rlike(NUMBER), t.try_cast("double")).when(t == "", F.lit(0.0))
     value = value.when(t.rlike(r"^[+]?Infinity\z"), F.lit(float("inf"))).when(t == "-Infinity", F.lit(float("-inf")))
     for base, pattern in RADIX_NUMBERS.items():
-        value = value.when(t.rlike(pattern), F.conv(F.regexp_extract(t, pattern, 1), base, 10).try_cast("double"))
+        value = value.when(t.rlike(pattern), _digits(F.regexp_extract(t, pattern, 1), base))
     return value
 
 
@@ -132,7 +142,8 @@ def parse_value(value: Column, kind: T.DataType, rule: Rule) -> Column:
         if text:
             return js_date(value)
         if numeric:
-            return F.timestamp_millis(value.cast("bigint"))
+            # The range of valid times, in milliseconds either side of 1970; others are no dates.
+            return F.when(F.abs(value.cast("double")) <= MAX_TIME, F.timestamp_millis(value.try_cast("bigint")))
         zoned = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
         return value.cast("timestamp") if zoned else F.lit(None).cast("timestamp")
     return value

@@ -4,34 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from aphora.functions.masking import mask_json_text
+from aphora.functions.text import is_json
 from aphora.operators import filters
 
 # Fixed value: how a log line begins: [time] [LEVEL] [request], the request being optional. The message follows,
 # and a JSON object may end the line.
 HEADER = r"^\[([^\]]+)\] \[(\w+)\] (?:\[([^\]]+)\] )?"
 
+PERCENTILES = (0.5, 0.95)
+
 
 def parse_logs(lines: DataFrame, column: str = "value") -> DataFrame:
     """The parts of each line; ``malformed`` marks lines that are not log lines.
 
-    Only the beginning is matched by a pattern. What is left is cut at the first `` {`` if the line ends in ``}``,
-    which needs no search back and forth.
+    Only the beginning is matched by a pattern. If the line ends in ``}``, what is left is cut at the last `` {`` from which
+    the rest is JSON; without one all of it is the message. The first `` {`` is tried first: if the rest is JSON from
+    there, no later one can be right.
     """
     def part(i: int) -> Column:
         return F.nullif(F.regexp_extract(column, HEADER, i), F.lit(""))
 
     header = F.length(F.regexp_extract(column, HEADER, 0))
     cut = lines.select(F.col(column), F.substring(F.col(column), header + 1, F.length(column)).alias("_rest"))
-    brace = F.when(F.endswith(F.col("_rest"), F.lit("}")), F.locate(" {", F.col("_rest")))
-    has_meta = F.coalesce(F.col("_brace") > 0, F.lit(False))
-    cut = cut.withColumn("_brace", brace)
+    tail = F.col("_rest")
+    pieces = F.split(tail, r" \{")
+    suffix = lambda k: F.concat(F.lit("{"), F.array_join(F.slice(pieces, k + 1, F.size(pieces)), " {"))
+    whole = F.substring(tail, F.locate(" {", tail) + 1, F.length(tail))
+    later = F.filter(F.sequence(F.size(pieces) - 1, F.lit(2), F.lit(-1)), lambda k: is_json(suffix(k)))
+    more = F.when(F.size(pieces) > 2, suffix(F.try_element_at(later, F.lit(1))))
+    meta = F.when(F.endswith(tail, F.lit("}")) & (F.locate(" {", tail) > 0), F.when(is_json(whole), whole).otherwise(more))
+    cut = cut.withColumn("_meta", meta)
+    cut = cut.withColumn("_brace", F.length("_rest") - F.length("_meta"))
+    has_meta = F.col("_meta").isNotNull()
     message = F.when(has_meta, F.substring(F.col("_rest"), F.lit(1), F.col("_brace") - 1)).otherwise(F.col("_rest"))
     return cut.select(
         part(1).try_cast("timestamp_ntz").alias("logged_at"), part(2).alias("level"), part(3).alias("request_id"),
         F.nullif(message, F.lit("")).alias("message"),
-        F.when(has_meta, F.substring(F.col("_rest"), F.col("_brace") + 1, F.length("_rest"))).alias("meta"),
+        F.col("_meta").alias("meta"),
         (F.length(F.regexp_extract(column, HEADER, 0)) == 0).alias("malformed"),
         F.col(column).alias("line"),
     )
@@ -59,21 +71,50 @@ def logged_number(meta: Column, key: str) -> Column:
     return F.get_json_object(meta, f"$.{key}").try_cast("double")
 
 
-def latency(requests: DataFrame, keys: list[str], response_ms: str = "response_ms", resolution_ms: int = 1) -> DataFrame:
-    """Count, mean, median, 95th percentile and maximum of the response time per route.
+def latency(requests: DataFrame, keys: list[str], response_ms: str = "response_ms") -> DataFrame:
+    """Count, mean, median, 95th percentile and maximum of the response time per route, all exact.
 
-    Times are first counted per route and step of the resolution. A time-out bounds the number of steps, so the
-    percentiles work on a short histogram even where one route has most of the requests.
+    Times are first counted per route and whole millisecond. A time-out bounds the number of these, so the ranks that
+    the percentiles lie between are found in a short histogram. Only the milliseconds that hold such a rank are
+    looked into: their times are counted by value, and the ranks are found among the values.
     """
-    step = (F.floor(F.col(response_ms) / resolution_ms) * resolution_ms).alias("_ms")
-    histogram = requests.groupBy(*keys, step).agg(F.count(response_ms).alias("_n"), F.sum(response_ms).alias("_sum"))
-    # Rows without a time fall out here: a filter below the aggregate would parse every line a second time.
-    histogram = histogram.where(F.col("_n") > 0)
-    return histogram.groupBy(*keys).agg(
-        F.sum("_n").alias("requests"), (F.sum("_sum") / F.sum("_n")).alias("mean_ms"),
-        F.percentile("_ms", 0.5, F.col("_n")).alias("p50_ms"), F.percentile("_ms", 0.95, F.col("_n")).alias("p95_ms"),
-        F.max("_ms").cast("double").alias("max_ms"),
-    )
+    timed = requests.where(F.col(response_ms).isNotNull()).select(*keys, F.col(response_ms).cast("double").alias("_t"), F.floor(response_ms).alias("_ms"))
+    exact = F.sum(F.col("_t").cast("decimal(26,6)")).alias("_sum")
+    histogram = timed.groupBy(*keys, "_ms").agg(F.count("*").alias("_n"), exact, F.max("_t").alias("_max"))
+    every = Window.partitionBy(*keys)
+    placed = histogram.withColumn("_before", F.coalesce(F.sum("_n").over(every.orderBy("_ms").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = placed.withColumn("_total", F.sum("_n").over(every))
+    ranks = {p: F.lit(p) * (F.col("_total") - 1) for p in PERCENTILES}
+
+    def holds(first: Column, n: Column) -> Column:
+        hit = F.lit(False)
+        for at in ranks.values():
+            for rank in (F.floor(at), F.ceil(at)):
+                hit = hit | ((first <= rank) & (rank < first + n))
+        return hit
+
+    named = [F.col(c).alias(f"_of_{c}") for c in (*keys, "_ms")]
+    wanted = placed.where(holds(F.col("_before"), F.col("_n"))).select(*named, "_before", "_total")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, "_ms")]
+    values = timed.join(wanted, same, "inner").groupBy(*keys, "_ms", "_before", "_total", "_t").agg(F.count("*").alias("_n"))
+    inside = Window.partitionBy(*keys, "_ms").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_n")), F.col("_t")))
+
+    found = values.groupBy(*keys).agg(*[value_at(f(at)).alias(f"_{name}{round(p * 100)}") for p, at in ranks.items() for name, f in (("lo", F.floor), ("hi", F.ceil))])
+    totals = histogram.groupBy(*keys).agg(F.sum("_n").alias("requests"), F.sum("_sum").alias("_sum"), F.max("_max").alias("max_ms"))
+    found = found.select(*[F.col(c).alias(f"_of_{c}") for c in keys], *[c for c in found.columns if c not in keys])
+    joined = totals.join(found, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys], "inner")
+
+    def percentile(p: float) -> Column:
+        at, low = F.lit(p) * (F.col("requests") - 1), F.col(f"_lo{round(p * 100)}")
+        return low + (F.col(f"_hi{round(p * 100)}") - low) * (at - F.floor(at))
+
+    return joined.select(
+        *keys, "requests", (F.col("_sum").cast("double") / F.col("requests")).alias("mean_ms"),
+        percentile(0.5).alias("p50_ms"), percentile(0.95).alias("p95_ms"), "max_ms")
 
 
 def route_latency(parsed: DataFrame) -> DataFrame:
@@ -81,7 +122,7 @@ def route_latency(parsed: DataFrame) -> DataFrame:
     done = parsed.select(
         F.regexp_extract("message", r"^(\S+) (\S+)", 1).alias("method"),
         F.regexp_extract("message", r"^(\S+) (\S+)", 2).alias("url"),
-        F.get_json_object("meta", "$.statusCode").cast("int").alias("status"),
+        F.get_json_object("meta", "$.statusCode").try_cast("int").alias("status"),
         logged_number(F.col("meta"), "responseTime").alias("response_ms"),
     )
     return latency(done, ["method", "url", "status"])

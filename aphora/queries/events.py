@@ -14,7 +14,7 @@ from aphora.sources.model import Model
 from aphora.sources.tables import epoch_ms_to_timestamp
 
 _PARSED = r"""
-  SELECT event_id, regexp_extract(value, '^\[([^\]]+)\] \[(\w+)\] (?:\[([^\]]+)\] )?(.*?)(?: (\{.*\}))?$',
+  SELECT event_id, regexp_extract(value, '^\[([^\]]+)\] \[(\w+)\] (?:\[([^\]]+)\] )?(.*?)(?: (\{"statusCode".*\}))?$',
     ['logged_at', 'level', 'request_id', 'message', 'meta']) AS p FROM request_log"""
 
 
@@ -36,19 +36,21 @@ def malformed_logs(m: Model) -> DataFrame:
 @query("format_logs", """
   SELECT event_id, concat('[', strftime(ts, '%Y-%m-%dT%H:%M:%S.'), lpad(CAST((epoch_us(ts) // 1000 % 1000) AS STRING), 3, '0'), 'Z] [',
     upper(event_type), '] ', CASE WHEN k % 3 = 0 THEN '' ELSE concat('[req-', CAST(event_id AS STRING), '] ') END,
-    'done', CASE WHEN k % 5 = 0 THEN '' ELSE concat(' {"user":', CAST(user_id AS STRING), ',"token":"********"}') END) AS line
+    'done', CASE WHEN k % 5 = 0 THEN '' ELSE concat(' {"user":', CAST(user_id AS STRING), ',"token":"********","password":"********","tags":["', event_type, '"]}') END) AS line
   FROM ev""")
 def format_logs(m: Model) -> DataFrame:
     request = F.when(F.col("k") % 3 != 0, F.concat(F.lit("req-"), F.col("event_id").cast("string")))
     meta = F.when(F.col("k") % 5 == 0, "{}").otherwise(
-        F.to_json(F.struct(F.col("user_id").alias("user"), F.concat(F.lit("t"), F.col("k")).alias("token")))
+        F.to_json(F.struct(
+            F.col("user_id").alias("user"), F.struct(F.concat(F.lit("}t"), F.col("k")).alias("v"), F.array(F.array("k")).alias("of")).alias("token"),
+            F.array(F.lit("x]"), F.col("event_type")).alias("password"), F.array("event_type").alias("tags")))
     )
     return m.ev.select("event_id", logs.format_line(F.col("ts"), F.col("event_type"), request, F.lit("done"), meta).alias("line"))
 
 
 @query("mask_secrets", """
-  SELECT event_id, concat('{"statusCode":', CASE WHEN event_type = 'error' THEN '500' ELSE '200' END, ',"responseTime":',
-    CAST(CAST(floor(value) AS INT) AS STRING), ',"token":"********"}') AS meta FROM ev""")
+  SELECT event_id, concat('{"statusCode":', CASE WHEN k % 11 = 5 THEN '"n/a"' WHEN event_type = 'error' THEN '500' ELSE '200' END,
+    ',"responseTime":', CAST(CAST(value AS DECIMAL(15,4)) AS STRING), ',"token":"********"}') AS meta FROM ev""")
 def mask_secrets(m: Model) -> DataFrame:
     parsed = logs.parse_logs(m.request_log)
     number = F.regexp_extract("request_id", "([0-9]+)", 1).cast("bigint")
@@ -84,13 +86,14 @@ def mask_deep(m: Model) -> DataFrame:
     return _nested(m).select("event_id", hide(F.to_json("meta")).alias("meta"))
 
 
-_LATENCY = """count(*) AS requests, CAST(sum(ms) AS DOUBLE) / count(*) AS mean_ms, quantile_cont(ms, 0.5) AS p50_ms,
-    quantile_cont(ms, 0.95) AS p95_ms, CAST(max(ms) AS DOUBLE) AS max_ms"""
+_LATENCY = """count(*) AS requests, CAST(sum(ms) AS DOUBLE) / count(*) AS mean_ms, quantile_cont(CAST(ms AS DOUBLE), 0.5) AS p50_ms,
+    quantile_cont(CAST(ms AS DOUBLE), 0.95) AS p95_ms, CAST(max(ms) AS DOUBLE) AS max_ms"""
 
 
 @query("route_latency", f"""
-  SELECT 'GET' AS method, concat('/api/', event_type) AS url, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, {_LATENCY}
-  FROM (SELECT event_type, CAST(floor(value) AS BIGINT) AS ms FROM ev) x GROUP BY event_type""")
+  SELECT 'GET' AS method, concat('/api/', event_type) AS url, status, {_LATENCY}
+  FROM (SELECT event_type, CASE WHEN k % 11 = 5 THEN NULL WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
+    CAST(value AS DECIMAL(15,4)) AS ms FROM ev) x GROUP BY event_type, status""")
 def route_latency(m: Model) -> DataFrame:
     return logs.route_latency(logs.parse_logs(m.request_log))
 

@@ -119,7 +119,7 @@ def _log_folder(m: Model) -> str:
 
 @query("stream_logs", """
   SELECT CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END AS level,
-    concat('req-', CAST(event_id AS STRING)) AS request_id, concat('GET /api/', event_type, ' done') AS message FROM ev""")
+    concat('req-', CAST(event_id AS STRING)) AS request_id, concat('GET /api/', event_type, CASE WHEN k % 7 = 3 THEN ' x=[1] start {"a"' ELSE '' END, ' done') AS message FROM ev""")
 def stream_logs(m: Model) -> DataFrame:
     """Log files written with a bounded number of lines, then parsed as a stream."""
     root = shared_dir(m.spark, "logstream")
@@ -129,10 +129,10 @@ def stream_logs(m: Model) -> DataFrame:
 
 @query("sink_bounded_files", """
   SELECT concat('req-', CAST(event_id AS STRING)) AS request_id, CAST(value AS INT) AS n FROM (
-    SELECT event_id, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS value FROM ev) x""")
+    SELECT event_id, CASE WHEN k % 11 = 5 THEN NULL WHEN event_type = 'error' THEN 500 ELSE 200 END AS value FROM ev) x""")
 def sink_bounded_files(m: Model) -> DataFrame:
     good, _ = logs.split_malformed(logs.parse_logs(tables.log_lines(m.spark, _log_folder(m))))
-    return good.select("request_id", F.get_json_object("meta", "$.statusCode").cast("int").alias("n"))
+    return good.select("request_id", F.get_json_object("meta", "$.statusCode").try_cast("int").alias("n"))
 
 
 @query("sink_append", """

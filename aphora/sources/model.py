@@ -94,7 +94,7 @@ class Model:
     @cached_property
     def views(self) -> DataFrame:
         seen = self._events("view").select("event_id", "user_id", F.col("k").alias("quote_id"), F.col("ts").alias("created_at"))
-        return seen.join(self.quotes.select("quote_id", "category"), "quote_id")
+        return seen.join(self.quotes.select("quote_id", "category"), "quote_id", "left")
 
     @cached_property
     def view_audit(self) -> DataFrame:
@@ -155,12 +155,13 @@ class Model:
     @cached_property
     def request_log(self) -> DataFrame:
         level = _map("event_type", {"error": "ERROR", "view": "DEBUG"}, "INFO")
-        status = F.when(F.col("event_type") == "error", F.lit("500")).otherwise(F.lit("200"))
+        status = F.when(F.col("k") % 11 == 5, F.lit('"n/a"')).when(F.col("event_type") == "error", F.lit("500")).otherwise(F.lit("200"))
+        asked = F.when(F.col("k") % 7 == 3, F.lit(' x=[1] start {"a"')).otherwise(F.lit(""))
         return self.ev.select(F.concat(
             F.lit("["), F.col("ts").cast("date").cast("string"), F.lit("T00:00:00.000Z] ["), level, F.lit("] [req-"),
             F.col("event_id").cast("string"), F.lit("] GET /api/"), F.col("event_type"),
-            F.lit(' done {"statusCode":'), status, F.lit(',"responseTime":'),
-            F.floor("value").cast("int").cast("string"), F.lit(',"token":"t'), F.col("k").cast("string"), F.lit('"}'),
+            asked, F.lit(' done {"statusCode":'), status, F.lit(',"responseTime":'),
+            _money("value").cast("string"), F.lit(',"token":"t'), F.col("k").cast("string"), F.lit('"}'),
         ).alias("value"))
 
     @cached_property
@@ -325,7 +326,7 @@ ORACLE_CTES = {
       SELECT user_id, k AS quote_id, min(ts) AS created_at FROM ev WHERE event_type = 'click' GROUP BY user_id, k""",
     "views": """
       SELECT e.event_id, e.user_id, e.k AS quote_id, q.category, e.ts AS created_at
-      FROM ev e JOIN quotes q ON e.k = q.quote_id WHERE e.event_type = 'view'""",
+      FROM ev e LEFT JOIN quotes q ON e.k = q.quote_id WHERE e.event_type = 'view'""",
     "audio": """
       SELECT event_id AS id, user_id, k AS quote_id, concat('voice_', CAST(k % 20 AS STRING)) AS voice_id,
         CAST(floor(value) AS INT) AS text_length, ts AS created_at FROM ev WHERE event_type = 'purchase'""",
@@ -348,9 +349,9 @@ ORACLE_CTES = {
     "request_log": """
       SELECT event_id, concat('[', CAST(CAST(ts AS DATE) AS STRING), 'T00:00:00.000Z] [',
         CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END, '] [req-',
-        CAST(event_id AS STRING), '] GET /api/', event_type, ' done {"statusCode":',
-        CASE WHEN event_type = 'error' THEN '500' ELSE '200' END, ',"responseTime":',
-        CAST(CAST(floor(value) AS INT) AS STRING), ',"token":"t', CAST(k AS STRING), '"}') AS value FROM ev""",
+        CAST(event_id AS STRING), '] GET /api/', event_type, CASE WHEN k % 7 = 3 THEN ' x=[1] start {"a"' ELSE '' END, ' done {"statusCode":',
+        CASE WHEN k % 11 = 5 THEN '"n/a"' WHEN event_type = 'error' THEN '500' ELSE '200' END, ',"responseTime":',
+        CAST(CAST(value AS DECIMAL(15,4)) AS STRING), ',"token":"t', CAST(k AS STRING), '"}') AS value FROM ev""",
     "completions": """
       SELECT user_id, concat('1. ', CAST(user_id % 20 + 1 AS STRING), ' - fits', chr(10), '2. 99 - too far', chr(10),
         'noise', chr(10), '3. ', CAST((user_id + 7) % 20 + 1 AS STRING), ' - also fits') AS completion

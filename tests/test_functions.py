@@ -174,6 +174,30 @@ def test_masking_json(spark):
     assert got[1].d == "not json" and got[1].f is None
 
 
+@pytest.mark.parametrize("kind, values, want", [
+    ("int", {"token": 5, "n": 6}, {"token": masking.MASK, "n": "6"}),
+    ("array<string>", {"password": ["x"], "a": ["y"]}, {"password": masking.MASK, "a": '["y"]'}),
+    ("struct<v:string,password:string>", {"token": ("a", "b"), "o": ("c", "d")}, {"token": masking.MASK, "o": '{"v":"c","password":"********"}'}),
+    ("map<string,string>", {"secret": {"a": "b"}, "m": {"token": "t", "x": "y"}}, {"secret": masking.MASK, "m": '{"token":"********","x":"y"}'}),
+])
+def test_masking_maps_of_any_value(spark, kind, values, want):
+    rows = spark.createDataFrame([(values,)], f"m map<string,{kind}>")
+    plain = lambda v: json.loads(v) if v[0] in "{[" else v
+    got = masking.mask_columns(rows, ["m"]).first().m
+    assert {k: plain(v) for k, v in got.items()} == {k: plain(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("text, want", [
+    ('{"token":{"v":"abc"},"password":["x","]"],"n":1}', '{"token":"********","password":"********","n":1}'),
+    ('{"a":{"secret":{"b":[{"c":"}"}]}},"z":[1]}', '{"a":{"secret":"********"},"z":[1]}'),
+    ('{"token":' + "[" * 30 + '"deep"' + "]" * 30 + "}", '{"masked":"********"}'),
+    ('{"token":["open', '{"masked":"********"}'), ('{"token":"open', '{"masked":"********"}'),
+    ('{"password":"' + "x" * 50_000 + '","n":2}', '{"password":"********","n":2}'),
+])
+def test_no_secret_is_shown(value, text, want):
+    assert value(masking.mask_json_text(F.col("t")), t=text) == want
+
+
 def test_personalize_prompt_without_favorites(value):
     text = value(prompts.personalize_prompt(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("t")), F.lit("s"), F.lit("short"), F.lit("ro"),
                                             F.array().cast("array<string>")))

@@ -20,6 +20,35 @@ def test_numbers_from_text(spark, raw, want):
     assert (errors, clean) == (([], want) if want is not None else (["not_number"], None))
 
 
+@pytest.mark.parametrize("raw, want", [
+    ("0x1ffffffffffffffffff", float(0x1FFFFFFFFFFFFFFFFFF)), ("0x" + "0" * 40 + "10", 16.0), ("0b" + "1" * 70, float(2**70 - 1)), ("0o" + "7" * 30, float(8**30 - 1)),
+    ("0x" + "f" * 400, float("inf")), ("9" * 400, float("inf")), ("1e999", float("inf")),
+])
+def test_long_numbers_do_not_fail(spark, raw, want):
+    _, clean = check(spark, q.Rule("number"), raw)[0]
+    assert clean == pytest.approx(want)
+
+
+HOSTILE = ["0x" + "f" * 60, "9" * 60, "1e400", "-" * 50, "\0", "\U0001f600" * 12, "{" * 200, "2024-99-99", "0001-01-01", "NaN", "1e", "٣", " ", "//", "http://[", "a@b@c", "%", "\\", '"']
+
+
+@pytest.mark.parametrize("kind", ["string", "number", "boolean", "email", "date", "uuid", "url", "enum"])
+def test_no_text_ends_a_job(spark, kind):
+    rule = q.Rule(kind, **({"values": ["a"]} if kind == "enum" else {}))
+    rows = spark.createDataFrame([(x,) for x in (*HOSTILE, None)], "raw string")
+    assert len(q.validate(rows, {"raw": rule}).select("errors", F.col("raw__clean").cast("string")).collect()) == len(HOSTILE) + 1
+
+
+@pytest.mark.parametrize("kind, values", [("double", [1e30, -1e30, 9e18, float("inf"), float("nan"), 8.64e15, 1e12]), ("bigint", [2**63 - 1, -(2**63), 0]), ("decimal(38,0)", [10**37])])
+def test_numeric_dates_outside_of_time(spark, kind, values):
+    from decimal import Decimal
+
+    rows = [Decimal(v) if "decimal" in kind else v for v in values]
+    frame = spark.createDataFrame(list(enumerate(rows)), f"i int, raw {kind}")
+    found = q.validate(frame, {"raw": q.Rule("date")}).orderBy("i").select("errors", F.col("raw__clean").cast("string")).collect()
+    assert [not r.errors for r in found] == [abs(v) <= 8.64e15 for v in values]
+
+
 def test_number_bounds_are_inclusive(spark):
     rule = q.Rule("number", minimum=1, maximum=10, integer=True)
     got = [e for e, _ in check(spark, rule, "1", "10", "0", "11", "2.5", "0.5", "Infinity")]

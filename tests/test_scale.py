@@ -34,7 +34,8 @@ def test_plan(spark, name):
 
 
 def sources():
-    for folder, _, files in os.walk(os.path.join(ROOT, "aphora")):
+    for folder, inner, files in os.walk(os.path.join(ROOT, "aphora")):
+        inner[:] = [name for name in inner if name != "llm"]  # the text operators have rules and tests of their own
         for file in files:
             if file.endswith(".py"):
                 with open(os.path.join(folder, file), encoding="utf-8") as f:
@@ -119,10 +120,17 @@ def test_hot_key_of_rolling_counts_is_spread(spark):
 
 
 def test_latency_of_a_hot_route(spark):
-    """Exact percentiles from a histogram that is as long as there are milliseconds, not requests."""
-    rows = spark.range(0, 30000, 1, 8).select(F.lit("GET").alias("method"), (F.col("id") % 250).cast("double").alias("response_ms"))
-    row = logs.latency(rows, ["method"]).first()
-    assert (row.requests, row.mean_ms, row.p50_ms, row.p95_ms, row.max_ms) == (30000, 124.5, 124.5, pytest.approx(237.0, abs=1), 249.0)
+    """Exact percentiles though only a few milliseconds are looked into; a missing key is a key of its own."""
+    import numpy as np
+
+    rows = spark.range(0, 30000, 1, 8).select(F.when(F.col("id") % 10 > 0, F.lit("GET")).alias("method"), (F.pmod(F.xxhash64("id"), F.lit(250_000)) / 1000).alias("response_ms"))
+    for row in logs.latency(rows.union(spark.createDataFrame([("GET", None)], rows.schema)), ["method"]).collect():
+        t = np.array([r.response_ms for r in rows.collect() if r.method == row.method])
+        assert row.requests == len(t) and row.max_ms == t.max()
+        assert np.allclose([row.mean_ms, row.p50_ms, row.p95_ms], [t.mean(), np.percentile(t, 50), np.percentile(t, 95)])
+    few = spark.createDataFrame([("a", 1.2), ("a", 2.7), ("a", 12.9)], "method string, response_ms double")
+    row = logs.latency(few, ["method"]).first()
+    assert (row.p50_ms, row.p95_ms, row.max_ms) == (2.7, pytest.approx(11.88), 12.9)
 
 
 def test_top_values_count_first(spark):

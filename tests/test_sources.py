@@ -101,7 +101,7 @@ def test_log_lines(spark):
     found = {(r.level, r.request_id, r.message, r.meta) for r in good.collect()}
     assert found == {
         ("INFO", "req-1", "GET /x done", '{"a":{"b":1},"token":"t"}'), ("WARN", None, "no request", None),
-        ("ERROR", "r", "braces { inside", None), ("DEBUG", None, "message", '{x} and {"y":2}'),
+        ("ERROR", "r", "braces { inside", None), ("DEBUG", None, "message {x} and", '{"y":2}'),
     }
     assert {r.line for r in bad.collect()} == {"=== Log opened ===", ""}
 
@@ -118,6 +118,24 @@ def test_lines_can_be_read_back(spark):
     assert tuples(parsed, "logged_at", "level") == [(ntz(1), "INFO"), (ntz(2), "WARN"), (ntz(3), "ERROR")]
 
 
+@pytest.mark.parametrize("rest, message, meta", [
+    ('GET /a?x=[1] start {"a" done {"statusCode":200}', 'GET /a?x=[1] start {"a" done', '{"statusCode":200}'),
+    ('m {"a": {"b": 1}}', "m", '{"a": {"b": 1}}'), ('m {"a":"x {}"}', "m", '{"a":"x {}"}'), ('m {"a":1} {"b":2}', 'm {"a":1}', '{"b":2}'),
+    ("m {x}", "m {x}", None), ("m { {", "m { {", None), ("m", "m", None),
+])
+def test_metadata_is_the_last_json(spark, rest, message, meta):
+    rows = spark.createDataFrame([(f"[2024-01-31T10:00:00.123Z] [INFO] {rest}",)], "value string")
+    row = logs.parse_logs(rows).first()
+    assert (row.message, row.meta) == (message, meta)
+
+
+def test_a_bad_status_line_does_not_end_the_report(spark):
+    lines = ['GET /a done {"statusCode":"n/a","responseTime":1.5}', 'GET /a done {"statusCode":200,"responseTime":2.5}', "GET /a done"]
+    rows = spark.createDataFrame([(f"[2024-01-31T10:00:00.123Z] [INFO] {x}",) for x in lines], "value string")
+    found = {r.status: (r.requests, r.p50_ms) for r in logs.route_latency(logs.parse_logs(rows)).collect()}
+    assert found == {None: (1, 1.5), 200: (1, 2.5)}
+
+
 def test_request_pairs(spark):
     rows = spark.createDataFrame([("a", "start", ntz(1.0)), ("a", "end", ntz(1.25)), ("b", "start", ntz(2))],
                                  "request_id string, phase string, ts timestamp_ntz")
@@ -134,6 +152,11 @@ def test_search_paths_agree(spark, tmp_path):
         direct = tuples(search.search(quotes, terms).select("quote_id"))
         assert direct == tuples(search.search_index(search.inverted_index(quotes), terms)) == tuples(search.search_index(stored, terms))
     assert tuples(search.search(quotes, ["hand", "rest"]).select("quote_id")) == [(1,), (3,), (4,)]
+    # Appended once more, with another number of buckets.
+    search.write_index(search.inverted_index(quotes), str(tmp_path / "index"), buckets=7)
+    again = spark.read.parquet(str(tmp_path / "index"))
+    for terms in (["hand", "rest"], ["Hand"], ["nothing"], ["ann"]):
+        assert tuples(search.search_index(again, terms)) == tuples(search.search(quotes, terms).select("quote_id"))
 
 
 def test_parameters_are_not_text(spark):
