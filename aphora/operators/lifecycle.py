@@ -111,15 +111,17 @@ def live_tokens(tokens: DataFrame, as_of: Column) -> DataFrame:
 
 
 def insert_if_absent(rows: DataFrame, candidates: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The table with the candidates it does not hold yet; ``is_new`` marks them.
+    """The table with the candidates it does not hold yet; ``is_new`` marks them. Other columns come along.
 
-    One aggregation decides both questions (is the key there, which copy comes first), so copies of a hot key
+    A row that is held stays, also with a null time; of several copies of a key the smallest is kept. One aggregation decides both questions (is the key there, which copy comes first), so copies of a hot key
     collapse before the shuffle.
     """
-    tagged = rows.select(*keys, F.col(at).alias("_old"), F.lit(None).cast("timestamp_ntz").alias("_new"))
-    offered = candidates.select(*keys, F.lit(None).cast("timestamp_ntz").alias("_old"), F.col(at).alias("_new"))
+    rest = [c for c in rows.columns if c not in (*keys, at)]
+    given = [F.col(c) if c in candidates.columns else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rest]
+    tagged = rows.select(*keys, F.lit(True).alias("_held"), F.struct(at, *rest).alias("_row"))
+    offered = candidates.select(*keys, F.lit(False).alias("_held"), F.struct(F.col(at).cast(rows.schema[at].dataType).alias(at), *given).alias("_row"))
+    held = F.col("_held")
     merged = tagged.unionByName(offered).groupBy(*keys).agg(
-        F.min("_old").alias("_old"), F.min("_new").alias("_new"), F.count("_old").alias("_held"),
-    )
-    return merged.select(*keys, F.when(F.col("_held") > 0, F.col("_old")).otherwise(F.col("_new")).alias(at),
-                         (F.col("_held") == 0).alias("is_new"))
+        F.max("_held").alias("_held"), F.min(F.when(held, F.col("_row"))).alias("_old"), F.min(F.when(~held, F.col("_row"))).alias("_new"))
+    kept = F.when(F.col("_held"), F.col("_old")).otherwise(F.col("_new"))
+    return merged.select(*keys, *[kept[c].alias(c) for c in (at, *rest)], (~F.col("_held")).alias("is_new"))

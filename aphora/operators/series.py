@@ -144,7 +144,9 @@ def metric_buckets(metrics: DataFrame, width: str = "1 hour") -> DataFrame:
     Time and id form one number: ordering by a struct would replace the hash aggregation by a sort of all rows.
     """
     window = F.window("metric_ts", width)
-    place = _micros("metric_ts").cast("decimal(20,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("id")
+    # Ids use all 64 bits: shifted to be positive, they stay below the factor of the time.
+    shifted = F.col("id").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
+    place = _micros("metric_ts").cast("decimal(17,0)") * F.lit(str(2**64)).cast("decimal(20,0)") + shifted
     grouped = metrics.groupBy("metric_name", window.alias("_w")).agg(
         F.min("metric_value").alias("min_value"), F.max("metric_value").alias("max_value"),
         F.sum("metric_value").alias("_sum"), F.count("metric_value").alias("n"),

@@ -20,7 +20,7 @@ def voice_habits(audio: DataFrame) -> DataFrame:
 
 
 def preferred_categories(views: DataFrame, n: int = 3) -> DataFrame:
-    top = ranking.top_values(views, "user_id", "category", n)
+    top = ranking.top_values(views.where(F.col("category").isNotNull()), "user_id", "category", n)
     return ranking.ranked_list(top, "user_id", "position", F.col("category"), "preferred_categories")
 
 

@@ -63,7 +63,7 @@ def category_views(audit: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def top_categories(views: DataFrame, n: int = 5) -> DataFrame:
-    return ranking.top_values(views, "user_id", "category", n, count="views")
+    return ranking.top_values(views.where(F.col("category").isNotNull()), "user_id", "category", n, count="views")
 
 
 def user_profile(users: DataFrame, favorites: DataFrame, quotes: DataFrame, views: DataFrame, as_of: Column,

@@ -165,7 +165,7 @@ def personal_quotes(requests: DataFrame, completions: DataFrame) -> DataFrame:
     answered = answered.where(F.col("text").isNotNull())
     return answered.select(
         sinks.surrogate_id("user_id", "request_id", "text").alias("quote_id"), "text",
-        F.element_at("topics", 1).alias("category"), F.col("language").alias("lang"), F.lit(0).alias("score"),
+        F.try_element_at("topics", F.lit(1)).alias("category"), F.col("language").alias("lang"), F.lit(0).alias("score"),
         F.lit(True).alias("user_generated"), "user_id", "created_at",
     )
 

@@ -41,17 +41,23 @@ def inverted_index(quotes: DataFrame) -> DataFrame:
 
 
 def write_index(index: DataFrame, path: str, buckets: int = 64) -> None:
-    """Store the index by term hash, so that a search reads only the folders of its terms."""
-    placed = index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    """Store the index by term hash, so that a search reads only the folders of its terms.
+
+    The number of buckets is part of every folder's name: tables written with other numbers may be appended.
+    """
+    placed = index.withColumn("buckets", F.lit(buckets)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     ordered = placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term")
-    ordered.write.mode("append").partitionBy("bucket").parquet(path)
+    ordered.write.mode("append").partitionBy("buckets", "bucket").parquet(path)
 
 
-def search_index(index: DataFrame, terms: list[str], buckets: int = 64) -> DataFrame:
-    """Ids of the quotes that contain every term. ``buckets`` is the number the index was written with."""
+def search_index(index: DataFrame, terms: list[str]) -> DataFrame:
+    """Ids of the quotes that contain every term; an entry that was appended twice counts once."""
     wanted = sorted({t.lower() for t in terms})
     hits = index.where(F.col("term").isin(wanted))
     if "bucket" in index.columns:
-        folders = [F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in wanted]
-        hits = hits.where(F.col("bucket").isin(*folders))
-    return hits.groupBy("quote_id").agg(F.count("*").alias("_n")).where(F.col("_n") == len(wanted)).select("quote_id")
+        folder = F.lit(False)
+        for term in wanted:
+            folder = folder | (F.col("bucket") == F.pmod(F.xxhash64(F.lit(term)), F.col("buckets")))
+        hits = hits.where(folder)
+    found = hits.select("quote_id", "term").distinct().groupBy("quote_id").agg(F.count("*").alias("_n"))
+    return found.where(F.col("_n") == len(wanted)).select("quote_id")

@@ -22,26 +22,28 @@ def voice_assignment(requests: DataFrame, quotes: DataFrame, users: DataFrame, r
                      rules: v.MoodRules = v.EXTENDED_RULES, seed: int = 42, fmt: str = "mp3") -> DataFrame:
     """Voice, speech model and estimated duration of every audio request; free users are refused.
 
-    A request may name its voice in ``voice_id``; otherwise the mood of the quote decides.
+    A request may name its voice in ``voice_id``; otherwise the mood of the quote decides, and the fallback voice speaks for
+    a quote that is not known. Requests of unknown users are refused.
     """
     people = filters.audio_entitlement(users).select("user_id", F.col("subscription_tier").alias("tier"), "audio_allowed",
                                                      "audio_denial")
     moods = quote_moods(quotes, rules)
     asked = requests.select(F.col(request_id).alias("request_id"), "user_id", "quote_id",
                             *(["voice_id"] if "voice_id" in requests.columns else []))
-    joined = asked.join(moods, "quote_id").join(people, "user_id")
+    joined = asked.join(moods, "quote_id", "left").join(people, "user_id", "left")
     chosen = v.select_voice(F.col("mood"), F.col("tier"), "request_id", seed=seed)
     if "voice_id" in requests.columns:
         chosen = F.coalesce(F.nullif(F.col("voice_id"), F.lit("")), chosen)
-    voiced = joined.withColumn("voice", F.when(F.col("audio_allowed"), chosen))
-    allowed = F.col("audio_allowed")
+    allowed = F.coalesce("audio_allowed", F.lit(False))
+    voiced = joined.withColumn("voice", F.when(allowed, chosen))
+    denial = F.when(F.col("audio_allowed").isNull(), F.lit("unknown_user")).otherwise(F.col("audio_denial"))
     return voiced.select(
         "request_id", "user_id", "quote_id", "tier", "mood", "voice",
         F.when(allowed, v.speech_voice(F.col("voice"))).alias("tts_voice"),
         F.when(allowed, v.speech_model(F.col("tier"))).alias("model"),
         v.duration_seconds(F.col("text_length")).alias("duration_seconds"),
         v.content_type(F.lit(fmt)).alias("content_type"),
-        "audio_denial",
+        denial.alias("audio_denial"),
     )
 
 

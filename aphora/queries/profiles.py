@@ -284,7 +284,7 @@ def feedback_rejected(m: Model) -> DataFrame:
 def personal_quotes(m: Model) -> DataFrame:
     """Requests answered by an injected text function, stored under their first topic."""
     answers = m.personalize_requests.select(
-        "request_id", F.concat(F.lit("  "), F.upper("style"), F.lit(" "), F.element_at("topics", 1), F.lit("\n")).alias("completion")
+        "request_id", F.concat(F.lit("  "), F.upper("style"), F.lit(" "), F.try_element_at("topics", F.lit(1)), F.lit("\n")).alias("completion")
     )
     made = recommend.personal_quotes(m.personalize_requests, answers)
     return made.select("quote_id", "text", "category", "lang", "score", "user_id", "created_at")

@@ -106,3 +106,11 @@ def test_generated_quotes(spark):
     assert made.exceptAll(again).count() == 0
     spread = spark.range(3000).select(generation.assigned_category("id").alias("c")).groupBy("c").count()
     assert spread.count() == 15
+
+
+def test_insert_keeps_rows_without_a_time_and_other_columns(spark):
+    held = spark.createDataFrame([(1, 1, None, "old"), (1, 2, ntz(5), "b")], "user_id int, quote_id int, created_at timestamp_ntz, note string")
+    new = spark.createDataFrame([(1, 1, ntz(9)), (2, 2, ntz(8)), (2, 2, ntz(7)), (3, 3, None)], "user_id int, quote_id int, created_at timestamp_ntz")
+    found = lifecycle.insert_if_absent(held, new, ["user_id", "quote_id"], "created_at")
+    assert found.columns == ["user_id", "quote_id", "created_at", "note", "is_new"]
+    assert tuples(found.orderBy("user_id", "quote_id")) == [(1, 1, None, "old", False), (1, 2, ntz(5), "b", False), (2, 2, ntz(7), None, True), (3, 3, None, None, True)]

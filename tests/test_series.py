@@ -84,3 +84,13 @@ def test_rates(spark):
     rows = [(1, i, ntz(i)) for i in range(61)]
     found = series.over_rate(spark.createDataFrame(rows, EVENTS), "user_id", "ts", limit=59)
     assert tuples(found, "user_id", "window_start", "n") == [(1, ntz(0), 60)]
+
+
+def test_last_value_with_ids_of_all_sizes(spark):
+    from decimal import Decimal
+
+    ids = [1_150_000_000_000_000_000, -(2**63), 2**63 - 1, 5]
+    rows = spark.createDataFrame([("m", Decimal(n), ntz(60 + n // 10), i) for n, i in zip((1, 2, 3, 4), ids)], "metric_name string, metric_value decimal(15,4), metric_ts timestamp_ntz, id bigint")
+    assert series.metric_buckets(rows).first().last_value == 3
+    later = rows.union(spark.createDataFrame([("m", Decimal(9), ntz(61), -(2**63))], rows.schema))
+    assert series.metric_buckets(later).first().last_value == 9
