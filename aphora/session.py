@@ -45,11 +45,14 @@ def build_session(
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder path below the shared folder named in ``spark.checkpoint.dir``.
 
-    Only a local master may go without that setting; it then gets a temporary folder of its own.
+    Only a local master may go without that setting (tests and trials on one machine); the session then gets one temporary
+    folder for all its tables, and keeps it as that setting.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="aphora-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
