@@ -19,6 +19,14 @@ def _col(c: Column | str) -> Column:
 SPACE_CHARACTERS = "\t\n\v\f\r \u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
+def utf16_length(c: Column | str) -> Column:
+    """The length as JavaScript counts it: characters beyond the basic plane, such as emoji, count as two."""
+    text = _col(c)
+    beyond = F.length(text) - F.length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", ""))
+    # Few texts hold any; the others are measured without a search.
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise(F.length(text) + beyond)
+
+
 def trim(c: Column | str) -> Column:
     """Trim every white-space character, not only blanks."""
     return F.btrim(_col(c), F.lit(SPACE_CHARACTERS))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aphora import dimensions
-from aphora.functions.text import SPACE, sanitize, trim
+from aphora.functions.text import SPACE, sanitize, trim, utf16_length
 
 # The formats of the named kinds of text.
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\z"
@@ -154,9 +154,9 @@ def _string(value: Column, kind: T.DataType, rule: Rule, ctx: _Context, prefix:
         return _Result(value, [F.lit(prefix + "type")])
     problems = []
     if rule.min_length is not None:
-        problems.append((F.length(value) < rule.min_length, "min_length"))
+        problems.append((utf16_length(value) < rule.min_length, "min_length"))
     if rule.max_length is not None:
-        problems.append((F.length(value) > rule.max_length, "max_length"))
+        problems.append((utf16_length(value) > rule.max_length, "max_length"))
     if rule.pattern is not None:
         problems.append((~value.rlike(rule.pattern), "pattern"))
     if ctx.strict and rule.values:

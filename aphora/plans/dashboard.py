@@ -34,16 +34,24 @@ def dashboard(users: DataFrame, views: DataFrame, audio: DataFrame, favorites: D
               days: int = 7, n_categories: int = 3) -> DataFrame:
     """Counts, streak, habits, weekly progress and subscription of every user.
 
-    Every part is reduced to one row per user before it joins, and all of them are partitioned by user, so
-    the joins add no further shuffle of events.
+    Views are read once and counted by user, day and category; totals, the calendar, streaks and categories all come from
+    that small table (its exchange is reused). Views of unknown quotes count, without a category. Every part is reduced to
+    one row per user before it joins, and all of them are partitioned by user, so the joins shuffle no events.
     """
-    viewed = series.daily_counts(views, "user_id", "created_at", last_day, days, total="quotes_viewed")
+    active = views.groupBy("user_id", F.to_date("created_at").alias("day"), "category").agg(F.count("*").alias("n")).where("n > 0")
+    age = F.date_diff(last_day, F.col("day"))
+    on_day = [F.coalesce(F.sum(F.when(age == days - 1 - i, F.col("n"))), F.lit(0).cast("bigint")) for i in range(days)]
+    viewed = active.groupBy("user_id").agg(F.array(*on_day).alias("daily"), F.sum("n").alias("quotes_viewed"))
     liked = ranking.count_by(favorites, ["user_id"], "favorites")
-    streak = series.streaks(views, "user_id", "created_at").select(
+    streak = series.streaks(active, "user_id", "day").select(
         "user_id", F.col("current_streak").alias("streak_days"), "longest_streak"
     )
+    # A filter on the category itself would move below the counting, which could then not be shared.
+    by_category = active.groupBy("user_id", "category").agg(F.sum(F.when(F.col("category").isNotNull(), F.col("n"))).alias("n")).where("n > 0")
+    top = ranking.first_per_key(by_category, ["user_id"], [F.col("n").desc(), F.col("category").asc()], n_categories, "position")
+    preferred = ranking.ranked_list(top, "user_id", "position", F.col("category"), "preferred_categories")
     out = users.select("user_id", "subscription_tier", "subscription_status")
-    for part in (viewed, voice_habits(audio), liked, streak, preferred_categories(views, n_categories)):
+    for part in (viewed, voice_habits(audio), liked, streak, preferred):
         out = out.join(part, "user_id", "left")
     zero = F.lit(0).cast("bigint")
     return out.select(

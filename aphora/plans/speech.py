@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aphora import dimensions
 from aphora.functions import voice as v
-from aphora.functions.text import display_name
+from aphora.functions.text import display_name, utf16_length
 from aphora.operators import filters, ranking, relations
 
 
@@ -15,7 +15,7 @@ def quote_moods(quotes: DataFrame, rules: v.MoodRules = v.EXTENDED_RULES) -> Dat
     """Mood and text length of each quote. Texts are read here once and travel no further."""
     lowered = quotes.withColumn("_lower", F.lower("text"))
     mood = v.classify_mood(F.col("_lower"), F.col("tags") if rules.tags else None, rules)
-    return lowered.select("quote_id", mood.alias("mood"), F.length("text").alias("text_length"))
+    return lowered.select("quote_id", mood.alias("mood"), utf16_length("text").alias("text_length"))
 
 
 def voice_assignment(requests: DataFrame, quotes: DataFrame, users: DataFrame, request_id: str = "id",

@@ -174,6 +174,13 @@ def test_masking_json(spark):
     assert got[1].d == "not json" and got[1].f is None
 
 
+@pytest.mark.parametrize("text, want", [("", 0), ("abc", 3), ("é中", 2), ("\U0001f600" * 12, 24), ("a\U0001f600é", 4), (None, None)])
+def test_lengths_count_utf16_units(value, text, want):
+    from aphora.functions.text import utf16_length
+
+    assert value(utf16_length(F.col("t")), t=text) == want
+
+
 @pytest.mark.parametrize("kind, values, want", [
     ("int", {"token": 5, "n": 6}, {"token": masking.MASK, "n": "6"}),
     ("array<string>", {"password": ["x"], "a": ["y"]}, {"password": masking.MASK, "a": '["y"]'}),

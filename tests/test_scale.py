@@ -139,3 +139,13 @@ def test_top_values_count_first(spark):
     assert "partial_count" in plan
     top = tuples(ranking.top_values(hot, "user_id", "quote_id", 1).where("user_id = 5"), "quote_id")
     assert len(top) == 1
+
+
+def test_dashboard_reads_views_once(spark):
+    from aphora.plans.dashboard import dashboard
+
+    m = Model(spark, DATA)
+    plan = plan_of(dashboard(m.users, m.views, m.audio, m.favorites, F.lit("2024-01-30").cast("date")), final=True)
+    final = plan.split("== Initial Plan ==")[0]
+    scans = re.findall(r"FileScan parquet [^\n]*?/(\w+)\.parquet", final)
+    assert scans.count("events") <= 3 and scans.count("documents") <= 1
