@@ -1,6 +1,6 @@
 """Streams over event files and log files, written to Parquet.
 
-A run reads what has arrived since its checkpoint and stops (``availableNow``). Windows and sessions appear
+A run reads what has arrived since its checkpoint and stops (``availableNow``), unless a trigger keeps it running. Windows and sessions appear
 once the watermark has passed their end; later events than that are dropped.
 """
 
@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from aphora.plans.logs import parse_logs, split_malformed
 from aphora.session import ROCKSDB
@@ -45,36 +46,50 @@ def log_stream(spark: SparkSession, path: str, files_per_batch: int | None = Non
     return reader.text(path)
 
 
-def run_append(stream: DataFrame, out: str, checkpoint: str, partition_by: list[str] | None = None) -> None:
-    """Write what is new as Parquet; the file sink's log makes restarts exactly-once."""
+def _run(writer: DataStreamWriter, trigger: dict | None) -> StreamingQuery:
+    """Start; without a trigger, read what has arrived and wait for the end. With one the stream runs on."""
+    query = writer.trigger(**(trigger or {"availableNow": True})).start()
+    if trigger is None:
+        query.awaitTermination()
+    return query
+
+
+def run_append(stream: DataFrame, out: str, checkpoint: str, partition_by: list[str] | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Write what is new as Parquet; the file sink's log makes restarts exactly-once.
+
+    ``trigger`` holds the arguments of a trigger, such as ``{"processingTime": "10 seconds"}``.
+    """
     writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return _run(writer.outputMode("append"), trigger)
 
 
-def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
+                trigger: dict | None = None) -> StreamingQuery:
     """Hand every micro-batch to a function. It must be safe to repeat: a batch can come twice after a failure."""
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode)
-    writer.trigger(availableNow=True).start().awaitTermination()
+    return _run(writer, trigger)
 
 
-def ingest_events(stream: DataFrame, out: str, checkpoint: str, at: str = "ts") -> None:
+def ingest_events(stream: DataFrame, out: str, checkpoint: str, at: str = "ts", trigger: dict | None = None) -> StreamingQuery:
     """Append events below one folder per day."""
-    run_append(stream.withColumn("dt", F.to_date(at)), out, checkpoint, ["dt"])
+    return run_append(stream.withColumn("dt", F.to_date(at)), out, checkpoint, ["dt"], trigger)
 
 
-def ingest_logs(lines: DataFrame, out: str, quarantine: str, checkpoint: str) -> None:
+def ingest_logs(lines: DataFrame, out: str, quarantine: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Parse log lines; malformed ones go to the quarantine.
 
     Each batch writes its own folder and overwrites it when repeated, so no line is stored twice.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_malformed(parse_logs(batch))
+        parsed = parse_logs(batch).persist()  # read and parsed once for both writes
+        good, bad = split_malformed(parsed)
         good.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+        parsed.unpersist()
 
-    run_batches(lines, write, checkpoint)
+    return run_batches(lines, write, checkpoint, trigger=trigger)
 
 
 def consume_once(stream: DataFrame, keys: list[str], at: str = "ts", delay: str = "1 day") -> DataFrame:
@@ -115,7 +130,8 @@ def metric_rollup(stream: DataFrame, name: str, value: str, at: str = "ts", widt
 
 
 def session_windows(stream: DataFrame, key: str, at: str = "ts", gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Sessions of activity separated by idle gaps."""
+    """Sessions of activity separated by idle gaps. Events of a key are merged to sessions before the shuffle too."""
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     grouped = stream.withWatermark(at, delay).groupBy(key, F.session_window(at, gap).alias("w"))
     counted = grouped.agg(F.count("*").alias("events"), F.max(at).alias("last_event"))
     return counted.select(key, F.col("w.start").alias("session_start"), "last_event", "events")
