@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CLOSED, HALF_OPEN, OPEN = 0, 1, 2
@@ -217,17 +218,24 @@ _CALL_SCHEMA = "endpoint string, call_id bigint, t bigint, allowed boolean, code
 
 
 def _chunked(calls: DataFrame, breaker: Breaker, chunk_ms: int, max_calls: int) -> DataFrame:
-    """Calls with the start of their chunk: a chunk of the given length or, where that would hold too many calls of
-    an endpoint, one of twice the reset time."""
-    t, width, short = F.unix_micros(F.col("ts").cast("timestamp")), chunk_ms * 1000, 2 * breaker.reset
+    """Calls with the start of their chunk.
+
+    A chunk has the given length. Where an endpoint has too many calls for one, its calls are counted by millisecond and the
+    chunk is cut wherever the running count passes the limit, so no chunk holds more than the limit and the calls of
+    one millisecond. Any cut is right, as a chunk is summarised for every state it may begin in.
+    """
+    t, width = F.unix_micros(F.col("ts").cast("timestamp")), chunk_ms * 1000
     failed = F.col("outcome") == "failure"
     timed = calls.select("endpoint", "call_id", t.alias("t"), failed.alias("failed"))
-    timed = timed.withColumn("block", F.floor(F.col("t") / width) * width)
-    counts = timed.groupBy("endpoint", "block").agg(F.count("*").alias("n"))
-    busy = counts.where(F.col("n") > max_calls).select("endpoint", "block", F.lit(True).alias("busy"))
-    part = F.greatest(F.floor(F.col("t") / short) * short, F.col("block"))
-    chunk = F.when(F.col("busy"), part).otherwise(F.col("block"))
-    return timed.join(busy, ["endpoint", "block"], "left").withColumn("chunk", chunk).drop("block", "busy")
+    timed = timed.withColumn("block", F.floor(F.col("t") / width) * width).withColumn("ms", F.floor(F.col("t") / 1000))
+    busy = timed.groupBy("endpoint", "block").agg(F.count("*").alias("n")).where(F.col("n") > max_calls).select("endpoint", "block")
+    bins = timed.join(busy, ["endpoint", "block"]).groupBy("endpoint", "block", "ms").agg(F.count("*").alias("n"))
+    earlier = W.partitionBy("endpoint", "block").orderBy("ms").rowsBetween(W.unboundedPreceding, -1)
+    parts = bins.withColumn("part", F.floor(F.coalesce(F.sum("n").over(earlier), F.lit(0)) / max_calls))
+    first = F.min("ms").over(W.partitionBy("endpoint", "block", "part"))
+    cuts = parts.select("endpoint", "ms", (first * 1000).alias("start"))
+    chunk = F.greatest(F.col("block"), F.coalesce("start", "block"))
+    return timed.join(cuts, ["endpoint", "ms"], "left").withColumn("chunk", chunk).drop("block", "ms", "start")
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
@@ -343,8 +351,8 @@ def named_states(rows: DataFrame) -> DataFrame:
     )
 
 
-# A chunk of this many calls takes some hundred megabytes in a Python worker.
-MAX_CALLS = 2_000_000
+# A chunk of this many calls takes some ten megabytes in a Python worker.
+MAX_CALLS = 200_000
 
 
 def _prepared(calls: DataFrame, breaker: Breaker, chunk_ms: int, max_calls: int) -> tuple[DataFrame, DataFrame]:

@@ -108,3 +108,17 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
             "print(run(np.arange(6) * 1000, np.ones(6, dtype=bool), breaker).trace(0, 0, -1)[3])")
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, check=True)
     assert done.stdout.strip() == "(2, 5, 4000)"
+
+
+def test_a_burst_of_one_endpoint_is_cut_by_count(spark):
+    """200,000 calls within 50 s: no chunk is held whole beyond the limit and a millisecond's calls."""
+    calls = spark.range(0, 200_000, 1, 8).select(
+        F.lit("e").alias("endpoint"), F.col("id").alias("call_id"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("id") / 4000).cast("decimal(18,6)"))).alias("ts"),
+        F.when(F.col("id") % 9 < 6, "failure").otherwise("success").alias("outcome"))
+    chunked = health._chunked(calls, health.Breaker(), 3_600_000, 1000)
+    assert chunked.groupBy("chunk").count().agg(F.max("count")).first()[0] <= 1004
+    whole = health.breaker_states(calls, max_calls=10**9)
+    cut = health.breaker_states(calls, max_calls=1000)
+    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    assert digest(whole) == digest(cut)
