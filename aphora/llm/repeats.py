@@ -110,15 +110,16 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(row, spans) for (row, text): the word ranges [lo, hi) of a row's repeats, which may overlap."""
     found = stored(seeds(docs, length, seed), "seeds")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # Counts are tables of their own, so that the joins below may split a hot anchor.
+    twice = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated-seeds")
     shared = stored(found.join(twice, "h"), "shared-seeds")
     kinds = stored(shared.groupBy("h", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "places", "anchor")).alias("one")), "spans")
     whole = shared.join(kinds.where("n > 1").select("h", "span"), ["h", "span"], "left_semi").select("row", "places")
-    mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
+    mixed = stored(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h"), "mixed-seeds")
     single = kinds.join(mixed, "h").select("one.row", F.struct("h", "one.places", "one.anchor", (F.col("n") > 1).alias("settled")).alias("item"))
     lists = single.groupBy("row").agg(F.collect_list("item").alias("spans"))
     windows = stored(_windows(docs.select("row", "text").join(lists, "row"), length), "windows")
-    again = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
+    again = stored(windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"), "repeated-windows")
     cut = windows.where("not settled").join(again, "w", "left_semi").select("row", ((F.shiftleft("start", 32)) + F.col("start") + length).alias("places"))
     return stored(whole.unionByName(cut).groupBy("row").agg(F.collect_list("places").alias("spans")), "repeats")
 
