@@ -195,6 +195,7 @@ def recommendation_audit(m: Model) -> DataFrame:
     return recommend.recommendation_audit(recommended, 5, as_of())
 
 
+# The wording of the request in the statement below.
 @query("recommendation_prompt", f"""
   SELECT user_id, length(prompt) AS n_chars, md5(prompt) AS prompt_md5 FROM (SELECT p.user_id, concat(
     'Analizează profilul utilizatorului și recomandă 5 citate motivaționale care s-ar potrivi cel mai bine cu preferințele și comportamentul său.',
@@ -226,6 +227,7 @@ def recommendation_prompt(m: Model) -> DataFrame:
     return prompts.select("user_id", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
+# The wording of the request in the statement below.
 @query("personalize_prompt", """
   SELECT request_id, cache_key, md5(prompt) AS prompt_md5 FROM (SELECT r.request_id,
     concat('personalize-', CAST(r.user_id AS STRING), '-["', r.preferences[1], '"]-["', r.topics[1], '","', r.topics[2], '"]-',

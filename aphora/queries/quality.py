@@ -106,6 +106,7 @@ def validate_objects(m: Model) -> DataFrame:
     return checked.select("event_id", joined("errors", ";").alias("errors"), F.col("body__clean.kind").alias("kind"))
 
 
+# The patterns of an address, an identifier, a link and a safe text in the statement below.
 @query("validate_formats", r"""
   SELECT page_id, concat_ws(';', CASE WHEN NOT regexp_matches(email, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$') THEN 'email:email' END,
     CASE WHEN NOT regexp_matches(code, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$') THEN 'code:uuid' END,
