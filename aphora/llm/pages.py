@@ -29,6 +29,8 @@ from aphora.llm.tables import stored
 MIN_PAGES, MIN_SHARE = 3, 0.01
 #: The same inside of articles.
 MIN_PAGES_INSIDE, MIN_SHARE_INSIDE = 20, 0.5
+#: Largest number of template subtrees shown on pages (about twenty bytes each) that is broadcast.
+BROADCAST_HASHES = 200_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -152,20 +154,20 @@ class Page:
                     out[at] = digest
         return out
 
+    def kept(self) -> list[bool]:
+        """Whether neither the element nor any around it goes by its kind."""
+        out = [True] * len(self.tags)
+        for at in range(1, len(self.tags)):
+            out[at] = out[self.parents[at]] and not self.dropped[at]
+        return out
+
     def inside(self) -> list[bool]:
         """Whether each element is, or stands in, an article or main element that is not itself dropped."""
-        out = [False] * len(self.tags)
+        out, kept = [False] * len(self.tags), self.kept()
         for at in range(1, len(self.tags)):
-            out[at] = out[self.parents[at]] or self.tags[at] in _MAIN and not self._gone(at)
+            out[at] = out[self.parents[at]] or self.tags[at] in _MAIN and kept[at]
         return out
 
-    def _gone(self, at: int) -> bool:
-        while at > 0:
-            if self.dropped[at]:
-                return True
-            at = self.parents[at]
-        return False
-
     def text(self, template: frozenset[int], template_inside: frozenset[int]) -> str:
         """Blocks of the main text. The two sets hold the hashes of template subtrees around and inside articles."""
         inside = self.inside()
@@ -208,23 +210,32 @@ def _digest(parts: list) -> int:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(row, host, inside, hash): the distinct block subtrees of each page, and hash 0 for the page itself."""
+    """(row, host, inside, shown, hash): the distinct block subtrees of each page, and hash 0 for the page itself.
+
+    Subtrees that go by their kind are left out. ``shown`` marks those that would be text of the page: all of them, or
+    those inside of articles if it has any.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                rows, insides, hashes = [], [], []
+                rows, insides, shown, hashes = [], [], [], []
                 for i, source in enumerate(part["html"].to_pylist()):
                     page = Page(source)
-                    found = {(inside, h) for inside, h in zip(page.inside(), page.hashes()) if h} | {(False, 0)}
+                    inside, kept = page.inside(), page.kept()
+                    only = any(inside)
+                    found = {(x, h) for x, k, h in zip(inside, kept, page.hashes()) if h and k} | {(False, 0)}
                     rows += [i] * len(found)
                     insides += [x for x, _ in found]
+                    shown += [h != 0 and (x or not only) for x, h in found]
                     hashes += [h for _, h in found]
                 at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part["row"].take(at), part["host"].take(at), pa.array(insides, pa.bool_()), pa.array(hashes, pa.int64())], ["row", "host", "inside", "hash"])
+                yield pa.RecordBatch.from_arrays(
+                    [part["row"].take(at), part["host"].take(at), pa.array(insides, pa.bool_()), pa.array(shown, pa.bool_()), pa.array(hashes, pa.int64())],
+                    ["row", "host", "inside", "shown", "hash"])
 
-    return pages.mapInArrow(read, "row bigint, host string, inside boolean, hash bigint")
+    return pages.mapInArrow(read, "row bigint, host string, inside boolean, shown boolean, hash bigint")
 
 
 def templates(found: DataFrame) -> DataFrame:
@@ -241,7 +252,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     source = pages.select(F.xxhash64("page_id", "url", "html").alias("row"), "page_id", "url", "html", host.alias("host"))
     found = stored(subtrees(source), "subtrees")
-    hits = found.join(templates(found), ["host", "inside", "hash"]).groupBy("row").agg(F.collect_set(F.struct("inside", "hash")).alias("known"))
+    # The template's table is one of its own, so that the join may split a hot host.
+    known = stored(templates(found), "templates")
+    hits = stored(found.where("shown").join(known, ["host", "inside", "hash"]).groupBy("row").agg(F.collect_set(F.struct("inside", "hash")).alias("known")), "hits")
+    # Most pages show none. The lists go to every executor if they are few; otherwise pages and lists are shuffled.
+    size = hits.agg(F.sum(F.size("known"))).first()[0] or 0
+    hits = F.broadcast(hits) if size <= BROADCAST_HASHES else hits
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -50,7 +50,9 @@ def site(n=40):
     return rows
 
 
-def test_templates_go_and_own_text_stays(spark):
+@pytest.mark.parametrize("limit", [pages.BROADCAST_HASHES, 0])
+def test_templates_go_and_own_text_stays(spark, monkeypatch, limit):
+    monkeypatch.setattr(pages, "BROADCAST_HASHES", limit)
     frame = spark.createDataFrame(site(), "page_id bigint, url string, html string").selectExpr("*", "'x' as host", "1 as row", "2 as known").repartition(4)
     got = {r["page_id"]: r for r in pages.main_text(frame).collect()}
     for i in range(40):
