@@ -136,7 +136,9 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", carry: list[str] = ["doc_id"]) -> DataFrame:
     """``carry`` columns with ``lang_pred`` and ``score``, the probability of that language (evidence tempered)."""
     shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.prior))
-    source = docs.select(*carry, F.col(text).alias("_text"))
+    # A carried text travels once.
+    held = text if text in carry else "_text"
+    source = docs.select(*carry, *([] if held in carry else [F.col(text).alias(held)]))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, weights, prior = shipped.value
@@ -145,7 +147,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", carry: l
             rows = batch.num_rows
             best, score = np.full(rows, len(languages)), np.zeros(rows)
             if languages:
-                for lo, hi, data, offsets in chunks(batch["_text"]):
+                for lo, hi, data, offsets in chunks(batch[held]):
                     bucket, doc, letters = _grams(data, offsets)
                     size = hi - lo
                     sums = np.stack([np.bincount(doc, weights[:, k][bucket], size) for k in range(len(languages))], 1)
@@ -159,7 +161,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", carry: l
             kept = [batch[c] for c in carry]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(names[best], pa.string()), pa.array(score)], [*carry, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "_text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in carry)
     return source.mapInArrow(predict, f"{fields}, lang_pred string, score double")
 
 
