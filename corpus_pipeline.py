@@ -20,10 +20,9 @@ ORACLE_SQL = None
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without letters, and unclear ones, go."""
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
-    whole = docs.select(*COLUMNS).withColumn("_whole", F.col("text"))
-    judged = language.identify(whole, model, carry=["doc_id", "_whole", "lang", "source", "n_chars"])
+    judged = language.identify(docs.select(*COLUMNS), model, carry=COLUMNS)
     good = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE)
-    return judged.where(good).withColumnRenamed("_whole", "text").select(*COLUMNS)
+    return judged.where(good).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
