@@ -33,12 +33,14 @@ from aphora.llm.tables import numbered, part_count, stored
 WINDOW = 4096
 END = 2
 MAX_SLACK = 16
-#: Words kept in a worker's table of encoded words before it starts anew.
-KNOWN_WORDS = 500_000
-
-# Words of these characters only are split by the expression below as the tokenizer would; others go to the tokenizer as
-# a whole. Texts are cut at blanks first: no token reaches across one.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ɏ]+")
+#: Words in one generation of a worker's table of encoded words.
+KNOWN_WORDS = 300_000
+#: Largest number of cut documents whose numbers (eight bytes each) are sent to every executor.
+BROADCAST_ROWS = 200_000
+
+# Words of these characters only are split by the expression below as the tokenizer would; others (also those with the
+# sign that opens special tokens) go to the tokenizer as a whole. Texts are cut at blanks first: no token reaches across one.
+_PLAIN = re.compile("[!-;=-~À-ÖØ-öø-įı-ɏ]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
@@ -49,41 +51,61 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Encoder(dict):
-    """Words (UTF-8, without blanks) -> their token ids as little-endian 32-bit numbers."""
+class Known(dict):
+    """What was worked out for a key, in two generations: when the younger one is full, it becomes the older one.
+
+    So the memory is bounded, and what is asked for often stays.
+    """
+
+    def __init__(self, work, size: int) -> None:
+        super().__init__()
+        self.work, self.size, self.older = work, size, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(key)
+        out = self[key] = self.work(key) if found is None else found
+        return out
+
+
+class Encoder:
+    """Texts -> their token ids as little-endian 32-bit numbers; words and pieces of words are remembered."""
 
     def __init__(self, definition: str, known: int = KNOWN_WORDS) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = all("<" in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        self.known = known
+        self.words, self.pieces = Known(self._word, known), Known(self._piece, known)
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.known:
-            self.clear()
+    def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            out = b"".join([self.pieces.get(p) or self._piece(p) for p in _PIECE.findall(text.lower())])
-        else:
-            out = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = out
-        return out
+        if self.plain and _PLAIN.fullmatch(text):
+            if text.isalpha():
+                return self.pieces[text.lower()]
+            if text[-1] in ".,!" and text[:-1].isalpha():
+                return self.pieces[text[:-1].lower()] + self.pieces[text[-1]]
+            return b"".join([self.pieces[p] for p in _PIECE.findall(text.lower())])
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= self.known:
-            self.pieces.clear()
         shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-        out = np.asarray([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-        self.pieces[piece] = out
-        return out
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join([self[w] for w in (text or "").encode().split()])
+        return b"".join(map(self.words.__getitem__, (text or "").encode().split()))
+
+
+def encoder(shipped) -> Encoder:
+    """The encoder of a worker: it is kept beside the definition in the broadcast value, for the worker's later tasks."""
+    held = shipped.value
+    if len(held) == 1:
+        held.append(Encoder(held[0]))
+    return held[1]
 
 
 class Plan:
@@ -202,7 +224,7 @@ def _sizes(docs: DataFrame, definition, window: int, end: int) -> DataFrame:
     """(row, doc_id, n, crcs): tokens of each document, and the checksums of its full windows and its remainder."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Encoder(definition.value)
+        known = encoder(definition)
         last, step = np.asarray([end], "<u4").tobytes(), 4 * window
         for batch in batches:
             sizes, crcs = [], []
@@ -220,7 +242,7 @@ def _checksums(cut: DataFrame, definition, end: int) -> DataFrame:
     """Checksums of pieces of documents that are tokenised again: (text, piece) -> the piece with its checksum."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Encoder(definition.value)
+        known = encoder(definition)
         last = np.asarray([end], "<u4").tobytes()
         for batch in batches:
             lists = batch["pieces"]
@@ -241,7 +263,7 @@ def _checksums(cut: DataFrame, definition, end: int) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, max_slack: int = MAX_SLACK) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece of every document."""
     spark = docs.sparkSession
-    definition = spark.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
+    definition = spark.sparkContext.broadcast([Path(tokenizer).read_text(encoding="utf-8")])
     sizes = stored(_sizes(docs, definition, window, end), "token-sizes")
     rest = (F.col("n") % window).cast("long")
     counts = {r["rest"]: r["c"] for r in sizes.select(rest.alias("rest")).where("rest > 0").groupBy("rest").agg(F.count(F.lit(1)).alias("c")).collect()}
@@ -271,7 +293,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     placed = stored(ranked.select("row", "doc_id", "n", "rest", "k", "crc").mapInArrow(
         place, "row bigint, doc_id bigint, n bigint, start bigint, length bigint, sequence bigint, offset bigint, crc bigint"), "placed")
     lists = placed.where("crc is null").groupBy("row").agg(F.collect_list(F.struct("doc_id", "start", "length", "n", "sequence", "offset")).alias("pieces"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(lists.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    # Few documents are cut, as a rule; their numbers are broadcast if they are few, so that no text is shuffled for the others.
+    cut = stored(lists.select("row"), "cut")
+    few = cut.count() <= BROADCAST_ROWS
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(F.broadcast(cut) if few else cut, "row", "left_semi").dropDuplicates(["row"])
     again = _checksums(lists.join(texts, "row").select("text", "pieces"), definition, end)
     columns = ["doc_id", "start", "length", "crc", "n", "sequence", "offset"]
     return (
