@@ -10,8 +10,10 @@ k ln k + 2k darts of a document are ever made, however many shingles it has.
 Signatures are cut into bands, and documents that share a band are candidates. Equal texts are merged first. In a bucket
 each document meets the smallest one, not all others; candidates are checked on their exact shingle sets, and the links
 found are merged to components. Buckets that still hold several components then go on, with another document in the
-middle each time, and at last with every remaining pair of different components: pairs inside a component can add
-nothing. So no link that shares a band is lost, and a group of n copies costs about n checks.
+middle, and at last with every remaining pair of different components: pairs inside a component can add nothing. So a
+group of n copies costs about n checks. Before texts are fetched, and inside the join that makes the last pairs, a sketch
+(four bits of every coordinate) leaves out pairs that agree so rarely that a link would be over four standard deviations off
+(about one link in 70,000 at the threshold itself, as with the bands, and far fewer above it).
 
 Texts without words (empty, blank) have no shingles: they join only the texts equal to them. Null texts stand alone, rows
 without an id are left out. Repeated rows with the same id and text collapse into one; the class id is the smallest
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aphora.llm.components import components
@@ -35,8 +37,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 36
 ROWS = 6
+#: Coordinates of a signature, a power of two up to 2048. The first BANDS x ROWS make the bands, all make the sketch.
+COORDINATES = 512
 #: Further documents in the middle of an unsettled bucket before its remaining pairs are listed.
-MIDDLES = 2
+MIDDLES = 1
+#: A pair is left out if its sketches agree less often than a link would, by so many standard deviations.
+DEVIATIONS = 4.2
 
 
 def shingle_sets(words: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,13 +68,14 @@ def _unit(h: np.ndarray) -> np.ndarray:
 def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int, k: int) -> np.ndarray:
     """Signatures (docs x k) of weighted sets given as rows; a document without rows keeps the largest value throughout.
 
-    The value of a coordinate holds the rank of its earliest dart above, and bits of the dart's name below.
+    ``k`` is a power of two up to 2048. A dart's hash gives its waiting time by the upper bits and its coordinate by the
+    lower ones. The value of a coordinate holds the rank of its earliest dart above, and bits of that hash below.
     """
     empty = np.iinfo(np.uint64).max
     out = np.full(docs * k, empty, np.uint64)
     mass = np.bincount(doc, weight, docs)
     reach = np.where(mass > 0, (k * np.log(k) + 2 * k) / np.maximum(mass, 1e-300), 0.0)
-    todo = mass > 0
+    todo, partial = mass > 0, bool((weight < 1).any())
     while todo.any():
         rows = np.flatnonzero(todo[doc])
         region = 0
@@ -83,10 +90,9 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, do
                 live, h, rank = live[near], h[near], rank[near]
                 if not len(live):
                     break
-                name = mix(h ^ U(0x5851F42D4C957F2D))
-                hit = weight[live] >= low + width * _unit(mix(name + U(1))) if region or (weight[live] < 1).any() else slice(None)
-                place = doc[live][hit] * k + ((name[hit] >> U(40)) % U(k)).astype(np.int64)
-                value = (rank[hit].astype(np.float32).view(np.uint32).astype(np.uint64) << U(32)) | (name[hit] & U(0xFFFFFFFF))
+                hit = weight[live] >= low + width * _unit(mix(h ^ U(0x5851F42D4C957F2D))) if partial or region else slice(None)
+                place = doc[live][hit] * k + (h[hit] & U(k - 1)).astype(np.int64)
+                value = (rank[hit].astype(np.float32).view(np.uint32).astype(np.uint64) << U(32)) | ((h[hit] >> U(9)) & U(0xFFFFFFFF))
                 np.minimum.at(out, place, value)
                 h = mix(h + U(0x9E3779B97F4A7C15))
                 rank = rank - np.log(_unit(h)) / width
@@ -98,7 +104,7 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, do
 
 def signatures(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bands: int = BANDS, rows: int = ROWS,
                shingle: int = SHINGLE) -> DataFrame:
-    """(id, bands): one hash per band of the signature. Documents without words are left out."""
+    """(id, bands, sketch): one hash per band of the signature, four bits per coordinate. Documents without words are left out."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,17 +112,41 @@ def signatures(docs: DataFrame, text: str = "text", id_col: str = "doc_id", band
                 doc, element, _ = shingle_sets(words, shingle)
                 full = np.flatnonzero(np.bincount(doc, minlength=hi - lo))
                 dense = np.searchsorted(full, doc)
-                drawn = dart_signatures(dense, element, np.ones(len(doc)), len(full), bands * rows)
+                drawn = dart_signatures(dense, element, np.ones(len(doc)), len(full), COORDINATES)
                 keys = np.zeros((len(full), bands), np.uint64)
                 for r in range(rows):
-                    keys = mix(keys ^ drawn.reshape(len(full), bands, rows)[:, :, r])
+                    keys = mix(keys ^ drawn[:, r : bands * rows : rows])
                 keys = mix(keys + np.arange(bands, dtype=np.uint64))
+                sketch = _sketch(drawn)
                 yield pa.RecordBatch.from_arrays(
                     [batch["id"].slice(lo, hi - lo).take(pa.array(full)),
-                     pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel().view(np.int64))],
-                    ["id", "bands"])
+                     pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel().view(np.int64)),
+                     pa.ListArray.from_arrays(np.arange(0, sketch.size + 1, sketch.shape[1], dtype=np.int32), sketch.ravel().view(np.int64))],
+                    ["id", "bands", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(sign, "id bigint, bands array<bigint>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(sign, "id bigint, bands array<bigint>, sketch array<bigint>")
+
+
+def _sketch(drawn: np.ndarray) -> np.ndarray:
+    """Four bits of every coordinate, sixteen coordinates to a number."""
+    shift = np.arange(16, dtype=np.uint64) * U(4)
+    return np.bitwise_or.reduce((mix(drawn) >> U(60)).reshape(len(drawn), -1, 16) << shift, axis=2)
+
+
+def _likely(a: str, b: str, similarity: float) -> Column:
+    """Whether two sketches agree often enough for documents of at least this similarity: first a quarter, then all."""
+    chance = similarity + (1 - similarity) / 16
+
+    def agree(numbers: range) -> Column:
+        k, differ = 16 * len(numbers), F.lit(0)
+        for i in numbers:
+            x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+            x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+            x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+            differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+        return F.lit(k) - differ >= k * chance - DEVIATIONS * (k * chance * (1 - chance)) ** 0.5
+
+    return agree(range(COORDINATES // 64)) & agree(range(COORDINATES // 16))
 
 
 def _jaccard(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -158,46 +188,50 @@ def equal_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY,
                  shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id) for every distinct id; documents linked by similarity, directly or through others, share a class."""
-    spark = docs.sparkSession
     copies = stored(equal_texts(docs, text, id_col), "copies")
     firsts = copies.where("id = copy_of").select("id")
     signed = stored(signatures(docs, text, id_col, bands, rows, shingle).join(firsts, "id", "left_semi").dropDuplicates(["id"]), "bands")
     members = signed.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("middle")).where("n > 1")
-    buckets = stored(members.join(shared.drop("n"), ["band", "key"]), "buckets")
+    shared = stored(members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("middle")).where("n > 1").drop("n"), "shared-bands")
+    buckets = stored(members.join(shared, ["band", "key"]), "buckets")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    sketches = signed.select("id", "sketch")
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(sketches.toDF("u", "a"), "u").join(sketches.toDF("v", "b"), "v")
+        return both.where(_likely("a", "b", similarity)).select("u", "v")
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.distinct(), "pairs")
+        pairs = stored(pairs, "pairs")
         used = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
         texts = stored(source.join(used, "id", "left_semi").where("text is not null").dropDuplicates(["id"]), "pair-texts")
         one, two = texts.toDF("u", "tu"), texts.toDF("v", "tv")
         return stored(_jaccard(pairs.join(one, "u").join(two, "v"), shingle, similarity), "links")
 
-    found = links(buckets.where("id <> middle").select(F.col("middle").alias("u"), F.col("id").alias("v")))
-    tried: list[DataFrame] = []
+    first = buckets.where("id <> middle").select(F.col("middle").alias("u"), F.col("id").alias("v"))
+    found = components(links(sketched(first)))
     for turn in range(MIDDLES + 1):
-        roots = components(found).toDF("id", "root")
+        roots = found.toDF("id", "root")
         placed = buckets.select("id", "band", "key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        # One row per bucket and component: a member that stands for the component, by a hash that changes with the turn.
-        mixed = F.xxhash64(F.lit(turn), F.col("id"))
-        groups = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by(F.struct("id", "root"), mixed).alias("middle"))
-        open_ = groups.where("low <> high")
-        rest = stored(placed.join(open_.select("band", "key", "middle"), ["band", "key"]), "open")
-        if rest.isEmpty():
-            break
+        # The document in the middle is drawn by a hash that changes with the turn.
+        drawn = F.max_by(F.struct("id", "root"), F.xxhash64(F.lit(turn), F.col("id"))).alias("middle")
+        groups = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), drawn)
+        open_ = stored(groups.where("low <> high").select("band", "key", "middle"), "open-buckets")
+        rest = placed.join(open_, ["band", "key"])
         if turn < MIDDLES:
-            pairs = rest.where("root <> middle.root").select(F.least("id", "middle.id").alias("u"), F.greatest("id", "middle.id").alias("v"))
+            pairs = sketched(rest.where("root <> middle.root").select(F.least("id", "middle.id").alias("u"), F.greatest("id", "middle.id").alias("v")))
         else:
-            other = rest.select("band", "key", F.col("id").alias("id2"), F.col("root").alias("root2"))
-            pairs = rest.join(other, ["band", "key"]).where("id < id2 and root <> root2").select(F.col("id").alias("u"), F.col("id2").alias("v"))
-        pairs = pairs.distinct()
-        for old in tried:
-            pairs = pairs.join(old, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tried.append(pairs)
-        found = found.unionByName(links(pairs))
-    roots = components(found).toDF("copy_of", "root")
+            rest = stored(rest.drop("middle").join(signed, "id"), "open")
+            other = rest.select(*[F.col(c).alias(f"{c}2") for c in rest.columns])
+            same = (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2"))
+            apart = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & _likely("sketch", "sketch2", similarity)
+            # A pair is made in the first of the bands that it shares; the bucket there is open too.
+            first = F.array_position(F.zip_with("bands", "bands2", lambda a, b: a == b), True) == F.col("band") + 1
+            pairs = rest.join(other, same & apart & first).select(F.col("id").alias("u"), F.col("id2").alias("v"))
+        new = links(pairs)
+        if not new.isEmpty():
+            found = components(found.toDF("u", "v").unionByName(new))
+    roots = found.toDF("copy_of", "root")
     known = copies.join(roots, "copy_of", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "copy_of").alias("class_id"))
     wordless = source.groupBy("id").agg(F.max(F.col("text").isNotNull()).alias("known")).where("not known and id is not null")
     return known.unionByName(wordless.select(F.col("id").alias("doc_id"), F.col("id").alias("class_id")))

@@ -79,7 +79,7 @@ def test_empty_table_and_extra_columns(spark):
 
 def test_agreement_is_weighted_jaccard():
     rng = np.random.default_rng(4)
-    n, k = 300, 4096
+    n, k = 300, 2048
     one = {int(x): float(w) for x, w in zip(rng.integers(1, 1 << 60, n), rng.choice([0.4, 1, 2, 3.5, 9], n))}
     two = {x: w * rng.choice([1, 1, 1, 0.5]) for x, w in one.items() if rng.random() < 0.8} | {int(x): 2.0 for x in rng.integers(1, 1 << 60, 40)}
     doc = np.repeat([0, 1], [len(one), len(two)])
