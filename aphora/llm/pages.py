@@ -36,7 +36,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>"
     r"|[^<]+|<", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _BLANKS = re.compile(r"\s+")
 
@@ -55,22 +55,39 @@ _NOT_MAIN_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus disclaimer footer gdpr header masthead "
     "menu menubar modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo promoted promotion recommended related replies reply respond share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: Words of a class after which others say what an element has or how it is laid out.
+_STATES = frozenset("no not has have is with without layout hide show".split())
 _NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 
-def _not_main(attrs: str) -> bool:
-    """Whether class, id, role or visibility mark an element as something besides the main text."""
+HARD, WHOLE, PART = 1, 2, 3
+
+
+def _not_main(attrs: str) -> int:
+    """How attributes mark an element as something besides the main text, 0 if not at all.
+
+    ``HARD`` by role or visibility; ``WHOLE`` by a class or id that is such a word; ``PART`` by a word within one. A word
+    counts only as what the element is, not after a word that says what it has or how it is laid out.
+    """
+    out = 0
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if not _NOT_MAIN_WORDS.isdisjoint(_SPLIT.split(value)):
-                return True
+            for token in value.split():
+                if token in _NOT_MAIN_WORDS:
+                    out = WHOLE
+                    continue
+                for word in _SPLIT.split(token):
+                    if word in _STATES:
+                        break
+                    if word in _NOT_MAIN_WORDS:
+                        out = out or PART
         elif name == "role":
             if value in _NOT_MAIN_ROLES:
-                return True
+                return HARD
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return HARD
+    return out
 
 
 class Page:
@@ -79,7 +96,10 @@ class Page:
     def __init__(self, source: str | None) -> None:
         self.tags, self.parents, self.dropped, self.last = ["#"], [-1], [False], [0]
         self.runs: list[tuple[int, int, str]] = []  # element, elements started so far, text
+        self.named: dict[int, int] = {}  # elements that go by class or id, WHOLE or PART
         self._read(source or "")
+        if self.named:
+            self._spare()
 
     def _read(self, source: str) -> None:
         stack, names, raw = [0], ["#"], None
@@ -124,7 +144,10 @@ class Page:
             at = len(self.tags)
             self.tags.append(tag)
             self.parents.append(stack[-1])
-            self.dropped.append(tag in _DROPPED or bool(m["attrs"]) and tag not in ("html", "body") and _not_main(m["attrs"]))
+            told = _not_main(m["attrs"]) if m["attrs"] and tag not in _DROPPED and tag not in ("html", "body") else 0
+            self.dropped.append(tag in _DROPPED or told > 0)
+            if told in (WHOLE, PART):
+                self.named[at] = told
             self.last.append(at + 1)
             if tag in _VOID or m["attrs"].endswith("/") and tag in _RAW:
                 continue
@@ -134,6 +157,35 @@ class Page:
                 raw = tag
         close(0)
 
+    def amounts(self, kept: list[bool]) -> list[int]:
+        """Characters of text in every element, as far as the elements are kept."""
+        out = [0] * len(self.tags)
+        for element, _, text in self.runs:
+            if kept[element]:
+                out[element] += len("".join(text.split()))
+        for at in range(len(self.tags) - 1, 0, -1):
+            out[self.parents[at]] += out[at]
+        return out
+
+    def _spare(self) -> None:
+        """Keep elements told by class or id that hold all the articles, or (without an article elsewhere) the page's text.
+
+        A word within a longer name does not drop what holds most of the text; a name that is the word itself, all of it.
+        """
+        size = len(self.tags)
+        solid, mains, around = [True] * size, [0] * size, [0] * size
+        for at in range(1, size):
+            parent = self.parents[at]
+            solid[at] = solid[parent] and (not self.dropped[at] or at in self.named)
+            around[at] = around[parent] + (self.tags[at] in _MAIN and solid[at] and at not in self.named)
+        for at in range(size - 1, 0, -1):
+            mains[self.parents[at]] += mains[at] + (self.tags[at] in _MAIN and solid[at] and at not in self.named)
+        amounts = self.amounts(solid)
+        for at, told in self.named.items():
+            if mains[at] + around[at] == mains[0]:
+                text = 2 * amounts[at] > amounts[0] if told == PART else 0 < amounts[at] == amounts[0]
+                self.dropped[at] = not (mains[at] or text)
+
     def hashes(self) -> list[int]:
         """For every block element with text: a hash of its tags and text; 0 for others."""
         own: list[list] = [[t] for t in self.tags]

@@ -84,3 +84,15 @@ def test_given_pages(spark):
             from html import unescape
 
             assert " ".join(got[r["page_id"]].split()) == " ".join(unescape(plain).split())
+
+
+@pytest.mark.parametrize("source,want", [
+    ("<article>See <a href=\"/a/hidden-valley\">the valley</a>, <a href='/p?id=comments'>more</a>, <b data-id=menu>all</b>.</article>", "See the valley, more, all."),
+    ("<article title=\"Hidden costs\" data-class='ad'><p>kept</p></article>", "kept"), ("<div hidden=until-found>x</div><p HIDDEN>y</p><p>z</p>", "z"),
+    ("<div class='content no-sidebar'>kept</div><div class='sidebar-right'>no</div>", "kept"), ("<article class='post has-comments'>kept</article>", "kept"),
+    ("<div class=layout-sidebar-right><article>kept</article></div>", "kept"), ("<div class=page-widget><main>kept</main></div><div class=menu-bar>no</div>", "kept"),
+    ("<div class=banner-page><p>most of the text</p></div><div class=main-menu>no</div>", "most of the text"), ("<div class=widget>all</div>", "all"),
+    ("<p>short</p><div id=comments>a long talk of readers</div>", "short"), ("<article>short</article><div class=comments-area><article>a long talk</article></div>", "short"),
+])
+def test_attributes_are_read_by_name(source, want):
+    assert text(source) == want
