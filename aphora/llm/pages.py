@@ -1,8 +1,9 @@
 """Main text of web pages by removal of site templates.
 
-Every page is read into a tree of elements. A subtree's hash covers its tags and its text; Spark counts for every host on
-how many of its pages a hash occurs (once per page, pre-aggregated). Subtrees that recur across many pages of a host are
-its template, and are deleted. Inside an article or main element, where pages of one site may well share a paragraph, a
+Every page is read into a tree of elements. A subtree's hash covers its tags and its text; Spark counts for every host in
+how many different surroundings (parents) a hash occurs, so that copies of a page count once. Subtrees that recur across
+many pages of a host are its template, and are deleted, but never one that holds an article; those that are not on most
+pages of a busy host stay where they would be most of a page's own text. Inside an article or main element, where pages of one site may well share a paragraph, a
 subtree must stand on most pages of a busy host to count as template; around it a few pages suffice. What is never
 main text by its kind (scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts, reader comments, told by
 element, role, class or id) goes as well. If a page has article or main elements, its text is what they hold.
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 
 from aphora.llm.tables import stored
 
-#: A subtree outside of articles is template from so many pages of its host on, and so large a share of them.
-MIN_PAGES, MIN_SHARE = 3, 0.01
-#: The same inside of articles.
+#: A subtree outside of articles is template from so many different pages of its host on, and so large a share of them
+#: or so many that the share does not matter.
+MIN_PAGES, MIN_SHARE, MANY_PAGES = 3, 0.01, 100
+#: The same inside of articles; outside of them, what goes whatever share of a page's text it is.
 MIN_PAGES_INSIDE, MIN_SHARE_INSIDE = 20, 0.5
 #: Largest number of template subtrees shown on pages (about twenty bytes each) that is broadcast.
 BROADCAST_HASHES = 200_000
@@ -96,6 +98,7 @@ class Page:
     def __init__(self, source: str | None) -> None:
         self.tags, self.parents, self.dropped, self.last = ["#"], [-1], [False], [0]
         self.runs: list[tuple[int, int, str]] = []  # element, elements started so far, text
+        self.digests: dict[int, int] = {}  # filled by hashes(), of every element that does not go by its kind
         self.named: dict[int, int] = {}  # elements that go by class or id, WHOLE or PART
         self._read(source or "")
         if self.named:
@@ -187,7 +190,10 @@ class Page:
                 self.dropped[at] = not (mains[at] or text)
 
     def hashes(self) -> list[int]:
-        """For every block element with text: a hash of its tags and text; 0 for others."""
+        """For every block element with text: a hash of its tags and text; 0 for others. What goes by its kind counts as absent.
+
+        The first entry, that of the page, is always set: pages of one hash are copies.
+        """
         own: list[list] = [[t] for t in self.tags]
         for element, _, text in self.runs:
             text = _BLANKS.sub(" ", text).strip()
@@ -196,14 +202,17 @@ class Page:
         out = [0] * len(self.tags)
         filled = [False] * len(self.tags)
         for at in range(len(self.tags) - 1, 0, -1):
+            if self.dropped[at]:
+                continue
             parent = self.parents[at]
             has_text = filled[at] or len(own[at]) > 1 and any(isinstance(x, str) for x in own[at][1:])
-            digest = _digest(own[at])
+            self.digests[at] = digest = _digest(own[at])
             own[parent].insert(1, digest)
             if has_text:
                 filled[parent] = True
                 if self.tags[at] not in _INLINE:
                     out[at] = digest
+        self.digests[0] = out[0] = _digest(own[0])
         return out
 
     def kept(self) -> list[bool]:
@@ -220,18 +229,31 @@ class Page:
             out[at] = out[self.parents[at]] or self.tags[at] in _MAIN and kept[at]
         return out
 
-    def text(self, template: frozenset[int], template_inside: frozenset[int]) -> str:
-        """Blocks of the main text. The two sets hold the hashes of template subtrees around and inside articles."""
+    def _without(self, template: frozenset[int], template_inside: frozenset[int], hashes: list[int], inside: list[bool], holds: list[bool]) -> list[bool]:
+        keep = [True] * len(self.tags)
+        for at in range(1, len(self.tags)):
+            deleted = bool(hashes[at]) and hashes[at] in (template_inside if inside[at] else template) and self.tags[at] not in ("html", "body") and not holds[at]
+            keep[at] = keep[self.parents[at]] and not self.dropped[at] and not deleted
+        return keep
+
+    def text(self, template: frozenset[int], template_inside: frozenset[int], doubtful: frozenset[int] = frozenset()) -> str:
+        """Blocks of the main text. The sets hold the hashes of template subtrees around and inside articles; those of the
+        first that are ``doubtful`` go only if together they are no more than half of the text without the others."""
         inside = self.inside()
         only = any(inside)
-        hashes = self.hashes() if template or template_inside else []
-        keep, block = [True] * len(self.tags), [0] * len(self.tags)
+        hashes = self.hashes() if template or template_inside else [0] * len(self.tags)
+        # An article, and what holds one, is never deleted as a whole.
+        holds = [x and t in _MAIN for x, t in zip(inside, self.tags)]
+        for at in range(len(self.tags) - 1, 0, -1):
+            holds[self.parents[at]] = holds[self.parents[at]] or holds[at]
+        keep = self._without(template, template_inside, hashes, inside, holds)
+        if template & doubtful:
+            own = self._without(template - doubtful, template_inside, hashes, inside, holds)
+            if 2 * self.amounts(keep)[0] < self.amounts(own)[0]:
+                keep = own
+        block = [0] * len(self.tags)
         for at in range(1, len(self.tags)):
-            parent = self.parents[at]
-            known = hashes[at] if hashes else 0
-            deleted = bool(known) and known in (template_inside if inside[at] else template) and self.tags[at] not in ("html", "body")
-            keep[at] = keep[parent] and not self.dropped[at] and not deleted
-            block[at] = block[parent] if self.tags[at] in _INLINE else at
+            block[at] = block[self.parents[at]] if self.tags[at] in _INLINE else at
         blocks: list[str] = []
         parts: list[str] = []
         now = (-1, 0)
@@ -262,9 +284,9 @@ def _digest(parts: list) -> int:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(row, host, inside, shown, hash): the distinct block subtrees of each page, and hash 0 for the page itself.
+    """(row, host, inside, shown, hash, around): the distinct block subtrees of each page, and hash 0 for the page itself.
 
-    Subtrees that go by their kind are left out. ``shown`` marks those that would be text of the page: all of them, or
+    ``around`` is the hash of the parent, and for the page that of all of it. Subtrees that go by their kind are left out. ``shown`` marks those that would be text of the page: all of them, or
     those inside of articles if it has any.
     """
 
@@ -272,31 +294,41 @@ def subtrees(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                rows, insides, shown, hashes = [], [], [], []
+                rows, insides, shown, hashes, around = [], [], [], [], []
                 for i, source in enumerate(part["html"].to_pylist()):
                     page = Page(source)
                     inside, kept = page.inside(), page.kept()
                     only = any(inside)
-                    found = {(x, h) for x, k, h in zip(inside, kept, page.hashes()) if h and k} | {(False, 0)}
+                    own = page.hashes()
+                    found = {(False, 0): own[0]}
+                    for at in range(1, len(own)):
+                        if own[at] and kept[at]:
+                            found.setdefault((inside[at], own[at]), page.digests[page.parents[at]])
                     rows += [i] * len(found)
                     insides += [x for x, _ in found]
                     shown += [h != 0 and (x or not only) for x, h in found]
                     hashes += [h for _, h in found]
+                    around += found.values()
                 at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part["row"].take(at), part["host"].take(at), pa.array(insides, pa.bool_()), pa.array(shown, pa.bool_()), pa.array(hashes, pa.int64())],
-                    ["row", "host", "inside", "shown", "hash"])
+                    [part["row"].take(at), part["host"].take(at), pa.array(insides, pa.bool_()), pa.array(shown, pa.bool_()), pa.array(hashes, pa.int64()), pa.array(around, pa.int64())],
+                    ["row", "host", "inside", "shown", "hash", "around"])
 
-    return pages.mapInArrow(read, "row bigint, host string, inside boolean, shown boolean, hash bigint")
+    return pages.mapInArrow(read, "row bigint, host string, inside boolean, shown boolean, hash bigint, around bigint")
 
 
 def templates(found: DataFrame) -> DataFrame:
-    """(host, inside, hash) of the subtrees that recur across many pages of their host."""
-    pages = found.where("hash = 0").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = found.where("hash <> 0").groupBy("host", "inside", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(MIN_PAGES, MIN_PAGES_INSIDE))
-    around = ~F.col("inside") & (F.col("n") >= MIN_PAGES) & (F.col("n") >= MIN_SHARE * F.col("pages"))
-    within = F.col("inside") & (F.col("n") >= MIN_PAGES_INSIDE) & (F.col("n") >= MIN_SHARE_INSIDE * F.col("pages"))
-    return counts.join(pages, "host").where(around | within).select("host", "inside", "hash")
+    """(host, inside, hash, sure) of the subtrees that recur across many different pages of their host.
+
+    What counts is in how many surroundings a subtree stands: copies of a page are one, and a part of a recurring subtree
+    has no count of its own. ``sure`` are those on most pages of a busy host.
+    """
+    pages = found.where("hash = 0").groupBy("host").agg(F.count_distinct("around").alias("pages"))
+    counts = found.where("hash <> 0").groupBy("host", "inside", "hash").agg(F.count_distinct("around").alias("n")).where(F.col("n") >= min(MIN_PAGES, MIN_PAGES_INSIDE))
+    many = F.least(F.lit(float(MANY_PAGES)), MIN_SHARE * F.col("pages"))
+    around = ~F.col("inside") & (F.col("n") >= MIN_PAGES) & (F.col("n") >= many)
+    sure = (F.col("n") >= MIN_PAGES_INSIDE) & (F.col("n") >= MIN_SHARE_INSIDE * F.col("pages"))
+    return counts.join(pages, "host").where(around | F.col("inside") & sure).select("host", "inside", "hash", sure.alias("sure"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -306,7 +338,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     found = stored(subtrees(source), "subtrees")
     # The template's table is one of its own, so that the join may split a hot host.
     known = stored(templates(found), "templates")
-    hits = stored(found.where("shown").join(known, ["host", "inside", "hash"]).groupBy("row").agg(F.collect_set(F.struct("inside", "hash")).alias("known")), "hits")
+    hits = stored(found.where("shown").join(known, ["host", "inside", "hash"]).groupBy("row").agg(F.collect_set(F.struct("inside", "hash", "sure")).alias("known")), "hits")
     # Most pages show none. The lists go to every executor if they are few; otherwise pages and lists are shuffled.
     size = hits.agg(F.sum(F.size("known"))).first()[0] or 0
     hits = F.broadcast(hits) if size <= BROADCAST_HASHES else hits
@@ -316,7 +348,8 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = []
             for source_, known in zip(batch["html"].to_pylist(), batch["known"].to_pylist()):
                 known = known or []
-                texts.append(Page(source_).text(frozenset(k["hash"] for k in known if not k["inside"]), frozenset(k["hash"] for k in known if k["inside"])))
+                texts.append(Page(source_).text(frozenset(k["hash"] for k in known if not k["inside"]), frozenset(k["hash"] for k in known if k["inside"]),
+                                               frozenset(k["hash"] for k in known if not k["inside"] and not k["sure"])))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     joined = source.join(hits, "row", "left").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "known")

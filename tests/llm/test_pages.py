@@ -96,3 +96,26 @@ def test_given_pages(spark):
 ])
 def test_attributes_are_read_by_name(source, want):
     assert text(source) == want
+
+
+def test_copies_and_near_copies_keep_their_text(spark):
+    menu = "<div><ul><li>Home</li><li>About</li></ul></div>"
+    rows = [(i, "http://a/", f"<html><body>{menu}<div><p>Own words of page {i} stand here.</p></div></body></html>") for i in range(60)]
+    copy = f"<html><body>{menu}<div><p>This page was fetched</p><p>three times over.</p></div></body></html>"
+    rows += [(100 + i, f"http://a/{i}", copy) for i in range(30)] + [(100, "http://a/0", copy)] * 3
+    near = "<div><p>A text that the host shows</p><p>under several dates.</p></div>"
+    rows += [(200 + i, f"http://a/n{i}", f"<html><body>{menu}{near}<p>Day {i}</p></body></html>") for i in range(3)]
+    rows += [(300 + i, f"http://b/{i}", "<article><h1>T</h1><p>Whole article.</p></article>" if i < 30 else f"<article><p>Other {i}</p></article>") for i in range(50)]
+    rows += [(400 + i, f"http://c/{i}", f"<p>{i}</p><article><h1>T</h1><p>Whole article.</p></article>") for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[7] == "Own words of page 7 stand here."
+    assert all(got[100 + i] == "This page was fetched\n\nthree times over." for i in range(30))
+    assert all(got[200 + i] == f"A text that the host shows\n\nunder several dates.\n\nDay {i}" for i in range(3))
+    assert all(got[300 + i] == got[400 + i] == "T\n\nWhole article." for i in range(30))
+
+
+def test_large_hosts_are_judged_by_pages_too(spark):
+    """A menu on 120 of 13,000 pages is template."""
+    found = [(False, 0, i) for i in range(13_000)] + [(False, 5, i) for i in range(120)] + [(False, 6, i) for i in range(90)] + [(False, 7, 1)] * 500
+    frame = spark.createDataFrame([(i, "h", *r) for i, r in enumerate(found)], "row bigint, host string, inside boolean, hash bigint, around bigint")
+    assert [(r["hash"], r["sure"]) for r in pages.templates(frame).collect()] == [(5, False)]
