@@ -15,9 +15,10 @@ group of n copies costs about n checks. Before texts are fetched, and inside the
 (four bits of every coordinate) leaves out pairs that agree so rarely that a link would be over four standard deviations off
 (about one link in 70,000 at the threshold itself, as with the bands, and far fewer above it).
 
-Texts without words (empty, blank) have no shingles: they join only the texts equal to them. Null texts stand alone, rows
-without an id are left out. Repeated rows with the same id and text collapse into one; the class id is the smallest
-document id of the class, so ties cannot occur.
+Texts without words (empty, blank) have no shingles: they join only the texts equal to them. Null texts stand alone. What is
+signed, linked and merged are rows, named by a hash of id and text, so texts that share an id, or have none, are all
+compared; repeated rows with the same id and text collapse into one. The class id is the smallest document id of the class;
+an id whose texts are in several classes is listed with each. Rows without an id link others but are not listed.
 """
 
 from __future__ import annotations
@@ -185,9 +186,38 @@ def equal_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     return keyed.join(first, "key").groupBy("id").agg(F.min("copy_of").alias("copy_of"))
 
 
+def row_name(text: str = "text", id_col: str = "doc_id") -> Column:
+    """Names a row by its id and text, so that repeated and missing ids do no harm."""
+    return F.xxhash64(F.col(id_col).cast("long"), text)
+
+
 def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY,
                  shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id) for every distinct id; documents linked by similarity, directly or through others, share a class."""
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), row_name(text, id_col).alias("row")).distinct()
+    # The smallest ids are a table of their own, so that the join may split a hot class.
+    placed = stored(ids.join(row_classes(docs, text, id_col, similarity, shingle, bands, rows), "row").select("doc_id", "class"), "placed")
+    least = stored(placed.groupBy("class").agg(F.min("doc_id").alias("class_id")), "least-ids")
+    known = placed.join(least, "class").select("doc_id", "class_id").distinct()
+    wordless = docs.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(text).isNotNull()).alias("known")).where("not known and doc_id is not null")
+    return known.unionByName(wordless.select("doc_id", F.col("doc_id").alias("class_id")))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of each class of near copies, that of the smallest id (a missing id comes last); null texts stay."""
+    named = docs.withColumn("_row", row_name(text, id_col))
+    ids = named.where(F.col(text).isNotNull()).select(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("id")).distinct()
+    order = F.struct(F.col("id").isNull().alias("missing"), "id", "row")
+    first = ids.join(row_classes(docs, text, id_col), "row").groupBy("class").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_row"))
+    kept = named.where(F.col(text).isNotNull()).join(first, "_row", "left_semi").unionByName(named.where(F.col(text).isNull()))
+    return kept.dropDuplicates(["_row"]).select(*docs.columns)
+
+
+def row_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY,
+                shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(row, class) for every distinct row with a text, by ``row_name``; a class is named by its smallest row name."""
+    docs = docs.select(row_name(text, id_col).alias("row"), F.col(text).alias("text"))
+    text, id_col = "text", "row"
     copies = stored(equal_texts(docs, text, id_col), "copies")
     firsts = copies.where("id = copy_of").select("id")
     signed = stored(signatures(docs, text, id_col, bands, rows, shingle).join(firsts, "id", "left_semi").dropDuplicates(["id"]), "bands")
@@ -232,6 +262,4 @@ def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", si
         if not new.isEmpty():
             found = components(found.toDF("u", "v").unionByName(new))
     roots = found.toDF("copy_of", "root")
-    known = copies.join(roots, "copy_of", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "copy_of").alias("class_id"))
-    wordless = source.groupBy("id").agg(F.max(F.col("text").isNotNull()).alias("known")).where("not known and id is not null")
-    return known.unionByName(wordless.select(F.col("id").alias("doc_id"), F.col("id").alias("class_id")))
+    return copies.join(roots, "copy_of", "left").select(F.col("id").alias("row"), F.coalesce("root", "copy_of").alias("class"))

@@ -10,26 +10,21 @@ from aphora.llm.queries import tokenizer_path
 from aphora.llm.tables import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document stays if its language is known with at least this probability.
-MIN_LANGUAGE = 0.5
 
 # Language ID, near-duplicate classes and token ids are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without letters, and unclear ones, go."""
+    """Documents whose language is recognised; only those that op9 calls unknown, without letters, go."""
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
     judged = language.identify(docs.select(*COLUMNS), model, carry=COLUMNS)
-    good = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE)
-    return judged.where(good).select(*COLUMNS)
+    return judged.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the smallest id; repeated rows of it become one."""
-    classes = near.near_classes(docs)
-    first = classes.where("doc_id = class_id").select("doc_id")
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each class of near-duplicates, that with the smallest id; repeated rows of it become one."""
+    return near.one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

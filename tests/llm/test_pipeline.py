@@ -78,3 +78,26 @@ def test_only_the_entry_module_names_this_folder():
     for path in ROOT.rglob("*.py"):
         inside = "llm" in path.parts or path.name in ("corpus_pipeline.py", "__spark_entry__.py")
         assert inside or "aphora.llm" not in path.read_text() or path.parent.name == "tests", path
+
+
+def test_rows_without_an_id_of_their_own_stay(spark):
+    """Documents that share an id, or have none, are judged by their texts; every class keeps one row."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(None, text["a"]), (None, text["b"]), (1, text["c"]), (1, text["d"]), (2, text["d"]), (3, text["d"] + " more"), (None, text["d"]), (None, text["b"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect())
+    assert got == [("1", text["c"]), ("1", text["d"]), ("None", text["a"]), ("None", text["b"])]
+    from aphora.llm import near
+
+    assert sorted(tuple(r) for r in near.near_classes(docs).collect()) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_unclear_languages_stay(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from aphora.llm import language
+
+    judged = lambda docs, model, carry: docs.withColumn("lang_pred", F.when(F.col("doc_id") < 2, "en").otherwise(language.UNKNOWN)).withColumn("score", F.lit(0.3))
+    monkeypatch.setattr(language, "identify", judged)
+    docs = spark.createDataFrame([(i, "the cat", "en", "s", 7) for i in range(3)], SCHEMA)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify(spark, docs, SF).collect()) == [0, 1]
