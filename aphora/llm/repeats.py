@@ -121,7 +121,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     windows = stored(_windows(docs.select("row", "text").join(lists, "row"), length), "windows")
     again = stored(windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"), "repeated-windows")
     cut = windows.where("not settled").join(again, "w", "left_semi").select("row", ((F.shiftleft("start", 32)) + F.col("start") + length).alias("places"))
-    return stored(whole.unionByName(cut).groupBy("row").agg(F.collect_list("places").alias("spans")), "repeats")
+    # Repeated rows have the same spans: each is listed once, however often the row stands in the table.
+    return stored(whole.unionByName(cut).groupBy("row").agg(F.collect_set("places").alias("spans")), "repeats")
 
 
 def covered(spans: pa.ListArray, words: Words) -> np.ndarray:

@@ -75,3 +75,10 @@ def test_chunks_do_not_change_words():
     texts = pa.array([t for _, t, *_ in corpus()])
     one = [h for _, _, w in word_chunks(texts, 1 << 30) for h in w.hashes.tolist()]
     assert one == [h for _, _, w in word_chunks(texts, 100) for h in w.hashes.tolist()]
+
+
+def test_repeated_rows_list_a_span_once(spark):
+    text = " ".join(f"w{i}" for i in range(120))
+    frame = spark.createDataFrame([(7, text)] * 30, "row bigint, text string").repartition(4)
+    (got,) = repeats.repeated_spans(frame).collect()
+    assert got["spans"] and len(got["spans"]) == len(set(got["spans"]))
