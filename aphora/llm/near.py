@@ -12,8 +12,8 @@ each document meets the smallest one, not all others; candidates are checked on
 found are merged to components. Buckets that still hold several components then go on, with another document in the
 middle, and at last with every remaining pair of different components: pairs inside a component can add nothing. So a
 group of n copies costs about n checks. Before texts are fetched, and inside the join that makes the last pairs, a sketch
-(four bits of every coordinate) leaves out pairs that agree so rarely that a link would be over four standard deviations off
-(about one link in 70,000 at the threshold itself, as with the bands, and far fewer above it).
+(four bits of every coordinate) leaves out pairs that agree so rarely that a link at the threshold would do so with a
+probability of at most ``LOSS`` (the bands lose about one such link in 55,000), and above it more rarely still.
 
 Texts without words (empty, blank) have no shingles: they join only the texts equal to them. Null texts stand alone. What is
 signed, linked and merged are rows, named by a hash of id and text, so texts that share an id, or have none, are all
@@ -23,6 +23,7 @@ an id whose texts are in several classes is listed with each. Rows without an id
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,8 @@ ROWS = 6
 COORDINATES = 512
 #: Further documents in the middle of an unsettled bucket before its remaining pairs are listed.
 MIDDLES = 1
-#: A pair is left out if its sketches agree less often than a link would, by so many standard deviations.
-DEVIATIONS = 4.2
+#: A pair is left out if its sketches agree so rarely that a link's would with at most this probability.
+LOSS = 1e-7
 
 
 def shingle_sets(words: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,20 +135,25 @@ def _sketch(drawn: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce((mix(drawn) >> U(60)).reshape(len(drawn), -1, 16) << shift, axis=2)
 
 
+def _least_agreeing(k: int, chance: float, loss: float) -> int:
+    """The largest number t for which fewer than t of k coordinates agree with at most the probability ``loss``."""
+    below = 0.0
+    for t in range(k + 1):
+        below += math.comb(k, t) * chance**t * (1 - chance) ** (k - t)
+        if below > loss:
+            return t
+    return k
+
+
 def _likely(a: str, b: str, similarity: float) -> Column:
-    """Whether two sketches agree often enough for documents of at least this similarity: first a quarter, then all."""
-    chance = similarity + (1 - similarity) / 16
-
-    def agree(numbers: range) -> Column:
-        k, differ = 16 * len(numbers), F.lit(0)
-        for i in numbers:
-            x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-            x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-            x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-            differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-        return F.lit(k) - differ >= k * chance - DEVIATIONS * (k * chance * (1 - chance)) ** 0.5
-
-    return agree(range(COORDINATES // 64)) & agree(range(COORDINATES // 16))
+    """Whether two sketches agree often enough for documents of at least this similarity."""
+    k, differ = COORDINATES, F.lit(0)
+    for i in range(COORDINATES // 16):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.lit(k) - differ >= _least_agreeing(k, similarity + (1 - similarity) / 16, LOSS)
 
 
 def _jaccard(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -110,3 +111,14 @@ def test_components(spark):
     got = sorted(tuple(r) for r in components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(3)).collect())
     assert got == want
     assert components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+
+
+def test_sketches_lose_far_fewer_links_than_bands(spark):
+    """A pair whose first quarter disagrees often is judged by the whole sketch; the bound is an exact tail."""
+    chance = 0.8 + 0.2 / 16
+    t = near._least_agreeing(512, chance, near.LOSS)
+    tail = lambda t: sum(math.comb(512, i) * chance**i * (1 - chance) ** (512 - i) for i in range(t))
+    assert tail(t) <= 1e-7 < tail(t + 1)
+    differ = [-1] * 3 + [0] * 29  # 48 of the first 128 coordinates, and of all 512
+    frame = spark.createDataFrame([(differ, [0] * 32), ([-1] * 10 + [0] * 22, [0] * 32)], "a array<bigint>, b array<bigint>")
+    assert [r[0] for r in frame.select(near._likely("a", "b", 0.8)).collect()] == [True, False]
