@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aphora.llm import language, leaks, mixing, near, packing, pages, quality, repeats, shards, vantage
+from aphora.llm import divergence, language, leaks, mixing, near, packing, pages, quality, repeats, shards, spelling, subwords, vantage
 from aphora.llm.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 @dataclass(frozen=True)
@@ -19,10 +20,10 @@ class Query:
     sql: str | None = None
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def op1(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,6 +66,18 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return vantage.search_table(table(spark, folder, "embeddings", "vec_id", "embedding"))
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return subwords.encode_corpus(table(spark, folder, "documents", "doc_id", "text"), tokenizer_path(PIECES))
+
+
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents", "text", "lang", "source"))
+
+
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": Query(op1),
     "op2_packing": Query(op2),
@@ -76,4 +89,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": Query(op8),
     "op9_language_id": Query(op9),
     "op10_vantage_search": Query(op10),
+    "op11_sentencepiece": Query(op11),
+    "op12_source_divergence": Query(op12, divergence.SQL),
+    "op13_spelling_variants": Query(op13),
 }
