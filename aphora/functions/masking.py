@@ -15,15 +15,27 @@ SENSITIVE = ["password", "token", "apiKey", "secret", "credit_card"]
 MASK = "********"
 
 
-# How many levels of lists and objects under a sensitive key are matched as text.
-NESTING = 8
 _TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+# Tokens of JSON that the walk over nested values tells apart; all of them together are the whole text.
+_TOKENS = rf'{_TEXT}|[\[\]{{}}]|[^"\[\]{{}}]++|"'
+#: Tokens whose texts are put together at once; what was put together before is copied once per so many.
+_BLOCK = 512
 
 
-def _nested(levels: int) -> str:
-    """A pattern for a list or an object with so many levels inside."""
-    inside = _TEXT if levels == 0 else f"(?:{_TEXT}|{_nested(levels - 1)})"
-    return rf'[\[{{][^"\[\]{{}}]*+(?:{inside}[^"\[\]{{}}]*+)*+[\]}}]'
+def _spelt(name: str) -> str:
+    """A pattern for all ways to write a lower-case name inside a JSON string: letters in both cases, and escapes."""
+    def character(c: str) -> str:
+        # Fixed value: the Kelvin sign becomes a k in lower case.
+        forms = {c, c.upper() if len(c.upper()) == 1 else c} | ({"\u212a"} if c == "k" else set())
+        escapes = "|".join(rf"(?i:\\u{ord(f):04x})" for f in sorted(forms))
+        return f"(?:{'|'.join(re.escape(f) for f in sorted(forms))}|{escapes})"
+
+    return "".join(map(character, name))
+
+
+def _key(names: set[str]) -> str:
+    """A pattern for a sensitive key with its colon. In JSON a quote that is not escaped never stands inside a string."""
+    return rf'(?<!\\)"(?:{"|".join(_spelt(n) for n in sorted(names))})"\s*+:\s*+'
 
 
 def _names(fields: list[str], parity: bool) -> set[str]:
@@ -82,16 +94,43 @@ def mask_columns(df: DataFrame, columns: list[str], fields: list[str] = SENSITIV
     return df
 
 
+def _hide_nested(text: Column, key: str) -> Column:
+    """The text with lists and objects below sensitive keys replaced, however deep; null if one of them does not end.
+
+    One pass over the tokens; what is kept between them is how many brackets of a hidden value are open, and the text so far.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(rf"{key}[\[{{]|{_TOKENS}"), F.lit(0))
+    # As the item of a list the tokens are worked out once, not anew for every block.
+    cut = lambda found: F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _BLOCK).cast("int")), lambda b: F.slice(found, b * _BLOCK + 1, F.lit(_BLOCK)))
+    blocks = F.element_at(F.transform(F.array(tokens), cut), 1)
+
+    def step(state: Column, token: Column) -> Column:
+        last = F.right(token, F.lit(1))
+        opens, closes, hidden = last.isin("[", "{"), last.isin("]", "}"), state["open"] > 0
+        starts = ~hidden & opens & (F.length(token) > 1)
+        depth = F.when(hidden, state["open"] + opens.cast("int") - closes.cast("int")).otherwise(starts.cast("int"))
+        shown = F.when(hidden, "").when(starts, F.concat(F.substring(token, F.lit(1), F.length(token) - 1), F.lit(f'"{MASK}"'))).otherwise(token)
+        return F.struct(depth.alias("open"), F.concat(state["text"], shown).alias("text"))
+
+    def block(state: Column, part: Column) -> Column:
+        start = F.struct(state["open"].alias("open"), F.lit("").alias("text"))
+        return F.aggregate(part, start, step, lambda s: F.struct(s["open"].alias("open"), F.concat(state["text"], s["text"]).alias("text")))
+
+    start = F.struct(F.lit(0).alias("open"), F.lit("").alias("text"))
+    return F.aggregate(blocks, start, block, lambda s: F.when(s["open"] == 0, s["text"]))
+
+
 def mask_json_text(c: Column, fields: list[str] = SENSITIVE, parity: bool = False) -> Column:
-    """Hide the values of sensitive keys inside JSON text, at any depth, without parsing it.
+    """Hide the values of sensitive keys inside JSON text, at any depth and however the key is spelt, without parsing it.
 
-    Lists and objects are matched up to ``NESTING`` levels. If one below a sensitive key is deeper, or does not end,
-    nothing of the text is shown.
+    Plain values are replaced by one pattern. Only texts with a list or an object below a sensitive key are walked
+    through. If a value below a sensitive key does not end, nothing of the text is shown.
     """
-    names = "|".join(sorted(re.escape(n) for n in _names(fields, parity)))
-    key = rf'(?i)("(?:{names})"\s*:\s*)'
-    masked = F.regexp_replace(c, rf"{key}(?:{_TEXT}|{_nested(NESTING)}|[^\s\"{{\[,}}\]][^,}}\]]*)", rf'$1"{MASK}"')
-    return F.when(masked.rlike(rf"{key}(?:[\[{{]|\"(?!\*{{{len(MASK)}}}\"))"), F.lit(f'{{"masked":"{MASK}"}}')).otherwise(masked)
+    key = _key(_names(fields, parity))
+    plain = F.regexp_replace(c, rf"({key})(?:{_TEXT}|[^\s\"{{\[,}}\]][^,}}\]]*+)", rf'$1"{MASK}"')
+    masked = F.when(plain.rlike(rf"{key}[\[{{]"), _hide_nested(plain, key)).otherwise(plain)
+    unended = masked.rlike(rf'{key}"(?!\*{{{len(MASK)}}}")')
+    return F.when(c.isNotNull(), F.when(masked.isNull() | unended, F.lit(f'{{"masked":"{MASK}"}}')).otherwise(masked))
 
 
 def mask_json_deep(fields: list[str] = SENSITIVE, parity: bool = False):
@@ -110,6 +149,8 @@ def mask_json_deep(fields: list[str] = SENSITIVE, parity: bool = False):
             return json.dumps(walk(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
         except ValueError:
             return text
+        except RecursionError:  # nested beyond what the parser takes: nothing of it is shown
+            return f'{{"masked":"{MASK}"}}'
 
     @F.pandas_udf(T.StringType())
     def masked(texts: pd.Series) -> pd.Series:

@@ -57,6 +57,22 @@ def mask_secrets(m: Model) -> DataFrame:
     return parsed.select(number.alias("event_id"), mask_json_text(F.col("meta")).alias("meta"))
 
 
+_DEEP = 20
+
+
+@query("mask_spelt_keys", f"""
+  SELECT event_id, concat('{{"id":', CAST(event_id AS STRING), ',"pass\\u0077ord" : "********","list":[{{"\\u0041pi\\u004BEY":"********","note":"\\"token\\":1"}}],',
+    '"CREDIT\\u005fcard":"********","tokens":"t', CAST(k AS STRING), '","my\\"secret":{{"a":[]}}}}') AS meta FROM ev""")
+def mask_spelt_keys(m: Model) -> DataFrame:
+    """Sensitive keys written with escapes and in any case, above values of twenty levels."""
+    nested = "".join(['[{"a":"]}\\\\","b":' for _ in range(_DEEP // 2)]) + "1" + "}]" * (_DEEP // 2)
+    meta = F.concat(
+        F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"pass\\u0077ord" : "p\\"'), F.col("k").cast("string"),
+        F.lit('","list":[{"\\u0041pi\\u004BEY":' + nested + ',"note":"\\"token\\":1"}],"CREDIT\\u005fcard":{"n":' + nested + '},"tokens":"t'),
+        F.col("k").cast("string"), F.lit('","my\\"secret":{"a":[]}}'))
+    return m.ev.select("event_id", mask_json_text(meta).alias("meta"))
+
+
 def _nested(m: Model) -> DataFrame:
     secret = F.concat(F.lit("p"), F.col("k").cast("string"))
     device = F.struct(F.col("event_type").alias("kind"), secret.alias("token"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aphora.session import shared_dir
+
 
 def surrogate_id(*keys: str | Column) -> Column:
     """A 60-bit id computed from the natural key: no global numbering, the same on every retry."""
@@ -50,3 +52,10 @@ def export(df: DataFrame, path: str, fmt: str = "json", **options: str) -> None:
     if fmt not in ("json", "csv", "parquet"):
         raise ValueError(f"unknown export format {fmt}")
     df.write.mode("errorifexists").format(fmt).options(**options).save(path)
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written to the shared folder and read from there: what is needed several times is worked out once."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

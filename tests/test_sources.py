@@ -122,6 +122,10 @@ def test_lines_can_be_read_back(spark):
     ('GET /a?x=[1] start {"a" done {"statusCode":200}', 'GET /a?x=[1] start {"a" done', '{"statusCode":200}'),
     ('m {"a": {"b": 1}}', "m", '{"a": {"b": 1}}'), ('m {"a":"x {}"}', "m", '{"a":"x {}"}'), ('m {"a":1} {"b":2}', 'm {"a":1}', '{"b":2}'),
     ("m {x}", "m {x}", None), ("m { {", "m { {", None), ("m", "m", None),
+    ('m" {"a":" {","b":" } {"}', 'm"', '{"a":" {","b":" } {"}'), ('m {"a":"\\\\"}', "m", '{"a":"\\\\"}'), ('m { {"a":"\\" {"}', "m {", '{"a":"\\" {"}'),
+    ('m {"a":{"b":1}} }', 'm {"a":{"b":1}} }', None), ('m {"a": {"b":1}', 'm {"a":', '{"b":1}'), ('m{"a":1}', 'm{"a":1}', None), ('m {{"a":1}', 'm {{"a":1}', None),
+    ("m" + " {" * 100_000 + ' {"a":1}', "m" + " {" * 100_000, '{"a":1}'), ("m" + ' {"' * 50_001 + ' {"a":1}', "m" + ' {"' * 50_001, '{"a":1}'),
+    ("m {" + '"a": {' * 900 + "}" * 901, "m", "{" + '"a": {' * 900 + "}" * 901),
 ])
 def test_metadata_is_the_last_json(spark, rest, message, meta):
     rows = spark.createDataFrame([(f"[2024-01-31T10:00:00.123Z] [INFO] {rest}",)], "value string")
@@ -129,6 +133,13 @@ def test_metadata_is_the_last_json(spark, rest, message, meta):
     assert (row.message, row.meta) == (message, meta)
 
 
+def test_times_that_are_none_do_not_end_the_report(spark):
+    lines = [f'GET /a done {{"statusCode":200,"responseTime":{x}}}' for x in ("1e30", '"NaN"', '"Infinity"', "1e999", "null", "1.25", "-0.5", "0")]
+    rows = spark.createDataFrame([(f"[2024-01-31T10:00:00.123Z] [INFO] {x}",) for x in lines], "value string")
+    row = logs.route_latency(logs.parse_logs(rows)).first()
+    assert (row.requests, row.mean_ms, row.p50_ms, row.max_ms) == (3, 0.25, 0.0, 1.25)
+
+
 def test_a_bad_status_line_does_not_end_the_report(spark):
     lines = ['GET /a done {"statusCode":"n/a","responseTime":1.5}', 'GET /a done {"statusCode":200,"responseTime":2.5}', "GET /a done"]
     rows = spark.createDataFrame([(f"[2024-01-31T10:00:00.123Z] [INFO] {x}",) for x in lines], "value string")
