@@ -94,6 +94,60 @@ def json_field_is(details: Column, path: str, wanted: str) -> Column:
     return F.coalesce(found == wanted, F.lit(False))
 
 
+def _equal_scalar(found: Column, wanted: object) -> Column:
+    """Whether a JSON value is this string, number, truth value or null; numbers compare by value, ``1`` is ``1.0``."""
+    if wanted is None:
+        return F.coalesce(F.is_variant_null(found), F.lit(False))
+    kind = F.schema_of_variant(found)
+    if isinstance(wanted, str):
+        same = (kind == "STRING") & (F.try_variant_get(found, "$", "string") == wanted)
+    elif isinstance(wanted, bool):
+        same = (kind == "BOOLEAN") & (F.try_variant_get(found, "$", "boolean") == wanted)
+    else:
+        number = kind.rlike(r"^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT)")
+        if isinstance(wanted, int) and abs(wanted) < 10**20:
+            # Whole numbers are compared in full; as doubles large ones would fall together.
+            same = number & (F.try_variant_get(found, "$", "decimal(38,18)") == F.lit(wanted).cast("decimal(38,18)"))
+        else:
+            same = number & (F.try_variant_get(found, "$", "double") == float(wanted))
+    return F.coalesce(same, F.lit(False))
+
+
+def variant_contains(found: Column, needle: object) -> Column:
+    """Whether a JSON value holds the needle: an object all its fields, a list for each of its items one that holds it.
+
+    A value that is no list or object equals the needle. The needle is walked when the plan is built; each of its parts
+    becomes a condition.
+    """
+    if isinstance(needle, dict):
+        fields = F.try_variant_get(found, "$", "map<string,variant>")
+        held = fields.isNotNull()
+        for name, inner in needle.items():
+            held = held & F.coalesce(variant_contains(F.try_element_at(fields, F.lit(name)), inner), F.lit(False))
+        return F.coalesce(held, F.lit(False))
+    if isinstance(needle, (list, tuple)):
+        items = F.try_variant_get(found, "$", "array<variant>")
+        held = items.isNotNull()
+        for inner in needle:
+            held = held & F.coalesce(F.exists(items, _holding(inner)), F.lit(False))
+        return F.coalesce(held, F.lit(False))
+    return _equal_scalar(found, needle)
+
+
+def _holding(needle: object):
+    return lambda item: variant_contains(item, needle)
+
+
+def json_contains(details: Column, needle: object) -> Column:
+    """Whether JSON text holds the needle (a Python value) at its top: what is no JSON holds nothing.
+
+    As an exception, a list holds a string, number, truth value or null that is one of its items.
+    """
+    parsed = F.try_parse_json(details)
+    held = variant_contains(parsed, needle)
+    return held if isinstance(needle, (dict, list, tuple)) else held | variant_contains(parsed, [needle])
+
+
 def tags_include(tags: Column, wanted: list[str]) -> Column:
     """The list holds every wanted tag."""
     return F.coalesce(F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), tags)) == 0, F.lit(False))

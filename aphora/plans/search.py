@@ -1,10 +1,12 @@
-"""Token search over quotes, directly and through an inverted index."""
+"""Token search over quotes, directly and through an inverted index, by words as they are or by English stems."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aphora.functions.english import query_stems, stems
+
 # Anything that is neither letter nor digit separates tokens.
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
@@ -34,9 +36,29 @@ def search(quotes: DataFrame, terms: list[str]) -> DataFrame:
     return quotes.where(possible).where(F.size(absent) == 0)
 
 
-def inverted_index(quotes: DataFrame) -> DataFrame:
-    """One row per quote and distinct term. Frequent terms stay many rows; no list of quotes is collected."""
-    term = F.explode(F.array_distinct(tokens(searchable(quotes)))).alias("term")
+def search_english(quotes: DataFrame, query: str) -> DataFrame:
+    """Quotes that hold, in any form, every word of the query that is no stop word; a query of stop words finds none.
+
+    One pass, no shuffle. A stem and its words differ in their endings only, so a text must hold all but the last two letters
+    of every stem; only texts that do are split and stemmed.
+    """
+    wanted = query_stems(query)
+    lowered = F.lower(searchable(quotes))
+    possible = F.lit(bool(wanted))
+    for term in wanted:
+        possible = possible & lowered.contains(term[: max(1, len(term) - 2)])
+    found = quotes.where(possible)
+    absent = F.array_except(F.array(*[F.lit(t) for t in wanted]).cast("array<string>"), stems(tokens(searchable(found))))
+    return found.where(F.size(absent) == 0)
+
+
+def inverted_index(quotes: DataFrame, english: bool = False) -> DataFrame:
+    """One row per quote and distinct term. Frequent terms stay many rows; no list of quotes is collected.
+
+    With ``english`` the terms are stems without stop words; ask such an index for the terms that ``query_stems`` gives.
+    """
+    found = F.array_distinct(tokens(searchable(quotes)))
+    term = F.explode(F.array_distinct(stems(found)) if english else found).alias("term")
     return quotes.select("quote_id", term).where(F.col("term") != "")
 
 
@@ -51,7 +73,7 @@ def write_index(index: DataFrame, path: str, buckets: int = 64) -> None:
 
 
 def search_index(index: DataFrame, terms: list[str]) -> DataFrame:
-    """Ids of the quotes that contain every term; an entry that was appended twice counts once."""
+    """Ids of the quotes that contain every term; an entry that was appended twice counts once. No term finds nothing."""
     wanted = sorted({t.lower() for t in terms})
     hits = index.where(F.col("term").isin(wanted))
     if "bucket" in index.columns:

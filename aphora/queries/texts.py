@@ -9,6 +9,7 @@ from aphora import dimensions
 from aphora.functions import prompts
 from aphora.functions import text as t
 from aphora.functions import voice as v
+from aphora.functions.english import query_stems
 from aphora.operators import filters
 from aphora.plans import generation, search, sharing, speech
 from aphora.queries.registry import AS_OF, SEED, SHARED_CTES, as_of, joined, query
@@ -179,6 +180,25 @@ def text_search_index(m: Model) -> DataFrame:
     return search.search_index(search.inverted_index(m.quotes), TERMS)
 
 
+# All forms of the two words that share their stems, also such as nobody writes.
+_FORMS = {
+    "hand": "hand(s|ed|eds|edly|ing|ings|ingly|li|ly|ful|fuls|fulli|fully|fulness|ness|ment)?",
+    "rest": "rest(s|ed|eds|edly|ing|ings|ingly|li|ly|ful|fuls|fulli|fully|fulness|ness|ment)?"}
+_STEMMED = "SELECT quote_id FROM quotes WHERE " + " AND ".join(
+    f"regexp_matches(lower(concat(text, ' ', author)), '(^|[^\\p{{L}}\\p{{N}}])({forms})([^\\p{{L}}\\p{{N}}]|$)')" for forms in _FORMS.values())
+
+
+@query("text_search_english", _STEMMED)
+def text_search_english(m: Model) -> DataFrame:
+    """Words in any of their forms; the query's own stop words do not count."""
+    return search.search_english(m.quotes, "the hands that rested").select("quote_id")
+
+
+@query("text_search_english_index", _STEMMED)
+def text_search_english_index(m: Model) -> DataFrame:
+    return search.search_index(search.inverted_index(m.quotes, english=True), query_stems("Handing, and resting"))
+
+
 @query("term_frequencies", """
   SELECT term, count(DISTINCT quote_id) AS quotes FROM (SELECT quote_id,
     unnest(string_split_regex(lower(concat(text, ' ', author)), '[^\\p{L}\\p{N}]+')) AS term FROM quotes) x
@@ -187,6 +207,25 @@ def term_frequencies(m: Model) -> DataFrame:
     return search.inverted_index(m.quotes).groupBy("term").agg(F.count("*").alias("quotes"))
 
 
+@query("json_needles", """
+  SELECT event_id, CAST(k % 4 = 1 AND event_type = 'click' AS BOOLEAN) AS nested, k % 4 = 2 AS number, true AS twice, event_type = 'view' AS item,
+    k % 4 = 3 AS broken FROM ev""")
+def json_needles(m: Model) -> DataFrame:
+    """Which rows' JSON holds needles of objects and lists, in any order and beside anything else."""
+    rest = F.col("k") % 4
+    tag = F.struct(F.lit("x").alias("a"), F.col("event_type").alias("kind"), F.struct(F.lit(1.5).alias("w"), rest.alias("r")).alias("in"))
+    other = F.struct(F.lit("y").alias("a"), F.lit("none").alias("kind"), F.struct(F.lit(2.0).alias("w"), (rest + 10).alias("r")).alias("in"))
+    whole = F.struct(F.array(other, tag).alias("tags"), F.array(rest + 0.0, F.lit(7.0)).alias("numbers"), F.lit(None).cast("string").alias("gap"))
+    text = F.to_json(whole, {"ignoreNullFields": "false"})
+    broken = F.when(rest == 3, F.concat(F.lit("{"), text)).otherwise(text)
+    holds = lambda needle: filters.json_contains(text, needle)
+    kinds = F.to_json(F.array("event_type", F.lit("z")))
+    return m.ev.select(
+        "event_id", holds({"tags": [{"kind": "click", "in": {"r": 1}}]}).alias("nested"), holds({"numbers": [2, 7.0]}).alias("number"),
+        holds({"tags": [{"a": "y"}, {"a": "x", "in": {}}, {"a": "y"}], "numbers": []}).alias("twice"),
+        filters.json_contains(kinds, "view").alias("item"), (~filters.json_contains(broken, {})).alias("broken"))
+
+
 @query("tag_containment", "SELECT quote_id FROM quotes WHERE list_has_all(tags, ['wisdom', 'src1'])")
 def tag_containment(m: Model) -> DataFrame:
     return m.quotes.where(filters.tags_include(F.col("tags"), ["wisdom", "src1"])).select("quote_id")

@@ -197,7 +197,11 @@ def test_masking_maps_of_any_value(spark, kind, values, want):
 @pytest.mark.parametrize("text, want", [
     ('{"token":{"v":"abc"},"password":["x","]"],"n":1}', '{"token":"********","password":"********","n":1}'),
     ('{"a":{"secret":{"b":[{"c":"}"}]}},"z":[1]}', '{"a":{"secret":"********"},"z":[1]}'),
-    ('{"token":' + "[" * 30 + '"deep"' + "]" * 30 + "}", '{"masked":"********"}'),
+    ('{"token":' + "[" * 30 + '"deep"' + "]" * 30 + "}", '{"token":"********"}'),
+    ('{"token":' + "[" * 5000 + '{"a":"]"}' + "]" * 5000 + ',"n":[{"password":' + "[" * 700 + "]" * 700 + "}]}", '{"token":"********","n":[{"password":"********"}]}'),
+    ('{"pass\\u0077ord":"x","n":1}', '{"pass\\u0077ord":"********","n":1}'), ('{"API\\u212aEY":[1],"to\u212aen":2}', '{"API\\u212aEY":"********","to\u212aen":"********"}'),
+    ('{"a":"\\\\","token":{"b":"\\\\\\"}"}}', '{"a":"\\\\","token":"********"}'), ('{"a":"the \\"token\\":1"}', '{"a":"the \\"token\\":1"}'),
+    ('{"x\\"token":[1]}', '{"x\\"token":[1]}'), ('{"token":{"a":1}', '{"token":"********"'), ('{"token":{"a":[}', '{"masked":"********"}'), ("", ""), ("no json", "no json"),
     ('{"token":["open', '{"masked":"********"}'), ('{"token":"open', '{"masked":"********"}'),
     ('{"password":"' + "x" * 50_000 + '","n":2}', '{"password":"********","n":2}'),
 ])
@@ -211,3 +215,163 @@ def test_personalize_prompt_without_favorites(value):
     assert text == ("Generează un citat motivațional personalizat cu următoarele caracteristici:\n- Preferințe utilizator: a, b\n"
                     "- Teme de interes: t\n- Stil: s\n- Lungime: 30-50 caractere\n- Limba: română\n\n\n\n"
                     "Răspunde doar cu citatul generat, fără ghilimele sau alte explicații.")
+
+
+def brute_mask(text, hidden=("password", "token", "apikey", "secret", "credit_card")):
+    """The same by a walk over characters, for texts that are JSON."""
+    import json as parser
+
+    out, at, stack = [], 0, 0
+    scan = parser.JSONDecoder()
+    while at < len(text):
+        if text[at] != '"':
+            out.append(text[at])
+            at += 1
+            continue
+        word, end = scan.raw_decode(text, at)
+        out.append(text[at:end])
+        at = end
+        rest = text[at:].lstrip()
+        if rest.startswith(":") and word.lower() in hidden:
+            value = len(text) - len(rest[1:].lstrip())
+            out.append(text[at:value] + '"********"')
+            _, at = scan.raw_decode(text, value)
+    return "".join(out)
+
+
+def test_masking_equals_a_walk_over_characters(spark):
+    import random
+
+    rng = random.Random(4)
+    keys = ["token", "Token", "pass\\u0077ord", "a", 'x\\"token', "secret\\\\", "apiKey", "\\u0053ecret"]
+
+    def some(depth):
+        kind = rng.randrange(7 if depth < 6 else 4)
+        if kind < 4:
+            return rng.choice(['"v"', '"a\\"token\\":[{"', "12", "null", '"]}"', "true", '"\\\\"'])
+        inner = [some(depth + 1) for _ in range(rng.randrange(4))]
+        blank = rng.choice(["", " ", "\n"])
+        if kind == 4:
+            return "[" + f",{blank}".join(inner) + "]"
+        return "{" + f",{blank}".join(f'"{rng.choice(keys)}"{blank}:{blank}{v}' for v in inner) + "}"
+
+    texts = [some(0) for _ in range(400)] + ["[" + ",".join(some(2) for _ in range(900)) + "]"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", masking.mask_json_text(F.col("t")).alias("m")).collect()
+    for r in got:
+        assert r.m == brute_mask(r.t)
+
+
+def test_masking_takes_linear_time(value):
+    import time
+
+    text = '{"token":[' + ",".join(['{"a":"b"}'] * 60_000) + '],"n":[' + ",".join(['{"password":{"x":[1]}}'] * 20_000) + "]}"
+    start = time.time()
+    got = value(masking.mask_json_text(F.col("t")), t=text)
+    assert got == '{"token":"********","n":[' + ",".join(['{"password":"********"}'] * 20_000) + "]}"
+    assert time.time() - start < 20
+
+
+def test_deep_json_does_not_end_the_job(spark):
+    rows = spark.createDataFrame([('{"a":' + "[" * 100_000 + "]" * 100_000 + "}",)], "t string")
+    assert rows.select(masking.mask_json_deep()("t").alias("m")).first().m in (rows.first().t, '{"masked":"********"}')
+
+
+def holds(whole, part, top=True):
+    """JSON containment by a walk over parsed values."""
+    if isinstance(part, dict):
+        return isinstance(whole, dict) and all(k in whole and holds(whole[k], v, False) for k, v in part.items())
+    if isinstance(part, list):
+        return isinstance(whole, list) and all(any(holds(w, p, False) for w in whole) for p in part)
+    if top and isinstance(whole, list):
+        return any(holds(w, part, False) for w in whole if not isinstance(w, (list, dict)))
+    if isinstance(part, bool) or isinstance(whole, bool) or part is None or whole is None:
+        return part is whole
+    return type(whole) not in (list, dict) and isinstance(whole, str) == isinstance(part, str) and whole == part
+
+
+def test_json_containment_equals_a_walk(spark):
+    import json
+    import random
+
+    from aphora.operators.filters import json_contains
+
+    rng = random.Random(8)
+
+    def some(depth):
+        kind = rng.randrange(9 if depth < 3 else 6)
+        if kind < 6:
+            return rng.choice([None, True, False, 1, 2.5, 1.0, "a", "1", "", "it's", 12345678901234567])
+        if kind < 8:
+            return {k: some(depth + 1) for k in rng.sample(["a", "b.c", "d'e", 'q"', ""], rng.randrange(4))}
+        return [some(depth + 1) for _ in range(rng.randrange(4))]
+
+    def smaller(v):
+        if isinstance(v, dict):
+            return {k: smaller(x) for k, x in v.items() if rng.random() < 0.7}
+        if isinstance(v, list):
+            return [smaller(x) for x in v if rng.random() < 0.7][::-1]
+        return v
+
+    values = [some(0) for _ in range(120)]
+    needles = [smaller(rng.choice(values)) for _ in range(25)] + [{}, [], 1, "a", None, True, [[]], [{}]]
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)] + [(-1, "{"), (-2, None)], "i int, t string")
+    found = rows.select("i", *[json_contains(F.col("t"), n).alias(f"n{k}") for k, n in enumerate(needles)]).collect()
+    for row in found:
+        for k, needle in enumerate(needles):
+            want = row.i >= 0 and holds(values[row.i], needle)
+            assert row[f"n{k}"] == want, (values[row.i] if row.i >= 0 else None, needle)
+
+
+# Words and their stems as the algorithm's description gives them.
+STEMS = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist
+consistent consist consistently consist consisting consist consists consist consolation consol consolations consol consolatory
+consolatori console consol consoled consol consoles consol consolidate consolid consolidated consolid consolidating consolid consoling
+consol consolingly consol consols consol knack knack knackeries knackeri knacks knack knag knag knave knave knaves knave knavish
+knavish kneaded knead kneading knead knee knee kneel kneel kneeled kneel kneeling kneel kneels kneel knees knee knell knell
+knelt knelt knew knew knick knick knif knif knife knife knight knight knightly knight knights knight knit knit knits knit
+knitted knit knitting knit knives knive knob knob knobs knob knock knock knocked knock knocker knocker knockers knocker
+generate generat generic generic communication communic arsenal arsenal skies sky dying die news news happy happi cry cri by by say say
+hoping hope hopping hop ties tie cries cri gas gas gaps gap kiwis kiwi abilities abil nationally nation sensibility sensibl
+relational relat hopefulness hope rested rest hands hand agreed agre feed feed youth youth enjoy enjoy yes yes""".split()
+
+
+@pytest.mark.parametrize("word, want", list(zip(STEMS[::2], STEMS[1::2])))
+def test_stems(word, want):
+    from aphora.functions.english import stem
+
+    assert stem(word) == want
+
+
+def test_words_differ_from_their_stems_at_the_end_only():
+    from aphora.functions.english import stem
+
+    import itertools
+
+    roots = ["hand", "rest", "happy", "gener", "ski", "abl", "lov", "run", "cry", "agre", "sensibl", "nation", "y", "ti", "logic", "gentl"]
+    ends = ["", "s", "ed", "ing", "ly", "ies", "ied", "ational", "ization", "fulness", "iviti", "bility", "bli", "logi", "ement", "ion", "e", "ll", "eedly", "'s"]
+    for parts in itertools.product(roots, ends, ends):
+        word = "".join(parts)
+        assert word.startswith(stem(word)[:-2]), word
+
+
+def test_stems_of_lists(spark):
+    from aphora.functions.english import query_stems, stems
+
+    rows = spark.createDataFrame([(1, ["the", "hands", "", "rested", "hands"]), (2, []), (3, None), (4, ["and", None, "handing"])], "i int, w array<string>").repartition(1)
+    got = {r.i: r.s for r in rows.select("i", stems(F.col("w")).alias("s")).collect()}
+    assert got == {1: ["hand", "rest", "hand"], 2: [], 3: [], 4: ["hand"]}
+    assert query_stems("The hands, resting!") == ["hand", "rest"] and query_stems("and the") == []
+
+
+def test_english_search(spark):
+    from aphora.plans import search
+
+    quotes = spark.createDataFrame([(1, "Her hands rested.", None), (2, "Rest your hand", "x"), (3, "A handle restores", "y"), (4, "hand", "Restful Author"), (5, "the and", None)],
+                                   "quote_id int, text string, author string")
+    index = search.inverted_index(quotes, english=True)
+    for query in ("hand rest", "the hands that rested"):
+        direct = sorted(r.quote_id for r in search.search_english(quotes, query).collect())
+        assert direct == [1, 2, 4]
+        assert direct == sorted(r.quote_id for r in search.search_index(index, search.query_stems(query)).collect())
+    assert search.search_english(quotes, "and the").count() == 0 == search.search_index(index, []).count()
