@@ -1,7 +1,7 @@
 """Declarative row validation with coercion.
 
-Rules are turned into column expressions when the plan is built; no row visits Python. Each rule gives error
-codes and a cleaned value, and a row is valid when there is no code.
+Rules are turned into column expressions when the plan is built; no row visits Python, but for rules with a ``test``, a
+Python function of a value. Each rule gives error codes and a cleaned value, and a row is valid when there is no code.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,12 @@ RADIX_NUMBERS = {16: r"^0[xX]([0-9a-fA-F]+)\z", 8: r"^0[oO]([0-7]+)\z", 2: r"^0[
 @dataclass(frozen=True)
 class Rule:
     """What a value must look like. ``kind`` is one of string, number, boolean, email, date, array, object, enum,
-    uuid and url; the other fields apply to the kinds they name."""
+    uuid and url; the other fields apply to the kinds they name.
+
+    ``check`` is a condition on the cleaned value as a column, ``test`` a function of the cleaned value in Python: it passes
+    with ``True``, refuses with a text (or anything else), and an exception it raises becomes an error of that value alone.
+    Both see only values that met the rest of the rule. A ``test`` is not possible for the items of a list.
+    """
 
     kind: str
     required: bool = False
@@ -57,6 +63,7 @@ class Rule:
     values: tuple = ()
     default: object = None
     check: Callable[[Column], Column] | None = None
+    test: Callable[[object], object] | None = None
 
 
 # Error codes travel as one text while a rule is compiled and become a list at the very end: text functions stay
@@ -84,6 +91,7 @@ class _Context:
 
     strict: bool = False
     slots: dict[str, tuple[Column, Column | None]] = field(default_factory=dict)
+    in_list: bool = False
 
 
 def _codes(prefix: str, *problems: tuple[Column, str]) -> list[Column]:
@@ -118,9 +126,51 @@ def js_boolean(text: Column) -> Column:
     return F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False)
 
 
+# Other ways to write a date: an optional weekday, the date in one of four orders, and an optional time with a zone.
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\\.?"
+_WEEKDAY = r"(?:(?:sun|mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?)(?:day)?\.?,? +)?"
+_CLOCK = r"(?:(?:,? +| *t)([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:\.([0-9]{1,9}))?)?(?: *([ap]m))?(?: *(z|(?:gmt|utc)?[+-][0-9]{1,2}:?[0-9]{2}|gmt|utc))?(?: *\([^()]*\))?)?"
+# The order of year, month and day within the pattern of each form.
+_DATE_FORMS = {
+    rf"{_MONTH} +([0-9]{{1,2}})(?:st|nd|rd|th)?,? +([0-9]{{4}})": (3, 1, 2),
+    rf"([0-9]{{1,2}})(?:st|nd|rd|th)?[ -]+{_MONTH},?[ -]+([0-9]{{4}})": (3, 2, 1),
+    r"([0-9]{4})[/.]([0-9]{1,2})[/.]([0-9]{1,2})": (1, 2, 3),
+    r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})": (3, 1, 2),
+}
+
+
+def _written_date(text: Column) -> Column:
+    """Dates such as ``Jan 5, 2024``, ``Fri, 5 January 2024 10:00 GMT``, ``2024/01/05`` and ``1/5/2024 3:07 pm`` (month first).
+
+    The first form that fits as a whole decides; it is brought to one order of parts, and the parts make the time. Impossible days
+    and times are none. Without a zone the time counts as UTC.
+    """
+    lowered = F.lower(trim(text))
+    unified = F.lit(None).cast("string")
+    for form, (year, month, day) in _DATE_FORMS.items():
+        pattern = rf"^{_WEEKDAY}{form}{_CLOCK}\z"
+        parts = rf"${year}|${month}|${day}|$4|$5|$6|$7|$8|$9"
+        unified = F.coalesce(unified, F.when(lowered.rlike(pattern), F.regexp_replace(lowered, pattern, parts)))
+    part = lambda i: F.split(unified, r"\|", 9)[i]
+    number = lambda i: F.coalesce(F.nullif(part(i), F.lit("")), F.lit("0")).try_cast("int")
+    named = F.position(F.concat(F.lit(" "), F.substring(part(1), 1, 3)), F.lit("".join(f" {m}" for m in MONTHS)))
+    month = F.when(part(1).rlike("^[0-9]"), number(1)).otherwise(((named + 3) / 4).cast("int"))
+    half = part(7)
+    hour = F.when(half == "", F.when(number(3) <= 23, number(3))).otherwise(
+        F.when(number(3).between(1, 12), number(3) % 12 + F.when(half == "pm", 12).otherwise(0)))
+    second = F.when(number(5) <= 59, F.concat(number(5).cast("string"), F.lit("."), F.rpad(part(6), 6, "0")).try_cast("decimal(8,6)"))
+    offset = F.regexp_extract(part(8), r"([+-])([0-9]{1,2}):?([0-9]{2})$", 0)
+    minutes = F.when(offset == "", F.lit(0)).otherwise(
+        F.concat(F.substring(offset, 1, 1), F.lit("1")).try_cast("int")
+        * (F.regexp_extract(offset, r"^.([0-9]{1,2}?):?([0-9]{2})$", 1).try_cast("int") * 60 + F.regexp_extract(offset, r"([0-9]{2})$", 1).try_cast("int")))
+    local = F.try_make_timestamp(number(0), month, number(2), hour, F.when(number(4) <= 59, number(4)), second, F.lit("UTC"))
+    return F.when(unified.isNotNull(), local - F.make_dt_interval(F.lit(0), F.lit(0), minutes))
+
+
 def js_date(text: Column) -> Column:
-    """ISO dates and times; without a zone they count as UTC."""
-    return F.when(text.rlike(ISO_DATE), F.try_to_timestamp(text))
+    """ISO dates and times, and some other ways to write them; without a zone they count as UTC."""
+    return F.when(text.rlike(ISO_DATE), F.try_to_timestamp(text)).otherwise(_written_date(text))
 
 
 def parse_value(value: Column, kind: T.DataType, rule: Rule) -> Column:
@@ -215,7 +265,7 @@ def _array(value: Column, kind: T.DataType, rule: Rule, ctx: _Context, prefix: s
     texts = _codes(prefix, *problems)
     if rule.items is None:
         return _Result(value, texts)
-    item, inside = rule.items, _Context(ctx.strict)
+    item, inside = rule.items, _Context(ctx.strict, in_list=True)
 
     def of_item(x: Column, i: Column) -> Column:
         found = compile_rule(x, kind.elementType, item, inside).errors()
@@ -293,6 +343,24 @@ def _object(value: Column, kind: T.DataType, rule: Rule, ctx: _Context, prefix:
     return _Result(F.struct(*cleaned), texts)
 
 
+def _tested(value: Column, test: Callable[[object], object]) -> Column:
+    """Error code of each value that is not null, null if the test passed it. Values go to Python in Arrow batches."""
+    def verdict(v: object) -> str | None:
+        if v is None:
+            return None
+        try:
+            answer = test(v)
+        except Exception as problem:  # whatever a test raises is an error of this value
+            return f"custom_failed:{problem}".replace(_MARK, " ")
+        return None if answer is True else f"custom:{answer}".replace(_MARK, " ") if isinstance(answer, str) and answer else "custom"
+
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([verdict(v) for v in values.to_pylist()], pa.string())
+
+    return run(value)
+
+
 _KINDS = {
     "string": _string, "number": _number, "boolean": _boolean, "date": _date, "array": _array, "object": _object,
     "enum": _enum, "email": _format(EMAIL, "email"), "uuid": _format(UUID, "uuid"), "url": _format(URL, "url"),
@@ -312,6 +380,11 @@ def compile_rule(value: Column, kind: T.DataType, rule: Rule, ctx: _Context, pre
     if rule.check is not None:
         passed = F.coalesce(rule.check(result.clean), F.lit(False))
         found = F.coalesce(found, F.when(~passed, F.lit(prefix + "custom")))
+    if rule.test is not None:
+        if ctx.in_list:
+            raise ValueError("items of a list cannot be tested in Python")
+        code = _tested(F.when(found.isNull() & value.isNotNull(), result.clean), rule.test)
+        found = F.coalesce(found, F.concat(F.lit(prefix), code))
     absent = value.isNull()
     text = F.when(~absent, found)
     if rule.required:

@@ -74,6 +74,41 @@ def validate_dates(m: Model) -> DataFrame:
     return checked.select("event_id", joined("errors").alias("errors"), F.col("raw__clean").cast("timestamp_ntz").alias("clean"))
 
 
+@query("validate_date_forms", """
+  SELECT event_id, CASE WHEN k % 9 = 7 THEN 'raw:date' WHEN k % 9 = 8 THEN 'raw:date' ELSE '' END AS errors,
+    CASE k % 9 WHEN 0 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP)
+      WHEN 3 THEN date_trunc('second', ts) WHEN 4 THEN date_trunc('minute', ts) - INTERVAL 150 MINUTES WHEN 5 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP)
+      WHEN 6 THEN date_trunc('millisecond', ts) END AS clean FROM ev""")
+def validate_date_forms(m: Model) -> DataFrame:
+    """Dates as people write them, and days and hours that do not exist."""
+    shown = lambda form: F.date_format("ts", form)
+    forms = [
+        shown("MMM d, yyyy"), shown("d MMMM yyyy HH:mm"), shown("yyyy/MM/dd"), F.concat(shown("EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")),
+        F.concat(shown("M/d/yyyy hh:mm a"), F.lit(" +0230")), F.concat(shown("EEEE, MMMM d"), F.lit("th "), shown("yyyy")),
+        shown("yyyy.MM.dd HH:mm:ss.SSS"), F.concat(F.lit("Feb 30, "), shown("yyyy")), F.concat(shown("yyyy/MM/dd"), F.lit(" 24:10"))]
+    raw = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        raw = F.when(F.col("k") % 9 == i, form).otherwise(raw)
+    checked = q.validate(m.ev.select("event_id", raw.alias("raw")), {"raw": q.Rule("date", required=True)})
+    return checked.select("event_id", joined("errors").alias("errors"), F.col("raw__clean").cast("timestamp_ntz").alias("clean"))
+
+
+def _even_share(count: float) -> object:
+    """A check as a caller would write it: it passes, refuses with a text, refuses, or fails."""
+    if 100 % count == 0:
+        return True
+    return "odd" if count % 2 else False
+
+
+@query("validate_custom", """
+  SELECT event_id, CASE WHEN k > 60 THEN 'k:max' WHEN k = 0 THEN 'k:custom_failed:float modulo by zero' WHEN 100 % k = 0 THEN ''
+    WHEN k % 2 = 1 THEN 'k:custom:odd' ELSE 'k:custom' END AS errors, k <= 60 AND k > 0 AND 100 % greatest(k, 1) = 0 AS valid FROM ev""")
+def validate_custom(m: Model) -> DataFrame:
+    """A check written in Python, whose exceptions are errors of their rows. It does not see values above the maximum."""
+    checked = q.validate(m.ev.select("event_id", "k"), {"k": q.Rule("number", maximum=60, test=_even_share)})
+    return checked.select("event_id", joined("errors").alias("errors"), "valid")
+
+
 @query("validate_arrays", """
   SELECT event_id, CASE k % 7 WHEN 0 THEN 'items:min_items' WHEN 1 THEN '' WHEN 2 THEN 'items:item[1]:required'
     WHEN 3 THEN 'items:item[1]:required' WHEN 4 THEN 'items:item[1]:required;items:item[3]:min_length'

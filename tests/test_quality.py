@@ -164,3 +164,34 @@ def test_no_python_in_the_plan(spark):
     rows = spark.createDataFrame([("1",)], "raw string")
     plan = q.validate(rows, {"raw": q.Rule("number", minimum=1)})._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Jan 5, 2024", "2024-01-05 00:00:00"), ("january 5 2024", "2024-01-05 00:00:00"), ("5 January 2024 10:00", "2024-01-05 10:00:00"),
+    ("Fri, 05 Jan 2024 10:00:01 GMT", "2024-01-05 10:00:01"), ("2024/01/05", "2024-01-05 00:00:00"), ("2024/1/5 3:07 pm", "2024-01-05 15:07:00"),
+    ("1/5/2024", "2024-01-05 00:00:00"), ("12/31/2023 12:00 AM", "2023-12-31 00:00:00"), ("Sept. 3rd, 2021 12:30:15.25 PM", "2021-09-03 12:30:15.25"),
+    ("5-Jan-2024", "2024-01-05 00:00:00"), ("Jan 5, 2024 10:00 +0230", "2024-01-05 07:30:00"), ("Jan 5 2024 10:00 GMT-5:00", "2024-01-05 15:00:00"),
+    ("Fri Jan 05 2024 10:00:00 GMT+0100 (Central European Time)", "2024-01-05 09:00:00"), (" feb 29 2024 ", "2024-02-29 00:00:00"), ("2024/01/05T23:59:59", "2024-01-05 23:59:59"),
+    ("Feb 30, 2024", None), ("Feb 29, 2023", None), ("31 April 2024", None), ("13/13/2024", None), ("2024/01/05 24:00", None), ("2024/01/05 10:60", None),
+    ("2024/01/05 10:00:60", None), ("Jan 5", None), ("Jan 5, 24", None), ("Janus 5, 2024", None), ("5 2024 Jan", None), ("1/5/2024 13:00 pm", None), ("1/5/2024 0:10 am", None),
+    ("31.01.2024", None), ("Jan 5, 2024 x", None), ("", None),
+])
+def test_written_dates(spark, text, want):
+    frame = spark.createDataFrame([(text,)], "raw string")
+    row = frame.select(q.js_date(F.col("raw")).cast("timestamp_ntz").cast("string").alias("d")).first()
+    assert row.d == want
+
+
+def test_checks_in_python(spark):
+    """A test sees the cleaned value of what is valid so far; what it raises is an error of that row."""
+    seen = q.Rule("number", minimum=0, test=lambda v: 1 / v > 0.1 or "small")
+    assert check(spark, seen, "2", "0", "20", "-1", "x", None) == [
+        ([], 2.0), (["custom_failed:float division by zero"], 0.0), (["custom:small"], 20.0), (["min"], -1.0), (["not_number"], None), ([], None)]
+    nested = q.Rule("object", properties={"a": q.Rule("string", test=lambda v: len(v) == 1), "b": q.Rule("array", test=lambda v: sum(v) > 3 or None)})
+    rows = spark.createDataFrame([(1, ("x", [1, 2])), (2, ("xy", [4])), (3, None)], "i int, raw struct<a:string,b:array<int>>")
+    found = q.validate(rows, {"raw": nested}).orderBy("i").collect()
+    assert [r.errors for r in found] == [["raw:b:custom"], ["raw:a:custom"], []]
+    whole = q.Rule("object", test=lambda v: v["a"] == "x" or "not x")
+    assert [r.errors for r in q.validate(rows, {"raw": whole}).orderBy("i").collect()] == [[], ["raw:custom:not x"], []]
+    with pytest.raises(ValueError):
+        q.validate(rows.select("raw.b"), {"b": q.Rule("array", items=q.Rule("number", test=bool))})
