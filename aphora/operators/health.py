@@ -241,7 +241,7 @@ def _chunked(calls: DataFrame, breaker: Breaker, chunk_ms: int, max_calls: int)
 def _in_order(rows: DataFrame) -> DataFrame:
     """Every chunk in one place and in time order; Spark sorts (and spills), Python only walks through.
 
-    The number of partitions is given, as the work is in Python and AQE would judge it by the bytes alone.
+    The number of partitions is that of the session, as the work is in Python and AQE would judge it by the bytes alone.
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartition(partitions, "endpoint", "chunk")
@@ -378,12 +378,17 @@ def _last_states(entries: DataFrame) -> DataFrame:
 
 
 def breaker_step(calls: DataFrame, before: DataFrame, breaker: Breaker = Breaker(), chunk_ms: int = 3_600_000,
-                 max_calls: int = MAX_CALLS) -> tuple[DataFrame, DataFrame]:
-    """The states after every call of a batch that follows earlier ones, and the state of every endpoint after it."""
+                 max_calls: int = MAX_CALLS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The states after every call of a batch that follows earlier ones, and the state of every endpoint after it.
+
+    Both come from the third, the states at the borders of the chunks. It is kept when it was first worked out; the caller
+    releases it.
+    """
     chunked = _chunked(calls, breaker, chunk_ms, max_calls)
-    entries = chunk_entries(chunk_maps(chunked, breaker, any_start=True), breaker, before)
+    entries = chunk_entries(chunk_maps(chunked, breaker, any_start=True), breaker, before).persist()
     after = _last_states(entries)
-    return named_states(replay(chunked, entries, breaker)), after.unionByName(before.join(after, "endpoint", "left_anti"))
+    states = named_states(replay(chunked, entries, breaker))
+    return states, after.unionByName(before.join(after, "endpoint", "left_anti")), entries
 
 
 def breaker_status(calls: DataFrame, as_of: Column, breaker: Breaker = Breaker(), chunk_ms: int = 3_600_000,

@@ -15,7 +15,7 @@ from aphora.queries.registry import query
 from aphora.session import shared_dir
 from aphora.sources import sinks, tables
 from aphora.sources.model import Model
-from aphora.streaming import breaker, jobs
+from aphora.streaming import breaker, jobs, late, once
 
 
 def _stream(m: Model) -> DataFrame:
@@ -52,6 +52,38 @@ def stream_dedupe(m: Model) -> DataFrame:
     return _run(m, jobs.consume_once(events, ["event_id", "event_type"]), "dedupe").select("event_id", "event_type", *_local("ts"))
 
 
+_EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"
+
+
+@query("stream_once", "SELECT event_id, event_type, ts FROM ev")
+def stream_once(m: Model) -> DataFrame:
+    """Copies of purchases arrive again, in one case after everything else and far behind any watermark."""
+    copies = m.ev.where(F.col("event_type") == "purchase")
+    root = shared_dir(m.spark, "once")
+    for rows in (m.ev.unionByName(copies), copies):
+        rows.select("event_id", "ts", "user_id", "event_type").write.mode("append").parquet(f"{root}/events")
+        stream = jobs.event_stream(m.spark, f"{root}/events", _EVENT)
+        once.consume_ever_once(stream, ["event_id", "event_type"], f"{root}/out", f"{root}/history", f"{root}/checkpoint")
+    found = once.consumed(m.spark, f"{root}/out", _EVENT.replace("timestamp_ntz", "timestamp"))
+    return found.select("event_id", "event_type", *_local("ts"))
+
+
+# Every seventh event arrives after the others; those more than ten minutes behind the newest of these are late.
+@query("stream_late", """
+  SELECT event_id, ts, event_type, event_id % 7 = 3 AND ts < (SELECT max(ts) FROM ev WHERE event_id % 7 <> 3) - INTERVAL 10 MINUTES AS late FROM ev""")
+def stream_late(m: Model) -> DataFrame:
+    """Late events in a table of their own, next to those in time."""
+    behind = F.col("event_id") % 7 == 3
+    root, schema = shared_dir(m.spark, "late"), _EVENT.replace("timestamp_ntz", "timestamp")
+    folder = f"{root}/events"
+    for rows in (m.ev.where(~behind), m.ev.where(behind)):
+        rows.select("event_id", "ts", "user_id", "event_type").write.mode("append").parquet(folder)
+        late.split_late(jobs.event_stream(m.spark, folder, _EVENT), f"{root}/out", f"{root}/quarantine", f"{root}/marks", f"{root}/checkpoint")
+    good = late.events_in(m.spark, f"{root}/out", schema).withColumn("late", F.lit(False))
+    bad = late.events_in(m.spark, f"{root}/quarantine", f"{schema}, watermark timestamp").drop("watermark").withColumn("late", F.lit(True))
+    return good.unionByName(bad).select("event_id", *_local("ts"), "event_type", "late")
+
+
 @query("stream_rate", f"""
   SELECT user_id, time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE AS window_end,
     count(*) AS n FROM ev GROUP BY user_id, time_bucket(INTERVAL 1 MINUTE, ts)
@@ -96,7 +128,7 @@ def stream_sessions(m: Model) -> DataFrame:
 def stream_counters(m: Model) -> DataFrame:
     root = shared_dir(m.spark, "counters")
     jobs.run_counters(_stream(m), ["user_id", "event_type"], f"{root}/out", f"{root}/checkpoint")
-    return jobs.current_counters(m.spark, f"{root}/out", ["user_id", "event_type"])
+    return jobs.current_counters(m.spark, f"{root}/out", ["user_id", "event_type"], "user_id bigint, event_type string")
 
 
 @query("stream_breaker", f"{BREAKER_FOLD} SELECT endpoint, call_id, ts, allowed, state, failures FROM fold WHERE rn > 0")
@@ -107,8 +139,7 @@ def stream_breaker(m: Model) -> DataFrame:
     )
     root = shared_dir(m.spark, "breaker")
     breaker.run_breaker(calls, f"{root}/out", f"{root}/state", f"{root}/checkpoint")
-    stored = m.spark.read.schema("endpoint string, call_id bigint, ts timestamp_ntz, allowed boolean, state string, failures int")
-    return stored.parquet(f"{root}/out").select("endpoint", "call_id", "ts", "allowed", "state", "failures")
+    return breaker.breaker_calls(m.spark, f"{root}/out")
 
 
 def _log_folder(m: Model) -> str:

@@ -19,6 +19,7 @@ RECOMMENDED = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Generated methods above 8000 bytes are not compiled by the JVM. Wide expressions (validation, log parsing) run
     # faster when Spark then generates them in smaller pieces.
     "spark.sql.codegen.hugeMethodLimit": "8000",

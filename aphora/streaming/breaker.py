@@ -1,58 +1,43 @@
 """The circuit-breaker state as a stream: three numbers per endpoint.
 
-``run_breaker`` works on every micro-batch with the batch operator, so a hot endpoint is spread over time chunks.
-``breaker_stream`` keeps the numbers in Spark's state store and handles an endpoint's part of a micro-batch in one
-task; it suits many endpoints with little traffic each.
+Every micro-batch is worked on with the batch operator, so a hot endpoint is spread over time chunks. A call that arrives
+in a later batch counts as later, as it would for a live breaker.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from aphora.operators.health import CLOSED, NEVER, STATE_SCHEMA, Breaker, CallRun, breaker_step, named_states
+from aphora.operators.health import STATE_SCHEMA, Breaker, breaker_step
+from aphora.streaming import generations
 from aphora.streaming.jobs import run_batches
 
-_CALL_SCHEMA = "endpoint string, call_id bigint, t bigint, allowed boolean, code bigint, failures bigint"
+CALL_STATES = "endpoint string, call_id bigint, ts timestamp_ntz, allowed boolean, state string, failures int"
 
 
 def run_breaker(calls: DataFrame, out: str, state: str, checkpoint: str, breaker: Breaker = Breaker(),
-                chunk_ms: int = 3_600_000) -> None:
+                chunk_ms: int = 3_600_000, trigger: dict | None = None, fanout: int = generations.FANOUT) -> StreamingQuery:
     """Write the states after every call, batch by batch.
 
     Batch n starts from the states batch n - 1 left behind; both folders of a batch are overwritten when it is
-    repeated, so the result is the same after a failure.
+    repeated, so the result is the same after a failure. Older states are removed, and the folders of earlier batches of calls
+    merged, so that the number of folders grows as the logarithm of the number of batches.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.schema(STATE_SCHEMA).parquet(f"{state}/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], STATE_SCHEMA)
-        states, after = breaker_step(batch, before, breaker, chunk_ms)
-        states.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        after.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        before = generations.read(spark, state, STATE_SCHEMA, before=batch_id, after=batch_id - 2).drop("_last")
+        # The entries are what both results come from.
+        states, after, entries = breaker_step(batch, before, breaker, chunk_ms)
+        generations.write_batch(states, out, batch_id)
+        generations.write_batch(after, state, batch_id)
+        entries.unpersist()
+        generations.forget(spark, state, batch_id - 1)
+        generations.compact(spark, out, CALL_STATES, batch_id, lambda rows: rows.drop("_last"), fanout, whole=False)
 
-    run_batches(calls, write, checkpoint)
+    return run_batches(calls, write, checkpoint, trigger=trigger)
 
 
-def breaker_stream(calls: DataFrame, breaker: Breaker = Breaker()) -> DataFrame:
-    """States after every call. The calls of one micro-batch are put in time order; a call that arrives in a later
-    batch counts as later, as it would for a live breaker. The batch size bounds what one call of the function holds.
-    """
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["t", "call_id"], kind="stable")
-        before = state.get if state.exists else (CLOSED, 0, NEVER)
-        run = CallRun(rows["t"].to_numpy(np.int64), rows["failed"].to_numpy(bool), breaker)
-        allowed, states, counts, after = run.trace(*(int(x) for x in before))
-        state.update(tuple(int(x) for x in after))
-        yield pd.DataFrame({"endpoint": key[0], "call_id": rows["call_id"].to_numpy(), "t": rows["t"].to_numpy(),
-                            "allowed": allowed, "code": states, "failures": counts})
-
-    timed = calls.select("endpoint", "call_id", F.unix_micros("ts").alias("t"), (F.col("outcome") == "failure").alias("failed"))
-    folded = timed.groupBy("endpoint").applyInPandasWithState(
-        update, _CALL_SCHEMA, "code bigint, failures bigint, last bigint", "append", GroupStateTimeout.NoTimeout
-    )
-    return named_states(folded)
+def breaker_calls(spark: SparkSession, out: str) -> DataFrame:
+    """The states after every call, as ``run_breaker`` wrote them."""
+    return generations.read(spark, out, CALL_STATES).drop("_last")

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from aphora.plans.logs import parse_logs, split_malformed
 from aphora.session import ROCKSDB
+from aphora.streaming import generations
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -130,21 +131,36 @@ def metric_rollup(stream: DataFrame, name: str, value: str, at: str = "ts", widt
 
 
 def session_windows(stream: DataFrame, key: str, at: str = "ts", gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Sessions of activity separated by idle gaps. Events of a key are merged to sessions before the shuffle too."""
-    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Sessions of activity separated by idle gaps. In a session with the recommended settings the events of a key are merged
+    to sessions before the shuffle too."""
     grouped = stream.withWatermark(at, delay).groupBy(key, F.session_window(at, gap).alias("w"))
     counted = grouped.agg(F.count("*").alias("events"), F.max(at).alias("last_event"))
     return counted.select(key, F.col("w.start").alias("session_start"), "last_event", "events")
 
 
-def run_counters(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
-    """Live counts: every batch writes the counters it changed."""
+def _counter_schema(spark: SparkSession, stream: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.select(*keys).schema.fields) + ", n bigint"
+
+
+def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.max_by("n", "_last").alias("n"))
+
+
+def run_counters(stream: DataFrame, keys: list[str], out: str, checkpoint: str, trigger: dict | None = None,
+                 fanout: int = generations.FANOUT) -> StreamingQuery:
+    """Live counts: every batch writes the counters it changed.
+
+    The folders of earlier batches are merged into one snapshot whenever there are more than ``fanout``.
+    """
+    schema = _counter_schema(stream.sparkSession, stream, keys)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        generations.write_batch(batch, out, batch_id)
+        generations.compact(batch.sparkSession, out, schema, batch_id, lambda rows: _newest(rows, keys), fanout)
 
-    run_batches(stream.groupBy(*keys).agg(F.count("*").alias("n")), write, checkpoint, "update")
+    return run_batches(stream.groupBy(*keys).agg(F.count("*").alias("n")), write, checkpoint, "update", trigger)
 
 
-def current_counters(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """The newest value of every counter."""
-    return spark.read.parquet(out).groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
+def current_counters(spark: SparkSession, out: str, keys: list[str], schema: str) -> DataFrame:
+    """The newest value of every counter, from the last snapshot and the batches after it. ``schema`` is that of the keys."""
+    return _newest(generations.read(spark, out, f"{schema}, n bigint"), keys)
