@@ -66,26 +66,46 @@ def top_categories(views: DataFrame, n: int = 5) -> DataFrame:
     return ranking.top_values(views.where(F.col("category").isNotNull()), "user_id", "category", n, count="views")
 
 
-def user_profile(users: DataFrame, favorites: DataFrame, quotes: DataFrame, views: DataFrame, as_of: Column,
-                 n_favorites: int = 10, n_personalized: int = 5, n_categories: int = 5) -> DataFrame:
-    """One row per user: account age, favorite categories, newest favorites and newest personal quotes."""
-    def quote_list(rows: DataFrame, name: str) -> DataFrame:
-        item = F.struct(F.col("text"), F.col("category"), F.col("language"))
-        return ranking.ranked_list(rows, "user_id", "position", item, name)
-
-    liked = favorites_with_quotes(favorites, quotes, n_favorites)
-    own = personalized_history(quotes, n_personalized).withColumnRenamed("lang", "language")
-    categories = ranking.ranked_list(top_categories(views, n_categories), "user_id", "position", F.col("category"),
-                                     "favorite_categories")
-    joined = (
-        users.join(categories, "user_id", "left")
-        .join(quote_list(liked, "favorite_quotes"), "user_id", "left")
-        .join(quote_list(own, "personalized_quotes"), "user_id", "left")
-    )
-    none = F.array().cast("array<struct<text:string,category:string,language:string>>")
-    return joined.withColumns({
+def list_rows(favorites: DataFrame, quotes: DataFrame, n_favorites: int = 10, n_personalized: int = 5) -> DataFrame:
+    """The quotes of a profile by id: user_id, list, position, quote_id. No text is read."""
+    known = favorites.join(quotes.select("quote_id"), "quote_id", "left_semi")
+    liked = ranking.latest_per_key(known, ["user_id"], "created_at", "quote_id", n_favorites, "position")
+    made = filters.user_generated(quotes).select("user_id", "quote_id", "created_at")
+    own = ranking.latest_per_key(made, ["user_id"], "created_at", "quote_id", n_personalized, "position")
+    named = [rows.select("user_id", F.lit(name).alias("list"), "position", "quote_id") for name, rows in (("favorite_quotes", liked), ("personalized_quotes", own))]
+    return named[0].unionByName(named[1])
+
+
+def quote_lists(rows: DataFrame, quotes: DataFrame, lists: list[str]) -> DataFrame:
+    """One row per user with the named lists of quotes in order. The texts of all lists are read, and joined, once."""
+    texts = quotes.select("quote_id", "text", "category", F.col("lang").alias("language"))
+    placed = F.struct("position", F.struct("text", "category", "language").alias("quote"))
+
+    def listed(name: str) -> Column:
+        found = F.sort_array(F.collect_list(F.when(F.col("list") == name, placed)))
+        return F.transform(found, lambda x: x["quote"]).alias(name)
+
+    return rows.join(texts, "quote_id").groupBy("user_id").agg(*[listed(name) for name in lists])
+
+
+def user_facts(users: DataFrame, views: DataFrame, as_of: Column, n_categories: int = 5) -> DataFrame:
+    """Users with account age and favorite categories."""
+    categories = ranking.ranked_list(top_categories(views, n_categories), "user_id", "position", F.col("category"), "favorite_categories")
+    return users.join(categories, "user_id", "left").withColumns({
         "account_age": account_age_days("created_at", as_of),
         "favorite_categories": F.coalesce("favorite_categories", F.array().cast("array<string>")),
-        "favorite_quotes": F.coalesce("favorite_quotes", none),
-        "personalized_quotes": F.coalesce("personalized_quotes", none),
     })
+
+
+def with_lists(facts: DataFrame, rows: DataFrame, quotes: DataFrame, lists: list[str]) -> DataFrame:
+    """Users with the named lists of quotes, empty where they have none."""
+    none = F.array().cast("array<struct<text:string,category:string,language:string>>")
+    joined = facts.join(quote_lists(rows, quotes, lists), "user_id", "left")
+    return joined.withColumns({name: F.coalesce(name, none) for name in lists})
+
+
+def user_profile(users: DataFrame, favorites: DataFrame, quotes: DataFrame, views: DataFrame, as_of: Column,
+                 n_favorites: int = 10, n_personalized: int = 5, n_categories: int = 5) -> DataFrame:
+    """One row per user: account age, favorite categories, newest favorites and newest personal quotes."""
+    facts = user_facts(users, views, as_of, n_categories)
+    return with_lists(facts, list_rows(favorites, quotes, n_favorites, n_personalized), quotes, ["favorite_quotes", "personalized_quotes"])

@@ -118,21 +118,19 @@ def recommendation_audit(recommended: DataFrame, count: int, at: Column) -> Data
     return sinks.audit_rows(rows, "quote_recommendations", ["count", "recommendationIds"])
 
 
-def recommendation_prompts(profiles: DataFrame, candidates: DataFrame, quotes: DataFrame, count: int = 5) -> DataFrame:
-    """The request text of each user with candidates.
+def recommendation_prompts(facts: DataFrame, favorites: DataFrame, candidates: DataFrame, quotes: DataFrame, count: int = 5) -> DataFrame:
+    """The request text of each user, with the quotes of the profile and the candidates.
 
-    ``profiles`` needs the profile columns plus ``login_streak`` and ``total_logins``.
+    ``facts`` are users as ``profile.user_facts`` gives them, with ``login_streak`` and ``total_logins`` besides. The texts of
+    all three lists come from one join.
     """
-    # Candidates name few distinct quotes very often: their texts are fetched once, then joined.
-    texts = relations.existing(quotes.select("quote_id", "text"), candidates.select("quote_id").distinct(), "quote_id")
-    named = candidates.select("user_id", "position", "quote_id", "category").join(texts, "quote_id")
-    lists = ranking.ranked_list(named, "user_id", "position", F.struct("text", "category"), "candidates")
-    joined = profiles.join(lists, "user_id", "left")
-    none = F.array().cast("array<struct<text:string,category:string>>")
+    offered = candidates.select("user_id", F.lit("candidates").alias("list"), "position", "quote_id")
+    rows = profile.list_rows(favorites, quotes).unionByName(offered)
+    lists = ["favorite_quotes", "personalized_quotes", "candidates"]
+    joined = profile.with_lists(facts, rows.join(facts.select("user_id"), "user_id", "left_semi"), quotes, lists)
     prompt = prompts.recommendation_prompt(
-        F.lit(count), F.col("login_streak"), F.col("total_logins"), F.col("account_age"),
-        F.col("favorite_categories"), F.col("favorite_quotes"), F.col("personalized_quotes"),
-        F.coalesce("candidates", none),
+        F.lit(count), F.col("login_streak"), F.col("total_logins"), F.col("account_age"), F.col("favorite_categories"),
+        *[F.col(name) for name in lists],
     )
     return joined.select("user_id", prompt.alias("prompt"))
 

@@ -219,11 +219,10 @@ def recommendation_prompt(m: Model) -> DataFrame:
     islands = series.streak_islands(m.ev, "user_id", "ts")
     logins = islands.groupBy("user_id").agg(F.max_by("days", "last_day").alias("login_streak"), F.sum("days").alias("total_logins"))
     active = m.users.join(logins, "user_id")
-    profiles = profile.user_profile(active, m.favorites, m.quotes, m.views, as_of())
-    profiles = profiles.withColumn("account_age", F.coalesce("account_age", F.lit(0)))
+    facts = profile.user_facts(active, m.views, as_of()).withColumn("account_age", F.coalesce("account_age", F.lit(0)))
     asked = recommend.candidate_lists(active, m.views, m.quotes, SEED, default_categories=DEFAULT_CATEGORIES,
                                       default_lang=DEFAULT_LANG)
-    prompts = recommend.recommendation_prompts(profiles, recommend.candidate_rows(asked), m.quotes, 5)
+    prompts = recommend.recommendation_prompts(facts, m.favorites, recommend.candidate_rows(asked), m.quotes, 5)
     return prompts.select("user_id", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
 
 

@@ -15,7 +15,7 @@ from tests.helpers import tuples
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 WRITES = ("stream_", "sink_", "stored_")
-IN_PYTHON = {"mask_json_deep", "breaker_fold", "breaker_status", "completion_udf"}
+IN_PYTHON = {"mask_json_deep", "breaker_fold", "breaker_status", "completion_udf", "text_search_english", "text_search_english_index", "validate_custom"}
 
 
 def plan_of(df, final=False):
@@ -133,6 +133,30 @@ def test_latency_of_a_hot_route(spark):
     assert (row.p50_ms, row.p95_ms, row.max_ms) == (2.7, pytest.approx(11.88), 12.9)
 
 
+def test_latency_of_any_spread(spark):
+    """Percentiles among times that lie close together and among those many powers of ten apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for times in (100 + rng.random(3000) * 1e-9, 10.0 ** rng.uniform(-300, 14, 3000), -(10.0 ** rng.uniform(-3, 3, 999)), np.zeros(5), np.array([7.5])):
+        rows = spark.createDataFrame([("a", float(t)) for t in times], "method string, response_ms double")
+        row = logs.latency(rows, ["method"]).first()
+        assert row.requests == len(times) and row.max_ms == times.max()
+        assert np.allclose([row.p50_ms, row.p95_ms], np.percentile(times, [50, 95]), rtol=1e-12, atol=0)
+
+
+@pytest.mark.parametrize("name", ["user_profile", "recommendation_prompt"])
+def test_quote_texts_are_read_once(spark, name):
+    plan = plan_of(QUERIES[name].run(Model(spark, DATA)))
+    assert len(re.findall(r"documents\.parquet[^\n]*ReadSchema: struct<[^\n]*\btext:string", plan)) == 1
+
+
+def test_log_text_is_parsed_once(spark):
+    """All figures come from one stored table of counts; nothing of the plan reads or parses the lines again."""
+    plan = plan_of(QUERIES["route_latency"].run(Model(spark, DATA)))
+    assert "events.parquet" not in plan and "regexp_extract" not in plan and "route-times" in plan
+
+
 def test_top_values_count_first(spark):
     hot = hot_favorites(spark)
     plan = plan_of(ranking.top_values(hot, "user_id", "quote_id", 3))
