@@ -134,35 +134,33 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", carry: list[str] = ["doc_id"]) -> DataFrame:
-    """``carry`` columns with ``lang_pred`` and ``score``, the probability of that language (evidence tempered)."""
+    """``carry`` columns with ``lang_pred`` and ``score``, the probability of that language (evidence tempered).
+
+    Only the text goes to Python, and nothing but the answer comes back.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.prior))
-    # A carried text travels once.
-    held = text if text in carry else "_text"
-    source = docs.select(*carry, *([] if held in carry else [F.col(text).alias(held)]))
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def predict(texts: pa.Array) -> pa.Array:
         languages, weights, prior = shipped.value
         names = np.array([*languages, UNKNOWN], object)
-        for batch in batches:
-            rows = batch.num_rows
-            best, score = np.full(rows, len(languages)), np.zeros(rows)
-            if languages:
-                for lo, hi, data, offsets in chunks(batch[held]):
-                    bucket, doc, letters = _grams(data, offsets)
-                    size = hi - lo
-                    sums = np.stack([np.bincount(doc, weights[:, k][bucket], size) for k in range(len(languages))], 1)
-                    n = np.bincount(doc, minlength=size)
-                    logs = sums * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None] + prior
-                    top = logs.argmax(1)
-                    odds = np.exp(logs - logs.max(1, keepdims=True))
-                    ok = letters > 0
-                    best[lo:hi] = np.where(ok, top, len(languages))
-                    score[lo:hi] = np.where(ok, odds.max(1) / odds.sum(1), 0.0)
-            kept = [batch[c] for c in carry]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names[best], pa.string()), pa.array(score)], [*carry, "lang_pred", "score"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in carry)
-    return source.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+        best, score = np.full(len(texts), len(languages)), np.zeros(len(texts))
+        if languages:
+            for lo, hi, data, offsets in chunks(texts):
+                bucket, doc, letters = _grams(data, offsets)
+                size = hi - lo
+                sums = np.stack([np.bincount(doc, weights[:, k][bucket], size) for k in range(len(languages))], 1)
+                n = np.bincount(doc, minlength=size)
+                logs = sums * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None] + prior
+                top = logs.argmax(1)
+                odds = np.exp(logs - logs.max(1, keepdims=True))
+                ok = letters > 0
+                best[lo:hi] = np.where(ok, top, len(languages))
+                score[lo:hi] = np.where(ok, odds.max(1) / odds.sum(1), 0.0)
+        return pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang_pred", "score"])
+
+    judged = docs.select(*carry, predict(F.col(text)).alias("_judged"))
+    return judged.select(*carry, F.col("_judged.lang_pred").alias("lang_pred"), F.col("_judged.score").alias("score"))
 
 
 def identify_corpus(docs: DataFrame) -> DataFrame:

@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aphora.llm.tables import numbered, part_count, stored
+from aphora.llm.textmath import release
 
 WINDOW = 4096
 END = 2
 MAX_SLACK = 16
-#: Words in one generation of a worker's table of encoded words.
-KNOWN_WORDS = 300_000
+#: Characters of encoded words, and of pieces of words, that a worker remembers in one generation of its two tables: at some
+#: 30 bytes a character, about 60 MB in all.
+KNOWN_CHARACTERS = 500_000
 #: Largest number of cut documents whose numbers (eight bytes each) are sent to every executor.
 BROADCAST_ROWS = 200_000
 
@@ -59,21 +61,23 @@ class Known(dict):
 
     def __init__(self, work, size: int) -> None:
         super().__init__()
-        self.work, self.size, self.older = work, size, {}
+        self.work, self.size, self.held, self.older = work, size, 0, {}
 
     def __missing__(self, key):
-        if len(self) >= self.size:
+        if self.held >= self.size:
             self.older = dict(self)
             self.clear()
+            self.held = 0
         found = self.older.get(key)
         out = self[key] = self.work(key) if found is None else found
+        self.held += len(key)
         return out
 
 
 class Encoder:
     """Texts -> their token ids as little-endian 32-bit numbers; words and pieces of words are remembered."""
 
-    def __init__(self, definition: str, known: int = KNOWN_WORDS) -> None:
+    def __init__(self, definition: str, known: int = KNOWN_CHARACTERS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -233,6 +237,7 @@ def _sizes(docs: DataFrame, definition, window: int, end: int) -> DataFrame:
                 sizes.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[a : a + step]) for a in range(0, len(ids), step)])
             yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["row", "doc_id", "n", "crcs"])
+            release()
 
     return docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(
         encode, "row bigint, doc_id bigint, n bigint, crcs array<bigint>")

@@ -15,10 +15,15 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows written below the shared folder and read from there: later steps do not depend on lost executors."""
+    """The rows written below the shared folder and read from there: later steps do not depend on lost executors.
+
+    Spark removes the shuffle files of a finished step when the driver collects garbage. A driver that only starts jobs makes
+    little of it and would keep the files of all steps, so it is asked to.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,8 @@ hash of any run costs the same, whatever its length, and equal runs have equal h
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,17 +45,19 @@ def seeded(n: int, seed: int) -> np.ndarray:
 
 _BYTES = seeded(256, 7)
 _POWERS: dict[int, np.ndarray] = {}
+#: Powers that are kept; longer rows of them, for longer texts, are made anew each time.
+_KEPT_POWERS = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64, kept for the next call."""
+    """base**0 .. base**n modulo 2**64, some of them kept for the next call."""
     known = _POWERS.get(base)
     if known is None or len(known) <= n:
-        size = max(n + 1, 1 << 16)
-        known = np.full(size, base, np.uint64)
+        known = np.full(max(n + 1, 1 << 16), base, np.uint64)
         known[0] = 1
         np.cumprod(known, out=known)
-        _POWERS[base] = known
+        if len(known) <= _KEPT_POWERS:
+            _POWERS[base] = known
     return known
 
 
@@ -122,6 +126,16 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         at = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + hi - lo + 1]
         yield lo, hi, data[at[0] : at[-1]], at - at[0]
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task, and would keep what it once used."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim is not None:
+            trim(0)
 
 
 def word_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
