@@ -11,13 +11,14 @@ from aphora.llm.tables import stored
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Tables of their own, so that the joins may split a node with very many neighbours.
+    low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them. Every edge has u > v here."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "lowest")
     near = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.union(low.select("u", F.col("m").alias("v")))
 
@@ -33,7 +34,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if _settled(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        now = stored(_small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct(), "edges")
+        large = stored(_large_star(now).where("u <> v").distinct(), "edges")
+        now = stored(_small_star(large).where("u <> v").distinct(), "edges")
     raise RuntimeError("components did not settle")
 
 

@@ -12,8 +12,10 @@ each document meets the smallest one, not all others; candidates are checked on
 found are merged to components. Buckets that still hold several components then go on, with another document in the
 middle, and at last with every remaining pair of different components: pairs inside a component can add nothing. So a
 group of n copies costs about n checks. Before texts are fetched, and inside the join that makes the last pairs, a sketch
-(four bits of every coordinate) leaves out pairs that agree so rarely that a link at the threshold would do so with a
-probability of at most ``LOSS`` (the bands lose about one such link in 55,000), and above it more rarely still.
+(some bits of every coordinate) leaves out pairs that agree so rarely that a link at the threshold would do so with a
+probability of at most ``LOSS`` (the bands lose about one such link in 55,000), and above it more rarely still. For the last
+pairs the documents left in open buckets get sketches four times as long: those leave out pairs below 0.745, the first ones
+below 0.705.
 
 Texts without words (empty, blank) have no shingles: they join only the texts equal to them. Null texts stand alone. What is
 signed, linked and merged are rows, named by a hash of id and text, so texts that share an id, or have none, are all
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from aphora.llm.components import components
 from aphora.llm.tables import stored
-from aphora.llm.textmath import U, Words, mix, ragged, word_chunks
+from aphora.llm.textmath import CHUNK_BYTES, U, Words, mix, ragged, word_chunks
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -41,6 +43,10 @@ BANDS = 36
 ROWS = 6
 #: Coordinates of a signature, a power of two up to 2048. The first BANDS x ROWS make the bands, all make the sketch.
 COORDINATES = 512
+#: Bits of each coordinate in a sketch.
+BITS = 4
+#: Coordinates and bits of the longer sketches of documents in buckets that stay open to the end.
+LONG, LONG_BITS = 2048, 2
 #: Further documents in the middle of an unsettled bucket before its remaining pairs are listed.
 MIDDLES = 1
 #: A pair is left out if its sketches agree so rarely that a link's would with at most this probability.
@@ -105,21 +111,22 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, do
 
 
 def signatures(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bands: int = BANDS, rows: int = ROWS,
-               shingle: int = SHINGLE) -> DataFrame:
-    """(id, bands, sketch): one hash per band of the signature, four bits per coordinate. Documents without words are left out."""
+               shingle: int = SHINGLE, coordinates: int = COORDINATES, bits: int = BITS) -> DataFrame:
+    """(id, bands, sketch): one hash per band of the signature, some bits per coordinate. Documents without words are left out."""
+    limit = CHUNK_BYTES * COORDINATES // coordinates
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, words in word_chunks(batch["text"]):
+            for lo, hi, words in word_chunks(batch["text"], limit):
                 doc, element, _ = shingle_sets(words, shingle)
                 full = np.flatnonzero(np.bincount(doc, minlength=hi - lo))
                 dense = np.searchsorted(full, doc)
-                drawn = dart_signatures(dense, element, np.ones(len(doc)), len(full), COORDINATES)
+                drawn = dart_signatures(dense, element, np.ones(len(doc)), len(full), coordinates)
                 keys = np.zeros((len(full), bands), np.uint64)
                 for r in range(rows):
                     keys = mix(keys ^ drawn[:, r : bands * rows : rows])
                 keys = mix(keys + np.arange(bands, dtype=np.uint64))
-                sketch = _sketch(drawn)
+                sketch = _sketch(drawn, bits)
                 yield pa.RecordBatch.from_arrays(
                     [batch["id"].slice(lo, hi - lo).take(pa.array(full)),
                      pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel().view(np.int64)),
@@ -129,31 +136,32 @@ def signatures(docs: DataFrame, text: str = "text", id_col: str = "doc_id", band
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(sign, "id bigint, bands array<bigint>, sketch array<bigint>")
 
 
-def _sketch(drawn: np.ndarray) -> np.ndarray:
-    """Four bits of every coordinate, sixteen coordinates to a number."""
-    shift = np.arange(16, dtype=np.uint64) * U(4)
-    return np.bitwise_or.reduce((mix(drawn) >> U(60)).reshape(len(drawn), -1, 16) << shift, axis=2)
+def _sketch(drawn: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Some bits of every coordinate, as many coordinates to a number as it holds."""
+    shift = np.arange(0, 64, bits, dtype=np.uint64)
+    return np.bitwise_or.reduce((mix(drawn) >> U(64 - bits)).reshape(len(drawn), -1, 64 // bits) << shift, axis=2)
 
 
 def _least_agreeing(k: int, chance: float, loss: float) -> int:
     """The largest number t for which fewer than t of k coordinates agree with at most the probability ``loss``."""
     below = 0.0
     for t in range(k + 1):
-        below += math.comb(k, t) * chance**t * (1 - chance) ** (k - t)
+        ways = math.lgamma(k + 1) - math.lgamma(t + 1) - math.lgamma(k - t + 1)
+        below += math.exp(ways + t * math.log(chance) + (k - t) * math.log1p(-chance))
         if below > loss:
             return t
     return k
 
 
-def _likely(a: str, b: str, similarity: float) -> Column:
-    """Whether two sketches agree often enough for documents of at least this similarity."""
-    k, differ = COORDINATES, F.lit(0)
-    for i in range(COORDINATES // 16):
+def _likely(a: str, b: str, similarity: float, k: int = COORDINATES, bits: int = BITS) -> Column:
+    """Whether two sketches of k coordinates agree often enough for documents of at least this similarity."""
+    differ, lowest = F.lit(0), sum(1 << at for at in range(0, 64, bits))
+    for i in range(k * bits // 64):
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return F.lit(k) - differ >= _least_agreeing(k, similarity + (1 - similarity) / 16, LOSS)
+        for shift in range(bits.bit_length() - 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, 1 << shift))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(lowest)))
+    return F.lit(k) - differ >= _least_agreeing(k, similarity + (1 - similarity) / (1 << bits), LOSS)
 
 
 def _jaccard(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -184,11 +192,17 @@ def _jaccard(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return pairs.select("u", "v", "tu", "tv").mapInArrow(check, "u bigint, v bigint")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(id): what stands in any pair. Each side is reduced on its own first."""
+    return pairs.select(F.col("u").alias("id")).distinct().union(pairs.select("v").distinct()).distinct()
+
+
 def equal_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, copy_of): the smallest id among documents of the same text. Null texts are left out; repeated rows merge."""
     keyed = docs.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("key"))
-    first = keyed.groupBy("key").agg(F.min("id").alias("copy_of"))
+    # A table of its own, so that the join may split a text that very many rows share.
+    first = stored(keyed.groupBy("key").agg(F.min("id").alias("copy_of")), "first-copies")
     return keyed.join(first, "key").groupBy("id").agg(F.min("copy_of").alias("copy_of"))
 
 
@@ -234,12 +248,15 @@ def row_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sim
     sketches = signed.select("id", "sketch")
 
     def sketched(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(sketches.toDF("u", "a"), "u").join(sketches.toDF("v", "b"), "v")
+        pairs = stored(pairs.distinct(), "likely")
+        used = stored(_ends(pairs), "used")
+        some = stored(sketches.join(used, "id", "left_semi"), "sketches")
+        both = pairs.join(some.toDF("u", "a"), "u").join(some.toDF("v", "b"), "v")
         return both.where(_likely("a", "b", similarity)).select("u", "v")
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "pairs")
-        used = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        used = _ends(pairs)
         texts = stored(source.join(used, "id", "left_semi").where("text is not null").dropDuplicates(["id"]), "pair-texts")
         one, two = texts.toDF("u", "tu"), texts.toDF("v", "tv")
         return stored(_jaccard(pairs.join(one, "u").join(two, "v"), shingle, similarity), "links")
@@ -257,13 +274,17 @@ def row_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sim
         if turn < MIDDLES:
             pairs = sketched(rest.where("root <> middle.root").select(F.least("id", "middle.id").alias("u"), F.greatest("id", "middle.id").alias("v")))
         else:
-            rest = stored(rest.drop("middle").join(signed, "id"), "open")
-            other = rest.select(*[F.col(c).alias(f"{c}2") for c in rest.columns])
-            same = (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2"))
-            apart = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & _likely("sketch", "sketch2", similarity)
+            # Only these documents are signed again, at length.
+            held = stored(rest.drop("middle"), "open-rows")
+            ids = stored(held.select("id").distinct(), "open-ids")
+            long = signatures(source.join(ids, "id", "left_semi"), "text", "id", bands, rows, shingle, LONG, LONG_BITS).select("id", "sketch").dropDuplicates(["id"])
+            rest = stored(held.join(signed.select("id", "bands").join(ids, "id", "left_semi").join(long, "id"), "id"), "open")
+            one, two = rest.alias("one"), rest.alias("two")
+            same = (F.col("one.band") == F.col("two.band")) & (F.col("one.key") == F.col("two.key"))
+            apart = (F.col("one.id") < F.col("two.id")) & (F.col("one.root") != F.col("two.root")) & _likely("one.sketch", "two.sketch", similarity, LONG, LONG_BITS)
             # A pair is made in the first of the bands that it shares; the bucket there is open too.
-            first = F.array_position(F.zip_with("bands", "bands2", lambda a, b: a == b), True) == F.col("band") + 1
-            pairs = rest.join(other, same & apart & first).select(F.col("id").alias("u"), F.col("id2").alias("v"))
+            first = F.array_position(F.zip_with("one.bands", "two.bands", lambda a, b: a == b), True) == F.col("one.band") + 1
+            pairs = one.join(two, same & apart & first).select(F.col("one.id").alias("u"), F.col("two.id").alias("v"))
         new = links(pairs)
         if not new.isEmpty():
             found = components(found.toDF("u", "v").unionByName(new))
