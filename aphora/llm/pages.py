@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +60,8 @@ _NOT_MAIN_WORDS = frozenset(
     "sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 #: Words of a class after which others say what an element has or how it is laid out.
 _STATES = frozenset("no not has have is with without layout hide show".split())
+#: Words at the end of a name that say where or how large an element is; the word before them says what it is.
+_PLACES = frozenset("left right top bottom upper lower area bar block box container content div holder inner item items link links list outer panel region section wrap wrapper zone".split())
 _NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 
@@ -68,8 +71,9 @@ HARD, WHOLE, PART = 1, 2, 3
 def _not_main(attrs: str) -> int:
     """How attributes mark an element as something besides the main text, 0 if not at all.
 
-    ``HARD`` by role or visibility; ``WHOLE`` by a class or id that is such a word; ``PART`` by a word within one. A word
-    counts only as what the element is, not after a word that says what it has or how it is laid out.
+    ``HARD`` by role or visibility; ``WHOLE`` by a class or id that is such a word; ``PART`` by one that ends in it, words of
+    place aside, as ``main-menu`` and ``sidebar-right`` do. So a word counts only as what the element is: neither a
+    ``cookie-recipe`` is meant nor, after a word that says what it has or how it is laid out, a ``no-sidebar``.
     """
     out = 0
     for name, value in _ATTR.findall(attrs):
@@ -79,11 +83,11 @@ def _not_main(attrs: str) -> int:
                 if token in _NOT_MAIN_WORDS:
                     out = WHOLE
                     continue
-                for word in _SPLIT.split(token):
-                    if word in _STATES:
-                        break
-                    if word in _NOT_MAIN_WORDS:
-                        out = out or PART
+                words = [w for w in _SPLIT.split(token) if w]
+                while len(words) > 1 and (words[-1] in _PLACES or words[-1].isdigit()):
+                    words.pop()
+                if words and words[-1] in _NOT_MAIN_WORDS and not _STATES.intersection(words):
+                    out = out or PART
         elif name == "role":
             if value in _NOT_MAIN_ROLES:
                 return HARD
@@ -106,12 +110,20 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack, names, raw = [0], ["#"], None
+        opened: Counter = Counter()  # open elements by tag, so that no search is made for one that is not there
 
         def close(depth: int) -> None:
-            for at in stack[depth:]:
+            for at, name in zip(stack[depth:], names[depth:]):
                 self.last[at] = len(self.tags)
+                opened[name] -= 1
             del stack[depth:], names[depth:]
 
+        def close_last(tag: str) -> None:
+            depth = len(names) - 1
+            while names[depth] != tag:
+                depth -= 1
+            close(depth)
+
         for m in _TOKEN.finditer(source):
             tag = m["tag"]
             if tag is None:
@@ -127,17 +139,17 @@ class Page:
                     close(len(stack) - 1)
                 continue
             if m["end"]:
-                if tag in names:
-                    close(len(names) - 1 - names[::-1].index(tag))
+                if opened[tag]:
+                    close_last(tag)
                 elif tag == "br":
                     self.runs.append((stack[-1], len(self.tags), " "))
                 continue
-            if tag in _ENDS_P and "p" in names:
-                close(len(names) - 1 - names[::-1].index("p"))
+            if tag in _ENDS_P and opened["p"]:
+                close_last("p")
             if tag in _ENDS:
                 ends, borders = _ENDS[tag]
                 depth = len(names)
-                while depth > 1 and names[depth - 1] not in borders:
+                while depth > 1 and names[depth - 1] not in borders and any(opened[t] for t in ends if t != "p"):
                     depth -= 1
                     if names[depth] in ends and names[depth] != "p":
                         close(depth)
@@ -156,6 +168,7 @@ class Page:
                 continue
             stack.append(at)
             names.append(tag)
+            opened[tag] += 1
             if tag in _RAW:
                 raw = tag
         close(0)
@@ -194,7 +207,8 @@ class Page:
 
         The first entry, that of the page, is always set: pages of one hash are copies.
         """
-        own: list[list] = [[t] for t in self.tags]
+        own: list[list[str]] = [[t] for t in self.tags]
+        inner: list[list[int]] = [[] for _ in self.tags]  # digests of children, the last one first
         for element, _, text in self.runs:
             text = _BLANKS.sub(" ", text).strip()
             if text:
@@ -205,14 +219,14 @@ class Page:
             if self.dropped[at]:
                 continue
             parent = self.parents[at]
-            has_text = filled[at] or len(own[at]) > 1 and any(isinstance(x, str) for x in own[at][1:])
-            self.digests[at] = digest = _digest(own[at])
-            own[parent].insert(1, digest)
+            has_text = filled[at] or len(own[at]) > 1
+            self.digests[at] = digest = _digest([own[at][0], *reversed(inner[at]), *own[at][1:]])
+            inner[parent].append(digest)
             if has_text:
                 filled[parent] = True
                 if self.tags[at] not in _INLINE:
                     out[at] = digest
-        self.digests[0] = out[0] = _digest(own[0])
+        self.digests[0] = out[0] = _digest([own[0][0], *reversed(inner[0]), *own[0][1:]])
         return out
 
     def kept(self) -> list[bool]:

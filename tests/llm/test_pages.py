@@ -119,3 +119,24 @@ def test_large_hosts_are_judged_by_pages_too(spark):
     found = [(False, 0, i) for i in range(13_000)] + [(False, 5, i) for i in range(120)] + [(False, 6, i) for i in range(90)] + [(False, 7, 1)] * 500
     frame = spark.createDataFrame([(i, "h", *r) for i, r in enumerate(found)], "row bigint, host string, inside boolean, hash bigint, around bigint")
     assert [(r["hash"], r["sure"]) for r in pages.templates(frame).collect()] == [(5, False)]
+
+
+@pytest.mark.parametrize("name,kept", [
+    ("cookie-recipe", True), ("related-work", True), ("share-prices", True), ("notice-period", True), ("menu-of-the-day", True), ("no-footer", True),
+    ("main-menu", False), ("menu-bar", False), ("comments-area", False), ("sidebar-right", False), ("footer2", False), ("share", False), ("site_nav_links", False),
+])
+def test_names_count_by_what_the_element_is(name, kept):
+    want = "Long enough a text.\n\nin question" if kept else "Long enough a text."
+    assert text(f"<article><p>Long enough a text.</p><p class='{name}'>in question</p></article>") == want
+    assert text(f"<div>Long enough a text.</div><div id='x' class='y {name}'>in question</div>") == want
+
+
+@pytest.mark.parametrize("source", ["<div>" * 100_000 + "<p>x" * 2000, "<ul>" + "<li>x" * 100_000, "<div>" * 50_000 + "<li>y" * 20_000, "<p>x</p>" * 100_000, "<b>" * 50_000 + "</i>" * 50_000])
+def test_pages_are_read_in_linear_time(source):
+    import time
+
+    start = time.time()
+    page = Page(source)
+    page.hashes()
+    page.text(NONE, NONE)
+    assert time.time() - start < 10
