@@ -35,8 +35,8 @@ WINDOW = 4096
 END = 2
 MAX_SLACK = 16
 #: Characters of encoded words, and of pieces of words, that a worker remembers in one generation of its two tables: at some
-#: 30 bytes a character, about 60 MB in all.
-KNOWN_CHARACTERS = 500_000
+#: 30 bytes a character, at most 150 MB in all.
+KNOWN_CHARACTERS = 1_200_000
 #: Largest number of cut documents whose numbers (eight bytes each) are sent to every executor.
 BROADCAST_ROWS = 200_000
 
