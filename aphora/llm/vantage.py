@@ -6,7 +6,8 @@ Searching: blocks of queries visit every shard. At a node the side nearer to the
 left out if the triangle inequality puts it beyond the worst of the neighbours found: ``factor * bound > worst``. Factor
 one restores exact search; larger factors prune more and may miss neighbours. The best of all shards are merged.
 
-Distances are Euclidean, in double precision, between the vectors as they are. Vectors that are null, empty or zero, or hold
+Distances are Euclidean, in double precision, between the vectors as they are; huge and tiny ones are scaled by a power of two
+meanwhile, so that no square overflows. Vectors that are null, empty or zero, or hold
 null or non-finite components, take no part; vectors of different lengths never meet. Rows with the same id are one vector
 (the smallest of them, if they differ); a query does not find its own id. Ties go to the smaller id. With fewer
 candidates than ``k`` all are returned; an empty table gives an empty result.
@@ -14,6 +15,7 @@ candidates than ``k`` all are returned; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,5 +165,16 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1
 
 def search_table(vectors: DataFrame, every: int = 100, k: int = 10, factor: float = 1.0) -> DataFrame:
     """The neighbours of every vector whose id is divisible by ``every``, among all others."""
-    rows = stored(usable(vectors), "vectors")
-    return nearest(build(rows), rows.where(F.col("vec_id") % every == 0), k, factor)
+    rows = usable(vectors)
+    largest = rows.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0]
+    scale = _scale(largest)
+    rows = stored(rows.withColumn("vector", F.transform("vector", lambda x: x * scale)) if scale != 1 else rows, "vectors")
+    found = nearest(build(rows), rows.where(F.col("vec_id") % every == 0), k, factor)
+    return found.withColumn("score", F.col("score") / scale) if scale != 1 else found
+
+
+def _scale(largest: float | None) -> float:
+    """A power of two that brings vectors whose squares would overflow, or vanish, near one; it changes no digit of them."""
+    if not largest or 1e-100 < largest < 1e150:
+        return 1.0
+    return 2.0 ** -max(-1000, math.frexp(largest)[1])

@@ -71,3 +71,16 @@ def test_shape_of_the_tree():
     assert sorted(tree["order"].tolist()) == list(range(500))
     _, names = vantage.search(x, np.arange(500), tree, x[:3], np.arange(3), 4, 1.0)
     assert names.tolist() == [[1, 2, 3, 4], [0, 2, 3, 4], [0, 1, 3, 4]]
+
+
+@pytest.mark.parametrize("factor", [2.0**600, 2.0**-520, 1e200])
+def test_huge_and_tiny_vectors(spark, factor):
+    """Vectors whose squares overflow or vanish are found as those of common size are."""
+    rows = [r for r in table() if r[0] is not None][:80]
+    scaled = [(i, None if v is None else [None if x is None else x * factor for x in v], *rest) for i, v, *rest in rows]
+    double = SCHEMA.replace("float", "double")
+    plain = {(r["query_id"], r["rank"]): r for r in vantage.search_table(spark.createDataFrame(rows, double), every=20).collect()}
+    got = vantage.search_table(spark.createDataFrame(scaled, double), every=20).collect()
+    assert len(got) == len(plain) > 0
+    for r in got:
+        assert np.isclose(r["score"], plain[r["query_id"], r["rank"]]["score"] * factor, rtol=1e-12, atol=0)
