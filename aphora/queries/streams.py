@@ -188,6 +188,24 @@ def sink_export(m: Model) -> DataFrame:
     return m.spark.read.schema("quote_id bigint, text string, category string, lang string, score int").json(folder)
 
 
+@query("sink_json_arrays", "SELECT text, category, lang, date_trunc('millisecond', created_at) AS created_at FROM quotes")
+def sink_json_arrays(m: Model) -> DataFrame:
+    """Quotes kept in commented files of at most a thousand each, read back with their time in milliseconds."""
+    folder = f"{shared_dir(m.spark, 'files')}/quotes"
+    at = F.unix_millis(F.col("created_at").cast("timestamp")).alias("createdAt")
+    sinks.array_files(m.quotes.select("text", "category", "lang", at, "quote_id"), folder, F.floor(F.col("quote_id") / 1000), "quotes, block")
+    return tables.generated_quotes(m.spark, folder).select("text", "category", "lang", *_local("created_at"))
+
+
+@query("sink_categories", "SELECT category AS id, upper(category) AS name, bool_or(premium) AS premium FROM quotes GROUP BY category")
+def sink_categories(m: Model) -> DataFrame:
+    """The categories in use, kept in one commented file per initial, read back."""
+    folder = f"{shared_dir(m.spark, 'files')}/categories"
+    used = m.quotes.groupBy(F.col("category").alias("id")).agg(F.upper(F.first("category")).alias("name"), F.max("premium").alias("premium"))
+    sinks.array_files(used, folder, F.left("id", F.lit(1)), "categories")
+    return tables.category_file(m.spark, folder).select("id", "name", "premium")
+
+
 @query("sink_generated", "SELECT item_id AS quote_id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents")
 def sink_generated(m: Model) -> DataFrame:
     """A batch appended to an existing table."""

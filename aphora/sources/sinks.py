@@ -54,6 +54,17 @@ def export(df: DataFrame, path: str, fmt: str = "json", **options: str) -> None:
     df.write.mode("errorifexists").format(fmt).options(**options).save(path)
 
 
+def array_files(df: DataFrame, path: str, block: Column, note: str) -> None:
+    """Files of JSON arrays with a comment at the top, one per block, as the catalogue's files are kept by hand.
+
+    A file is put together in one row, so ``block`` must bound the rows that share it.
+    """
+    rows = df.select(block.alias("block"), F.to_json(F.struct(*df.columns)).alias("row"))
+    lines = rows.groupBy("block").agg(F.array_join(F.sort_array(F.collect_list("row")), ",\n  ").alias("rows"))
+    text = F.concat(F.lit(f"// {note} "), F.col("block").cast("string"), F.lit("\n[\n  "), F.col("rows"), F.lit("\n  // end\n]\n"))
+    lines.select("block", text.alias("value")).write.partitionBy("block").text(path)
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written to the shared folder and read from there: what is needed several times is worked out once."""
     path = shared_dir(df.sparkSession, purpose)
