@@ -128,9 +128,15 @@ def mask_json_text(c: Column, fields: list[str] = SENSITIVE, parity: bool = Fals
     """
     key = _key(_names(fields, parity))
     plain = F.regexp_replace(c, rf"({key})(?:{_TEXT}|[^\s\"{{\[,}}\]][^,}}\]]*+)", rf'$1"{MASK}"')
-    masked = F.when(plain.rlike(rf"{key}[\[{{]"), _hide_nested(plain, key)).otherwise(plain)
-    unended = masked.rlike(rf'{key}"(?!\*{{{len(MASK)}}}")')
-    return F.when(c.isNotNull(), F.when(masked.isNull() | unended, F.lit(f'{{"masked":"{MASK}"}}')).otherwise(masked))
+    masked = _once(plain, lambda p: F.when(p.rlike(rf"{key}[\[{{]"), _hide_nested(p, key)).otherwise(p))
+    unended = rf'{key}"(?!\*{{{len(MASK)}}}")'
+    shown = _once(masked, lambda m: F.when(m.isNull() | m.rlike(unended), F.lit(f'{{"masked":"{MASK}"}}')).otherwise(m))
+    return F.when(c.isNotNull(), shown)
+
+
+def _once(value: Column, use) -> Column:
+    """What ``use`` makes of a value that is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def mask_json_deep(fields: list[str] = SENSITIVE, parity: bool = False):
