@@ -88,7 +88,7 @@ QUERIES: dict[str, Query] = {
     "op7_lm_scoring": Query(op7),
     "op8_quality": Query(op8),
     "op9_language_id": Query(op9),
-    "op10_vantage_search": Query(op10),
+    "op10_vantage_search": Query(op10, vantage.SQL),
     "op11_sentencepiece": Query(op11),
     "op12_source_divergence": Query(op12, divergence.SQL),
     "op13_spelling_variants": Query(op13),

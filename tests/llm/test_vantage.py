@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from aphora.llm import vantage
+from aphora.llm import queries, vantage
+from tests.conftest import DATA
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int"
 
@@ -84,3 +87,50 @@ def test_huge_and_tiny_vectors(spark, factor):
     assert len(got) == len(plain) > 0
     for r in got:
         assert np.isclose(r["score"], plain[r["query_id"], r["rank"]]["score"] * factor, rtol=1e-12, atol=0)
+
+
+def test_far_cells_are_not_visited(spark):
+    """Vectors in tight groups: a query's second round meets few of the other cells, and nothing is lost."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in 50.0 * np.eye(16)[i % 16] + rng.normal(size=16)], 0) for i in range(4000)]
+    vectors = vantage.usable(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).cache()
+    index, asked = vantage.build(vectors, 50), vectors.where("vec_id % 100 = 0").cache()
+    own = vantage.own_cells(index, asked)
+    found = vantage._best(vantage.visit(index, own, 10, 1.0, 1024), 10)
+    visits = vantage.other_cells(index, own, found, 10, 1.0).agg(F.sum(F.size("cells"))).first()[0] or 0
+    cells = index.shards.select("cell").distinct().count()
+    assert cells > 60 and visits < 0.25 * 40 * cells
+    got = vantage.nearest(index, asked, 10, 1.0)
+    want = [(q, r, i, d) for q, r, i, d in brute_double(rows, 100, 10)]
+    check(sorted(tuple(r) for r in got.collect()), want)
+
+
+def brute_double(rows, every, k):
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    out = []
+    for q in range(0, len(rows), every):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        near = [j for j in np.lexsort((ids, d)) if j != q][:k]
+        out += [(int(ids[q]), r + 1, int(ids[j]), float(d[j])) for r, j in enumerate(near)]
+    return sorted(out)
+
+
+def test_hot_cell_is_split(spark):
+    """A third of all vectors are equal: their cell has several shards of bounded size."""
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else [float(i % 17), float(i % 13), 1.0 + i % 5], 0) for i in range(3000)]
+    vectors = vantage.usable(spark.createDataFrame(rows, SCHEMA)).cache()
+    index = vantage.build(vectors, 100)
+    sizes = [len(r["ids"]) // 8 for r in index.shards.select("ids").collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 200
+    got = vantage.nearest(index, vectors.where("vec_id % 60 = 0"), 10, 1.0, 7)
+    check(sorted(tuple(r) for r in got.collect()), brute(rows, 60, 10))
+
+
+def test_statement(spark):
+    """The query and its statement agree to the last bit on the given table."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
+    got = queries.QUERIES["op10_vantage_search"].run(spark, DATA).toPandas()
+    want = con.execute(queries.QUERIES["op10_vantage_search"].sql).df()
+    assert list(got.columns) == list(want.columns) and len(got) > 0
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, want.to_numpy().tolist()))
