@@ -9,8 +9,8 @@ that would reach beyond the document are dropped (length bound); the rest are ve
 Everything is a DataFrame expression. The windows' table is broadcast only if its measured size is small; a larger one is
 joined by shuffling the document tokens, and candidates fetch their document's words afterwards.
 
-Null or wordless texts have no words; items without words or id match nothing. Repeated documents are each returned,
-repeated items count once.
+Null or wordless texts have no words; items without words match nothing. An item without an id hits as any other does, but is not
+listed: ``n_items`` counts item ids. Repeated documents are each returned, repeated items count once.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def words_of(text: Column) -> Column:
 
 def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
     """(item_id, gram, words): every distinct window of every item."""
-    worded = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).where("size(words) > 0")
+    worded = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).where("size(words) > 0")
     size = F.least(F.lit(width), F.size("words"))
     starts = worded.select("item_id", "words", size.alias("size"), F.explode(F.sequence(F.lit(1), F.size("words") - size + 1)).alias("at"))
     grams = starts.select("item_id", F.slice("words", F.col("at"), F.col("size")).alias("words"))
@@ -76,8 +76,8 @@ def _found(docs: DataFrame, anchors: DataFrame, tokens: DataFrame, small: bool)
     return base.unionByName(met.join(worded.withColumn("n", F.size("words")), "row").where(verified).select(*found))
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs`` (``row`` names id and text)."""
+def _hits(docs: DataFrame, items: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, n) of every document, copies included; (row, n_hit, items) of the contaminated texts, each once, stored."""
     windows = stored(item_windows(items, width), "windows")
     size = windows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.array_join("words", " "))).alias("bytes")).first()
     small = size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
@@ -85,27 +85,30 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     tokens = _tokens(docs.select("doc_id", "text"))
     anchors = stored(_anchors(grams, tokens, small), "anchors")
     found = stored(_found(docs, anchors, tokens, small), "found")
-    copies = found.where("gram is null").groupBy("row", "doc_id", F.col("n").alias("n_words")).agg(F.count(F.lit(1)).alias("copies"))
     merge = F.aggregate(
         F.array_sort("spans"), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
         lambda acc, x: F.struct((acc["sum"] + F.greatest(F.lit(0), x["stop"] - F.greatest(acc["end"], x["start"]))).alias("sum"), F.greatest(acc["end"], x["stop"]).alias("end")),
         lambda acc: acc["sum"])
-    hits = found.where("gram is not null")
-    spans = hits.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).select("row", merge.cast("long").alias("n_hit"))
-    names = hits.select("row", "gram").distinct().join(windows.select("item_id", "gram"), "gram").groupBy("row").agg(F.collect_set("item_id").alias("items"))
+    met = found.where("gram is not null")
+    spans = met.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).select("row", merge.cast("long").alias("n_hit"))
+    names = met.select("row", "gram").distinct().join(windows.select("item_id", "gram"), "gram").groupBy("row").agg(F.collect_set("item_id").alias("items"))
+    return found.where("gram is null").select("row", "doc_id", "n"), stored(spans.join(names, "row"), "hits")
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs`` (``row`` names id and text)."""
+    rows, hits = _hits(docs, items, width)
     listed = F.coalesce("items", F.array().cast("array<string>"))
-    return (
-        copies.join(spans.join(names, "row"), "row", "left")
-        .withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-        .select("row", "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-                F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(listed), ",").cast("binary"), 256).alias("items_sha256"))
-        .withColumn("contaminated", F.col("n_hit") > 0)
-    )
+    # The hits are a stored table with one row per text, so a text that many rows share does not hold up the join.
+    return rows.join(hits, "row", "left").select(
+        "row", "doc_id", F.col("n").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(listed), ",").cast("binary"), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without any window of a benchmark item, all columns as they were."""
-    dirty = contamination(docs, items, width).where("contaminated").select(F.col("row").alias("_row")).distinct()
+    dirty = _hits(docs, items, width)[1].select(F.col("row").alias("_row"))
     return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(dirty, "_row", "left_anti").select(*docs.columns)
 
 
@@ -115,7 +118,7 @@ WITH d AS (
   FROM documents),
 b AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 g AS (
   SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') AS gram
   FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM b WHERE len(w) > 0)),
@@ -125,7 +128,7 @@ t AS (
   FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, sizes WHERE len(w) >= size)),
 h AS (SELECT doc_id, p, size, item FROM t JOIN g USING (size, gram)),
 n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS q FROM h) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+i AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)

@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import duckdb
+import pandas as pd
 import pytest
 
 from aphora.llm import leaks
@@ -18,7 +20,7 @@ def words(text):
 
 def items():
     texts = corpus()
-    rows = [(1, texts[0][1] and " ".join(texts[0][1].split()[3:40])), (2, "the, OF! the"), (3, ""), (4, None), (None, "ka kan"), (5, "never seen anywhere"),
+    rows = [(1, texts[0][1] and " ".join(texts[0][1].split()[3:40])), (2, "the, OF! the"), (3, ""), (4, None), (None, "ka kan"), (None, corpus()[20][1]), (5, "never seen anywhere"),
             (10, texts[8][1]), (10, texts[8][1]), (11, " ".join((texts[16][1] or "").split()[:12]))]
     return rows
 
@@ -28,15 +30,14 @@ def brute(rows, bench):
     for item, text in bench:
         w = words(text)
         n = min(10, len(w))
-        if n and item is not None:
-            for i in range(len(w) - n + 1):
-                grams.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+        for i in range(len(w) - n + 1 if n else 0):
+            grams.setdefault(tuple(w[i : i + n]), set()).update([] if item is None else [str(item)])
     out = []
     for doc, text, *_ in rows:
         w, hit, found = words(text), set(), set()
         for n in {len(g) for g in grams}:
             for i in range(len(w) - n + 1):
-                if names := grams.get(tuple(w[i : i + n])):
+                if (names := grams.get(tuple(w[i : i + n]))) is not None:
                     hit.update(range(i, i + n))
                     found |= names
         out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
@@ -51,6 +52,21 @@ def test_same_as_brute_force(spark, monkeypatch, limit):
     want = brute(corpus(), items())
     assert got == want
     assert any(r[-1] for r in want) and not all(r[-1] for r in want)
+    assert any(r[2] and not r[3] for r in want), "an item without an id hits"
+
+
+def test_hot_row(spark):
+    """A third of all rows are the same contaminated document: each is returned, and the statement agrees."""
+    hot = (7, " ".join(f"w{i}" for i in range(30)), "en", "s", 0)
+    rows = [hot] * 2000 + [(100 + i, f"a{i} b c d", "en", "s", 0) for i in range(4000)]
+    bench = [(1, " ".join(f"w{i}" for i in range(3, 15))), (None, "b c d")]
+    got = leaks.contamination(documents(spark, rows), spark.createDataFrame(bench, "item_id bigint, text string")).drop("row").toPandas()
+    assert len(got) == 6000 and got["contaminated"].all() and set(got["n_hit"]) == {12, 3}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(list(dict.fromkeys(r[:2] for r in rows)), columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(bench, columns=["item_id", "text"]).astype({"item_id": "Int64"}))
+    want = con.execute(leaks.SQL).df()[list(got.columns)]
+    assert set(map(tuple, got.to_numpy().tolist())) == set(map(tuple, want.to_numpy().tolist()))
 
 
 def test_no_python_in_the_plan(spark):
