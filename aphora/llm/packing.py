@@ -225,7 +225,7 @@ def pieces(table: np.ndarray, keys: np.ndarray, length: np.ndarray, k: np.ndarra
 
 
 def _sizes(docs: DataFrame, definition, window: int, end: int) -> DataFrame:
-    """(row, doc_id, n, crcs): tokens of each document, and the checksums of its full windows and its remainder."""
+    """(no, row, doc_id, n, crcs): number and name of each row, its tokens, and the checksums of its full windows and its remainder."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(definition)
@@ -236,15 +236,15 @@ def _sizes(docs: DataFrame, definition, window: int, end: int) -> DataFrame:
                 ids = known.ids(text.as_py()) + last
                 sizes.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[a : a + step]) for a in range(0, len(ids), step)])
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["row", "doc_id", "n", "crcs"])
+            yield pa.RecordBatch.from_arrays([batch["no"], batch["row"], batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["no", "row", "doc_id", "n", "crcs"])
             release()
 
-    return docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(
-        encode, "row bigint, doc_id bigint, n bigint, crcs array<bigint>")
+    return docs.select(F.monotonically_increasing_id().alias("no"), F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(
+        encode, "no bigint, row bigint, doc_id bigint, n bigint, crcs array<bigint>")
 
 
 def _checksums(cut: DataFrame, definition, end: int) -> DataFrame:
-    """Checksums of pieces of documents that are tokenised again: (text, piece) -> the piece with its checksum."""
+    """(row, start, length, crc): checksums of pieces of documents (row, text, pieces) that are tokenised again."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(definition)
@@ -259,10 +259,9 @@ def _checksums(cut: DataFrame, definition, end: int) -> DataFrame:
                 if d != doc:
                     doc, ids = d, known.ids(batch["text"][d].as_py()) + last
                 out.append(zlib.crc32(ids[4 * start[i] : 4 * (start[i] + length[i])]))
-            kept = [flat.field(c) for c in ("doc_id", "start", "length", "n", "sequence", "offset")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.int64())], ["doc_id", "start", "length", "n", "sequence", "offset", "crc"])
+            yield pa.RecordBatch.from_arrays([batch["row"].take(pa.array(owner)), pa.array(start), pa.array(length), pa.array(out, pa.int64())], ["row", "start", "length", "crc"])
 
-    return cut.mapInArrow(encode, "doc_id bigint, start bigint, length bigint, n bigint, sequence bigint, offset bigint, crc bigint")
+    return cut.mapInArrow(encode, "row bigint, start bigint, length bigint, crc bigint")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, max_slack: int = MAX_SLACK) -> DataFrame:
@@ -275,14 +274,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     plan = Plan(counts, window, max_slack)
     shipped = spark.sparkContext.broadcast((plan.table, plan.keys))
 
-    full = sizes.where(F.col("n") >= window).select("row", "doc_id", "n", "crcs", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / window) - 1)).alias("block"))
-    full = full.select("row", "doc_id", "n", (F.col("block") * window).alias("start"), F.element_at("crcs", F.col("block").cast("int") + 1).alias("crc"), F.lit(0).alias("one"))
+    full = sizes.where(F.col("n") >= window).select("no", "row", "doc_id", "n", "crcs", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / window) - 1)).alias("block"))
+    full = full.select("no", "row", "doc_id", "n", (F.col("block") * window).alias("start"), F.element_at("crcs", F.col("block").cast("int") + 1).alias("crc"), F.lit(0).alias("one"))
     blocks = full.count()
-    whole = numbered(full, ["one"], ["row", "start"], F.xxhash64("row", "start"), part_count(blocks), "k").select(
+    whole = numbered(full, ["one"], ["row", "start", "no"], F.xxhash64("no", "start"), part_count(blocks), "k").select(
         "doc_id", "start", F.lit(window).cast("long").alias("length"), "crc", "n", (F.col("k") + plan.sequences).alias("sequence"), F.lit(0).cast("long").alias("offset"))
 
-    ends = sizes.withColumn("rest", rest).where("rest > 0").select("row", "doc_id", "n", "rest", F.element_at("crcs", -1).alias("crc"))
-    ranked = numbered(ends, ["rest"], ["row", "doc_id"], F.xxhash64("row"), part_count(max(counts.values(), default=0)), "k")
+    ends = sizes.withColumn("rest", rest).where("rest > 0").select("no", "row", "doc_id", "n", "rest", F.element_at("crcs", -1).alias("crc"))
+    ranked = numbered(ends, ["rest"], ["row", "no"], F.xxhash64("no"), part_count(max(counts.values(), default=0)), "k")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,12 +296,15 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
 
     placed = stored(ranked.select("row", "doc_id", "n", "rest", "k", "crc").mapInArrow(
         place, "row bigint, doc_id bigint, n bigint, start bigint, length bigint, sequence bigint, offset bigint, crc bigint"), "placed")
-    lists = placed.where("crc is null").groupBy("row").agg(F.collect_list(F.struct("doc_id", "start", "length", "n", "sequence", "offset")).alias("pieces"))
+    # A cut depends on the document and on where it is cut only, however many copies of the document there are.
+    pending = placed.where("crc is null").drop("crc")
+    lists = pending.groupBy("row").agg(F.collect_set(F.struct("start", "length")).alias("pieces"))
     # Few documents are cut, as a rule; their numbers are broadcast if they are few, so that no text is shuffled for the others.
     cut = stored(lists.select("row"), "cut")
     few = cut.count() <= BROADCAST_ROWS
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(F.broadcast(cut) if few else cut, "row", "left_semi").dropDuplicates(["row"])
-    again = _checksums(lists.join(texts, "row").select("text", "pieces"), definition, end)
+    checked = stored(_checksums(lists.join(texts, "row").select("row", "text", "pieces"), definition, end), "cut-checksums")
+    again = pending.join(checked, ["row", "start", "length"])
     columns = ["doc_id", "start", "length", "crc", "n", "sequence", "offset"]
     return (
         whole.select(*columns).unionByName(placed.where("crc is not null").select(*columns)).unionByName(again.select(*columns))

@@ -67,6 +67,21 @@ def test_repeated_rows_and_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), tokenizer_path()).collect() == []
 
 
+def test_many_copies_of_one_row(spark, tokenizer):
+    """Copies of one row are placed and cut one by one, and the checksum of each cut is right."""
+    text = " ".join(f"word{i} of a hot row" for i in range(14))
+    ids = tokenizer.encode(text, add_special_tokens=False).ids + [2]
+    rows = [(1, text, "en", "s", 1)] * 400 + [(2, "short", "en", "s", 1)] * 3
+    got = [p for p in packing.pack(documents(spark, rows), tokenizer_path(), 256).collect() if p["doc_id"] == 1]
+    assert sum(p["length"] for p in got) == 400 * len(ids) and len({(p["sequence_id"], p["offset"]) for p in got}) == len(got)
+    assert all(p["ids_crc32"] == zlib.crc32(np.asarray(ids[p["start"] : p["start"] + p["length"]], "<u4").tobytes()) for p in got)
+    assert len({(p["start"], p["length"]) for p in got}) > 1
+    taken = np.zeros(len(ids), int)
+    for p in got:
+        taken[p["start"] : p["start"] + p["length"]] += 1
+    assert (taken == 400).all()
+
+
 @pytest.mark.parametrize("counts", [
     {3000: 5000}, {2049: 7, 1: 3}, {4095: 10, 1: 4, 700: 33}, {1: 1}, {}, {k: 3 for k in range(1, 4096)},
     {random.Random(i).randrange(1, 4096): random.Random(i + 99).randrange(1, 40) for i in range(300)},
