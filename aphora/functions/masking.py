@@ -20,22 +20,37 @@ _TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _TOKENS = rf'{_TEXT}|[\[\]{{}}]|[^"\[\]{{}}]++|"'
 #: Tokens whose texts are put together at once; what was put together before is copied once per so many.
 _BLOCK = 512
+#: Levels of a hidden value that one pattern takes whole; texts with deeper ones are walked through token by token.
+_LEVELS = 64
+
+
+def _forms(c: str) -> list[str]:
+    # Fixed value: the Kelvin sign becomes a k in lower case.
+    return sorted({c, c.upper() if len(c.upper()) == 1 else c} | ({"\u212a"} if c == "k" else set()))
 
 
 def _spelt(name: str) -> str:
     """A pattern for all ways to write a lower-case name inside a JSON string: letters in both cases, and escapes."""
     def character(c: str) -> str:
-        # Fixed value: the Kelvin sign becomes a k in lower case.
-        forms = {c, c.upper() if len(c.upper()) == 1 else c} | ({"\u212a"} if c == "k" else set())
-        escapes = "|".join(rf"(?i:\\u{ord(f):04x})" for f in sorted(forms))
-        return f"(?:{'|'.join(re.escape(f) for f in sorted(forms))}|{escapes})"
+        return rf"(?:[{''.join(map(re.escape, _forms(c)))}]|(?i:\\u(?:{'|'.join(f'{ord(f):04x}' for f in _forms(c))})))"
 
     return "".join(map(character, name))
 
 
 def _key(names: set[str]) -> str:
     """A pattern for a sensitive key with its colon. In JSON a quote that is not escaped never stands inside a string."""
-    return rf'(?<!\\)"(?:{"|".join(_spelt(n) for n in sorted(names))})"\s*+:\s*+'
+    # The first two characters (or an escape) spare most strings a look at every name.
+    ahead = ["".join(re.escape(f) for f in sorted({f for n in names for f in _forms(n[i])})) for i in (0, 1)] if min(map(len, names), default=0) > 1 else []
+    look = rf"(?=[{ahead[0]}\\][{ahead[1]}\\uU])" if ahead else ""
+    return rf'"{look}(?<!\\")(?:{"|".join(_spelt(n) for n in sorted(names))})"\s*+:\s*+'
+
+
+def _value(levels: int) -> str:
+    """A pattern for a list or an object that ends, of at most so many levels; it never goes back over what it has read."""
+    value = ""
+    for _ in range(levels):
+        value = rf'[\[{{](?:{_TEXT}|[^"\[\]{{}}]++{value and "|" + value}|")*+[\]}}]'
+    return value
 
 
 def _names(fields: list[str], parity: bool) -> set[str]:
@@ -123,12 +138,14 @@ def _hide_nested(text: Column, key: str) -> Column:
 def mask_json_text(c: Column, fields: list[str] = SENSITIVE, parity: bool = False) -> Column:
     """Hide the values of sensitive keys inside JSON text, at any depth and however the key is spelt, without parsing it.
 
-    Plain values are replaced by one pattern. Only texts with a list or an object below a sensitive key are walked
-    through. If a value below a sensitive key does not end, nothing of the text is shown.
+    Plain values are replaced by one pattern, lists and objects of up to ``_LEVELS`` levels by another, which goes from string
+    to string as the walk does. Only texts that still have a list or an object below a sensitive key are walked through. If a
+    value below a sensitive key does not end, nothing of the text is shown.
     """
     key = _key(_names(fields, parity))
     plain = F.regexp_replace(c, rf"({key})(?:{_TEXT}|[^\s\"{{\[,}}\]][^,}}\]]*+)", rf'$1"{MASK}"')
-    masked = _once(plain, lambda p: F.when(p.rlike(rf"{key}[\[{{]"), _hide_nested(p, key)).otherwise(p))
+    ended = F.regexp_replace(plain, rf'\G((?:[^"]++|(?!{key}[\[{{])(?:{_TEXT}|"))*+{key}){_value(_LEVELS)}', rf'$1"{MASK}"')
+    masked = _once(ended, lambda p: F.when(p.rlike(rf"{key}[\[{{]"), _hide_nested(p, key)).otherwise(p))
     unended = rf'{key}"(?!\*{{{len(MASK)}}}")'
     shown = _once(masked, lambda m: F.when(m.isNull() | m.rlike(unended), F.lit(f'{{"masked":"{MASK}"}}')).otherwise(m))
     return F.when(c.isNotNull(), shown)

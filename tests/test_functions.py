@@ -262,6 +262,30 @@ def test_masking_equals_a_walk_over_characters(spark):
         assert r.m == brute_mask(r.t)
 
 
+def test_masking_takes_nested_values_by_one_pattern(value, monkeypatch):
+    """Values of many levels need no walk over their tokens; deeper ones are still hidden by it."""
+    deep = lambda n: '{"id":1,"token":' + '[{"a":"]}\\\\","b":' * (n // 2) + "1" + "}]" * (n // 2) + ',"n":[2]}'
+    want = '{"id":1,"token":"********","n":[2]}'
+    assert value(masking.mask_json_text(F.col("t")), t=deep(masking._LEVELS + 2)) == want
+    monkeypatch.setattr(masking, "_hide_nested", lambda text, key: F.raise_error(F.lit("walked")))
+    assert value(masking.mask_json_text(F.col("t")), t=deep(masking._LEVELS)) == want
+
+
+def test_masking_of_any_text_equals_the_walk(spark, monkeypatch):
+    """The patterns find what the walk over all tokens finds, also in texts that are not JSON and beyond their levels."""
+    import random
+
+    rng = random.Random(9)
+    parts = ['"', "\\", '"token":', '"a":', "[", "{", "]", "}", ",", '"x"', '"\\"', "\n", ' "pass\\u0077ord" : ', '"secret":[', "1"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    shown = lambda: [r.m for r in rows.select(masking.mask_json_text(F.col("t")).alias("m")).collect()]
+    monkeypatch.setattr(masking, "_LEVELS", 2)
+    two = shown()
+    monkeypatch.setattr(masking, "_value", lambda levels: "(?!)")
+    assert shown() == two
+
+
 def test_masking_takes_linear_time(value):
     import time
 
