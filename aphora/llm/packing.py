@@ -34,8 +34,8 @@ from aphora.llm.textmath import release
 WINDOW = 4096
 END = 2
 MAX_SLACK = 16
-#: Characters of encoded words, and of pieces of words, that a worker remembers in one generation of its two tables: at some
-#: 30 bytes a character, at most 150 MB in all.
+#: Half the characters of encoded words, and of other pieces of words (a quarter of them), that a worker remembers in one
+#: generation of its two tables: at some 30 bytes a character, at most 150 MB in all.
 KNOWN_CHARACTERS = 1_200_000
 #: Largest number of cut documents whose numbers (eight bytes each) are sent to every executor.
 BROADCAST_ROWS = 200_000
@@ -84,9 +84,17 @@ class Encoder:
         self.model = self.tokenizer.model
         self.plain = all("<" in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.letters = _byte_letters()
-        self.words, self.pieces = Known(self._word, known), Known(self._piece, known)
+        self.numbers = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values(), default=0) + 1)]
+        self.words, self.pieces = Known(self._word, known * 3 // 2), Known(self._piece, known // 2)
 
     def _word(self, word: bytes) -> bytes:
+        if self.plain:
+            # Most words are ASCII letters, with a sign behind them or none; in lower case they are pieces themselves.
+            if word.isalpha():
+                low = word.lower()
+                return self._piece(word.decode()) if low == word else self.words[low]
+            if word[-1] in b".,!" and word[:-1].isalpha():
+                return self.words[word[:-1].lower()] + self.pieces[chr(word[-1])]
         text = word.decode("utf-8", "replace")
         if self.plain and _PLAIN.fullmatch(text):
             if text.isalpha():
@@ -98,7 +106,7 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        return b"".join([self.numbers[t.id] for t in self.model.tokenize(shown)])
 
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.words.__getitem__, (text or "").encode().split()))

@@ -107,3 +107,11 @@ def test_plan_uses_every_remainder_once(counts):
         short += 0 if at & (at - 1) == 0 else 4096 - at
     assert short <= 16 * max(1, len(fill))
     assert sorted(fill) == list(range(plan.sequences))
+
+
+def test_words_of_letters_are_remembered_once(tokenizer):
+    """A word in lower case is its own piece; other spellings look it up, and signs alone are pieces beside it."""
+    known = packing.Encoder(tokenizer.to_str())
+    text = "Word word, WORD. word wOrd! Élan élan, don't x1 <pad> word"
+    assert known.ids(text) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert b"word" in known.words and "word" not in known.pieces and {",", ".", "!"} <= set(known.pieces)
