@@ -51,6 +51,8 @@ LONG, LONG_BITS = 2048, 2
 MIDDLES = 1
 #: A pair is left out if its sketches agree so rarely that a link's would with at most this probability.
 LOSS = 1e-7
+#: Largest number of rows of pairs whose names (eight bytes each) are sent to every executor.
+BROADCAST_ROWS = 2_000_000
 
 
 def shingle_sets(words: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,6 +199,11 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("id")).distinct().union(pairs.select("v").distinct()).distinct()
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """A table of names, broadcast if they are few, so that no texts or sketches are shuffled for the others."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def equal_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, copy_of): the smallest id among documents of the same text. Null texts are left out; repeated rows merge."""
     keyed = docs.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(
@@ -250,14 +257,15 @@ def row_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sim
     def sketched(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.distinct(), "likely")
         used = stored(_ends(pairs), "used")
-        some = stored(sketches.join(used, "id", "left_semi"), "sketches")
+        some = stored(sketches.join(_sent(used), "id", "left_semi"), "sketches")
         both = pairs.join(some.toDF("u", "a"), "u").join(some.toDF("v", "b"), "v")
         return both.where(_likely("a", "b", similarity)).select("u", "v")
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "pairs")
-        used = _ends(pairs)
-        texts = stored(source.join(used, "id", "left_semi").where("text is not null").dropDuplicates(["id"]), "pair-texts")
+        # Few documents are in pairs, as a rule. A stored table has a known size; the plan of an aggregate would shuffle all texts.
+        used = stored(_ends(pairs), "used")
+        texts = stored(source.join(_sent(used), "id", "left_semi").where("text is not null").dropDuplicates(["id"]), "pair-texts")
         one, two = texts.toDF("u", "tu"), texts.toDF("v", "tv")
         return stored(_jaccard(pairs.join(one, "u").join(two, "v"), shingle, similarity), "links")
 
@@ -276,7 +284,7 @@ def row_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sim
         else:
             # Only these documents are signed again, at length.
             held = stored(rest.drop("middle"), "open-rows")
-            ids = stored(held.select("id").distinct(), "open-ids")
+            ids = _sent(stored(held.select("id").distinct(), "open-ids"))
             long = signatures(source.join(ids, "id", "left_semi"), "text", "id", bands, rows, shingle, LONG, LONG_BITS).select("id", "sketch").dropDuplicates(["id"])
             rest = stored(held.join(signed.select("id", "bands").join(ids, "id", "left_semi").join(long, "id"), "id"), "open")
             one, two = rest.alias("one"), rest.alias("two")

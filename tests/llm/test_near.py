@@ -122,3 +122,22 @@ def test_sketches_lose_far_fewer_links_than_bands(spark):
     differ = [-1] * 3 + [0] * 29  # 48 of the first 128 coordinates, and of all 512
     frame = spark.createDataFrame([(differ, [0] * 32), ([-1] * 10 + [0] * 22, [0] * 32)], "a array<bigint>, b array<bigint>")
     assert [r[0] for r in frame.select(near._likely("a", "b", 0.8)).collect()] == [True, False]
+
+
+def test_texts_of_pairs_are_not_shuffled_with_all_others(spark, monkeypatch):
+    """The few names in pairs are sent to the texts, whatever size the plan expects of them."""
+    plans, stored = {}, near.stored
+
+    def seen(df, purpose):
+        plans.setdefault(purpose, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, purpose)
+
+    monkeypatch.setattr(near, "stored", seen)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near.near_classes(documents(spark))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    sent = ["BroadcastHashJoin" in p for p in plans["pair-texts"]]
+    assert sent and all(sent)
