@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -45,6 +47,20 @@ def test_grams():
                 assert letters[d] == sum(c.isalpha() for c in text)
 
 
+def test_memory_is_that_of_a_piece():
+    """The arrays of the n-grams belong to a small piece of a batch, not to a megabyte of it."""
+    texts = pa.array(["the cat sat on the mat " * 100] * 2000)
+    language._classes()
+    tracemalloc.start()
+    rows = 0
+    for lo, hi, bucket, doc, _ in language._gram_pieces(texts):
+        assert lo == rows
+        rows = hi
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 60e6
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language.identify_corpus(docs)
